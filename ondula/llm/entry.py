@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from ondula.llm import op3_host_rules as o3
 from ondula.llm import op9_exact_dedup as o9
 
-QUERIES = {"op9_exact_dedup": o9.op9_exact_dedup}
-SQL = {"op9_exact_dedup": o9.SQL}
+QUERIES = {
+    "op3_host_rules": o3.op3_host_rules,
+    "op9_exact_dedup": o9.op9_exact_dedup,
+}
+SQL = {"op3_host_rules": o3.SQL, "op9_exact_dedup": o9.SQL}
