@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from ondula.llm import op10_chat_format as o10
 from ondula.llm import op3_host_rules as o3
 from ondula.llm import op9_exact_dedup as o9
 
 QUERIES = {
     "op3_host_rules": o3.op3_host_rules,
     "op9_exact_dedup": o9.op9_exact_dedup,
+    "op10_chat_format": o10.op10_chat_format,
 }
-SQL = {"op3_host_rules": o3.SQL, "op9_exact_dedup": o9.SQL}
+SQL = {"op3_host_rules": o3.SQL, "op9_exact_dedup": o9.SQL, "op10_chat_format": o10.SQL}
