@@ -1,17 +1,24 @@
-"""Queries and SQL of the training-data operators, as ``__spark_entry__`` adds them."""
+"""Queries and SQL of the training-data operators, as ``__spark_entry__`` adds them.
+
+Operators that SQL cannot express have no SQL; their tests hold them against brute force.
+"""
 
 from __future__ import annotations
 
-from ondula.llm import op10_chat_format as o10
 from ondula.llm import op1_pareto_mix as o1
 from ondula.llm import op2_bin_completion as o2
 from ondula.llm import op3_host_rules as o3
+from ondula.llm import op6_trie_counts as o6
+from ondula.llm import op8_secret_scan as o8
 from ondula.llm import op9_exact_dedup as o9
+from ondula.llm import op10_chat_format as o10
 
 QUERIES = {
     "op1_pareto_mix": o1.op1_pareto_mix,
     "op2_bin_completion": o2.op2_bin_completion,
     "op3_host_rules": o3.op3_host_rules,
+    "op6_trie_counts": o6.op6_trie_counts,
+    "op8_secret_scan": o8.op8_secret_scan,
     "op9_exact_dedup": o9.op9_exact_dedup,
     "op10_chat_format": o10.op10_chat_format,
 }
