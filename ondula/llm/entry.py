@@ -9,6 +9,7 @@ from ondula.llm import op1_pareto_mix as o1
 from ondula.llm import op2_bin_completion as o2
 from ondula.llm import op3_host_rules as o3
 from ondula.llm import op4_cross_entropy as o4
+from ondula.llm import op5_line_runs as o5
 from ondula.llm import op6_trie_counts as o6
 from ondula.llm import op8_secret_scan as o8
 from ondula.llm import op9_exact_dedup as o9
@@ -19,6 +20,7 @@ QUERIES = {
     "op2_bin_completion": o2.op2_bin_completion,
     "op3_host_rules": o3.op3_host_rules,
     "op4_cross_entropy": o4.op4_cross_entropy,
+    "op5_line_runs": o5.op5_line_runs,
     "op6_trie_counts": o6.op6_trie_counts,
     "op8_secret_scan": o8.op8_secret_scan,
     "op9_exact_dedup": o9.op9_exact_dedup,
