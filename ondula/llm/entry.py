@@ -11,6 +11,7 @@ from ondula.llm import op3_host_rules as o3
 from ondula.llm import op4_cross_entropy as o4
 from ondula.llm import op5_line_runs as o5
 from ondula.llm import op6_trie_counts as o6
+from ondula.llm import op7_count_rtree as o7
 from ondula.llm import op8_secret_scan as o8
 from ondula.llm import op9_exact_dedup as o9
 from ondula.llm import op10_chat_format as o10
@@ -22,6 +23,7 @@ QUERIES = {
     "op4_cross_entropy": o4.op4_cross_entropy,
     "op5_line_runs": o5.op5_line_runs,
     "op6_trie_counts": o6.op6_trie_counts,
+    "op7_count_rtree": o7.op7_count_rtree,
     "op8_secret_scan": o8.op8_secret_scan,
     "op9_exact_dedup": o9.op9_exact_dedup,
     "op10_chat_format": o10.op10_chat_format,

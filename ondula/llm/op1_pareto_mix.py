@@ -53,38 +53,49 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
-def mix(rows: DataFrame, goals: DataFrame, seed: int = 1) -> DataFrame:
-    """``rows`` (id, source key, size, u) with ``copies``, whole copies and sampled ones together.
-
-    ``goals`` has (source, source_size, target) of each source.
-    """
+def ranked(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """``rows`` (source, u, ...) with whole, p, rank and bucket."""
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = rows.join(common.maybe_broadcast(goals), "source").withColumn("whole", F.floor(rate + 1e-12).cast("long")).withColumn("p", F.greatest(rate - F.col("whole"), F.lit(0.0)))
-    # Pareto's rank, mapped to 0..1 without changing the order.
     odds = F.col("u") / (1 - F.col("u"))
     rank = F.when(F.col("p") > 0, odds / (F.col("p") / (1 - F.col("p"))))
-    ranked = joined.withColumn("rank", rank).withColumn("bucket", F.when(F.col("p") > 0, F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int")))
+    # The rank mapped to 0..1 without changing the order.
+    return joined.withColumn("rank", rank).withColumn("bucket", F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int"))
+
+
+def edges(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """source, edge, last: the bucket where a source's sample ends, and the last (rank, id, tie) that it takes there."""
+    held = ranked(rows, goals).where("bucket is not null")
     left = F.first("target") - F.first("whole") * F.first("source_size")
-    sums = ranked.where("bucket is not null").groupBy("source", "bucket").agg(F.sum("size").alias("words"), left.alias("left"))
-    order = Window.partitionBy("source").orderBy("bucket")
-    edges = sums.withColumn("before", F.sum("words").over(order) - F.col("words"))
-    edges = edges.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))).select("source", F.col("bucket").alias("edge"), (F.col("left") - F.col("before")).alias("room"))
-    held = ranked.join(common.maybe_broadcast(common.cut(edges)), "source", "left")
-    inside = F.col("bucket") == F.col("edge")
-    # A row above the edge stays out, one below goes in; only rows of the edge's bucket are ranked.
-    rest = held.where(~F.coalesce(inside, F.lit(False))).withColumn("extra", F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
+    sums = held.groupBy("source", "bucket").agg(F.sum("size").alias("words"), left.alias("left"))
+    before = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
+    found = before.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("words") >= F.col("left"))).select("source", F.col("bucket").alias("edge"), (F.col("left") - F.col("before")).alias("room"))
+    found = common.cut(found)
+    inside = held.join(common.maybe_broadcast(found), "source").where("bucket = edge")
     # Taken while at least half of it fits: the sum ends within half a document of the target.
     run = Window.partitionBy("source").orderBy("rank", "id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    at = held.where(inside).withColumn("extra", (F.sum("size").over(run) - F.col("size") / 2 <= F.col("room")).cast("int"))
-    return rest.unionByName(at).withColumn("copies", F.col("whole") + F.col("extra"))
+    fits = inside.withColumn("fits", F.sum("size").over(run) - F.col("size") / 2 <= F.col("room")).where("fits")
+    last = fits.groupBy("source").agg(F.max(F.struct("rank", "id", "tie")).alias("last"))
+    return common.cut(found.select("source", "edge").join(last, "source", "left"))
 
 
-def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """id, source (a key that is never null), size in words, u and tie of each document."""
+def mix(rows: DataFrame, goals: DataFrame, ends: DataFrame) -> DataFrame:
+    """``rows`` with ``copies``, whole copies and the sampled one together. Needs one row per source besides the row itself."""
+    held = ranked(rows, goals).join(common.maybe_broadcast(ends), "source", "left")
+    taken = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (F.struct("rank", "id", "tie") <= F.col("last")))
+    return held.withColumn("copies", F.col("whole") + F.when(taken, 1).otherwise(0))
+
+
+def keys(seed: int, id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """id, source (a key that is never null), u and tie of a document."""
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    size = F.size(common.words(F.col(text_col))).cast("long")
     tie = F.xxhash64(F.lit(seed + 1), F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), source.alias("source"), size.alias("size"), uniform(seed, F.col(id_col), F.col(text_col)).alias("u"), tie.alias("tie"))
+    return [F.col(id_col).alias("id"), source.alias("source"), uniform(seed, F.col(id_col), F.col(text_col)).alias("u"), tie.alias("tie")]
+
+
+def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``keys`` and size in words of each document."""
+    return docs.select(*keys(seed, id_col, text_col, source_col), F.size(common.words(F.col(text_col))).cast("long").alias("size"))
 
 
 def goals(rows: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -96,5 +107,16 @@ def goals(rows: DataFrame, share: float = SHARE, most: float = MOST) -> DataFram
 
 def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:
     rows = common.cut(sized(common.read(spark, sf_dir, "documents"), 1, "doc_id", "text", "source"))
-    found = mix(rows, goals(rows))
+    shares = goals(rows)
+    found = mix(rows, shares, edges(rows, shares))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``docs`` mixed to the targets: a row for each time the mix takes it. Texts are read twice and never shuffled."""
+    rows = common.cut(sized(docs, 1, "doc_id", "text", "source"))
+    shares = goals(rows)
+    ends = edges(rows, shares)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = docs.select(row, *keys(1, "doc_id", "text", "source"))
+    return mix(again, shares, ends).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
