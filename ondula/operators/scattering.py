@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +103,7 @@ class _Operator:
         held = self._input(df, signal_col)
         schema = T.StructType().add(held.schema["keys"])
         for c in constants:
-            schema = schema.add(c, "int")
+            schema = schema.add(c, T.IntegerType())
         schema = schema.add("coef", T.ArrayType(T.DoubleType()))
         keys = [c for c in df.columns if c != signal_col]
         run = _batches(self.time.n, width, self.on_error, emit, ["keys", *constants, "coef"])
@@ -220,7 +221,7 @@ class ScatteringJTFS(_Operator):
                 r, c, v = zip(*out) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column("keys"), batch.column("path_idx"), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.list_(pa.float64()))], names=["keys", "path_idx", "rows", "cols", "coef"])
 
-        schema = T.StructType().add("keys", T.StructType(kinds)).add("path_idx", "int").add("rows", "int").add("cols", "int").add("coef", T.ArrayType(T.DoubleType()))
+        schema = T.StructType().add("keys", T.StructType(kinds)).add("path_idx", T.IntegerType()).add("rows", T.IntegerType()).add("cols", T.IntegerType()).add("coef", T.ArrayType(T.DoubleType()))
         return held.mapInArrow(run, schema).select(*[F.col(f"keys.`{k}`") for k in keys], "path_idx", "rows", "cols", "coef")
 
 
