@@ -32,7 +32,7 @@ from ondula.llm import common, tokens
 VOCABULARY = 49408
 EDGE, SYMBOLS = VOCABULARY, VOCABULARY + 1
 #: Weight of the unigrams; bigrams that a broadcast may hold; bigrams held by a counting task.
-WEIGHT, MOST_ROWS, HELD = 32.0, 6_000_000, 1_000_000
+WEIGHT, MOST_ROWS, HELD = 32.0, 4_000_000, 250_000
 
 
 def keys(ids: bytes) -> np.ndarray:
