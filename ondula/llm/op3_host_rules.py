@@ -34,26 +34,37 @@ STRICT_RATE, BLOCKED_RATE = 0.3, 0.9
 POOLED = 1e6
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def features(df: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``row`` (all input columns), ``host`` (never null) and the counts of each document."""
+    """``row`` (all input columns), ``host`` (never null), the counts of each document, and ``place``, which keeps later filters above the counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit(""))
-    first = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), host.alias("host"), text.alias("t"), F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), common.words(text).alias("w"))
-    n = F.size("w")
-    second = first.select(
-        "row",
-        "host",
-        n.cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(common.without(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.length("t") - F.length(F.replace("t", F.lit("!"), F.lit("")))).cast("long").alias("n_marks"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("windows"),
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counts = let(common.words(text), lambda w: F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), _repeated(w).alias("n_repeat_words")))
+    held = df.select(
+        F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+        host.alias("host"),
+        counts.alias("c"),
+        (F.length(text) - F.length(common.without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_marks"),
+        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.monotonically_increasing_id().alias("place"),
     )
-    # Few texts repeat a window; only they pay for the sort.
-    sorted_windows = F.when(F.size(F.array_distinct("windows")) < F.size("windows"), F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.alias("at")))))
-    third = second.withColumn("windows", sorted_windows)
-    return third.withColumn("n_repeat_words", F.coalesce(_covered(F.col("windows")), F.lit(0)).cast("long")).drop("windows")
+    long = lambda c: F.col(f"c.{c}").cast("long").alias(c)
+    return held.select("row", "host", long("n_words"), long("word_chars"), long("n_repeat_words"), "n_symbols", "n_marks", "n_dup_lines", "place")
+
+
+def _repeated(w: Column) -> Column:
+    """Words under three-word windows that occur twice. Few texts repeat a window; only they pay for the sort."""
+    n = F.size(w)
+    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    ordered = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+    found = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(ordered(h), _covered)))
+    return F.coalesce(found, F.lit(0))
 
 
 def _covered(windows: Column) -> Column:
@@ -110,7 +121,7 @@ def judge(counted: DataFrame, verdicts: DataFrame) -> DataFrame:
     fails, strict = _fails(), _fails(0.5)
     joined = counted.join(common.maybe_broadcast(verdicts.select("host", "rate", "verdict")), "host", "left")
     kept = ~_any(fails) & F.when(F.col("verdict") == "blocked", False).when(F.col("verdict") == "strict", ~_any(strict)).otherwise(True)
-    return joined.withColumn("base_failed", fails["few_words"] | fails["repeated"]).withColumn("kept", kept)
+    return joined.withColumn("base_failed", fails["few_words"] | fails["repeated"]).withColumn("kept", kept & (F.col("place") >= 0))
 
 
 def op3_host_rules(spark, sf_dir: str) -> DataFrame:
