@@ -140,7 +140,8 @@ def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         every = common.cut(every)
         same = ["length", "ra", "rb"]
         place = F.struct("id", *DOC, "i")
-        first = every.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+        # Written, so that the join below has both sides dealt for it alone and Spark can split a common passage.
+        first = common.cut(every.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
         later = every.join(first, same).where(place > F.col("first"))
         runs = later.select(*DOC, F.explode(F.sequence("i", F.col("i") + F.col("length") - 1)).alias("i")).distinct().join(repeated.select(*DOC, "i", "line"), [*DOC, "i"])
     return runs.groupBy(*DOC).agg(F.collect_list("line").alias("deleted"))
