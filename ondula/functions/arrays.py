@@ -11,6 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, not once for each element of a lambda that uses it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def pad_reflect(x: Column, left: int, right: int) -> Column:
     """Mirror an array at its ends, without repeating the edge."""
     return F.concat(F.reverse(F.slice(x, 2, left)), x, F.slice(F.reverse(x), 2, right))
@@ -74,9 +79,13 @@ def pointwise(zs: Column, h: Column) -> Column:
 
 def periodize(x: Column, k: int, mean: bool = False) -> Column:
     """Sum (or mean) of the k blocks of an array."""
-    m = F.floor(F.size(x) / k).cast("int")
-    block = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda a, b: a + F.get(x, b * m + i))
-    return F.transform(F.sequence(F.lit(0), m - 1), lambda i: block(i) / k if mean else block(i))
+
+    def blocks(x: Column) -> Column:
+        m = F.floor(F.size(x) / k).cast("int")
+        block = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda a, b: a + F.get(x, b * m + i))
+        return F.transform(F.sequence(F.lit(0), m - 1), lambda i: block(i) / k if mean else block(i))
+
+    return let(x, blocks)
 
 
 def filter_periodize(zs: Column, h: Column, k: int) -> Column:
@@ -104,11 +113,11 @@ def dft(x: Column, n: int, inverse: bool = False) -> Column:
     steps = F.sequence(F.lit(0), F.lit(n - 1))
     zero = complex_(F.lit(0.0), F.lit(0.0))
 
-    def term(a: Column, k: Column, i: Column) -> Column:
+    def term(x: Column, a: Column, k: Column, i: Column) -> Column:
         root = unit_root(k * i, n)
         return add(a, multiply(F.get(x, i), conj(root) if inverse else root))
 
-    out = F.transform(steps, lambda k: F.aggregate(steps, zero, lambda a, i: term(a, k, i)))
+    out = let(x, lambda x: F.transform(steps, lambda k: F.aggregate(steps, zero, lambda a, i: term(x, a, k, i))))
     return F.transform(out, lambda z: unscale(z, float(n))) if inverse else out
 
 
