@@ -28,4 +28,4 @@ QUERIES = {
     "op9_exact_dedup": o9.op9_exact_dedup,
     "op10_chat_format": o10.op10_chat_format,
 }
-SQL = {"op3_host_rules": o3.SQL, "op9_exact_dedup": o9.SQL, "op10_chat_format": o10.SQL}
+SQL = {"op3_host_rules": o3.SQL, "op5_line_runs": o5.SQL, "op7_count_rtree": o7.SQL, "op9_exact_dedup": o9.SQL, "op10_chat_format": o10.SQL}

@@ -9,25 +9,29 @@ from ondula.llm import common
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    """The least neighbour of each node, written: the join with it then has both sides dealt for it alone, and Spark can split a node with many edges."""
+    return common.cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+
+
+def _stars(held: DataFrame) -> bool:
+    """Whether every edge leads to the root of its component: no node has two roots, none is a root and a leaf."""
+    if not held.groupBy("u").count().where("count > 1").isEmpty():
+        return False
+    return held.join(held.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component), of every node but the roots. edges: u, v, of any direction.
 
-    Each round shortens every path about by half; a round's edges are a written table, and
-    only their number and checksum reach the driver.  A node with many edges is pre-aggregated
-    for its minimum and split by the join.  Loops are ignored; no edges give no rows.
+    Each round shortens every path about by half; a round's edges are a written table.  Only
+    whether all are stars reaches the driver.  A node's minimum is pre-aggregated.  Loops are
+    ignored; no edges give no rows.
     """
     held = common.cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        now = held.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8))).first()
-        if now == seen:
-            return held.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = now
+    while not _stars(held):
         both = held.unionByName(held.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = common.cut(both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
         least = _least(large)
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        held = common.cut(small)
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        held = common.cut(small.distinct())
+    return held.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -181,3 +181,17 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = found.where((F.size("deleted") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     cols = [F.col("text") if c == "text" else F.when(F.size("deleted") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
     return kept.select(*cols)
+
+
+#: Runs are islands on the diagonals of equal lines: both documents go on line by line.
+SQL = r"""
+WITH n AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, line, x, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS words FROM n WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+p AS (SELECT a.doc_id, b.doc_id AS other, a.i, a.i - b.i AS diagonal, a.line, a.words FROM l a JOIN l b ON a.x = b.x AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.i < a.i))),
+r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, diagonal ORDER BY i) AS island FROM p),
+w AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, other, diagonal, island) AS total FROM r),
+g AS (SELECT doc_id, list(DISTINCT line::INT ORDER BY line::INT) AS gone FROM w WHERE total >= 50 GROUP BY doc_id),
+k AS (SELECT n.doc_id, string_agg(x, chr(10) ORDER BY line) FILTER (WHERE NOT list_contains(gone, line)) AS kept FROM n JOIN g USING (doc_id) GROUP BY n.doc_id)
+SELECT d.doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(text, chr(10))) END AS n_lines, coalesce(len(gone), 0) AS n_deleted, coalesce(gone, []::INT[]) AS deleted,
+  CASE WHEN gone IS NULL THEN text ELSE coalesce(kept, '') END AS text FROM documents d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

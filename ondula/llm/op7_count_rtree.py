@@ -39,6 +39,8 @@ from ondula.llm import common, graph, tokens
 #: Jaccard threshold in hundredths; words of a shingle.
 PERCENT, WORDS = 90, 3
 GROUPS, LEAF = 64, 256
+#: Bytes of text hashed at once; a byte takes about a hundred while it is.
+SLICE = 1 << 19
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -146,7 +148,7 @@ def describe(docs: DataFrame, percent: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for at, texts in tokens.slices(batch, "text"):
+            for at, texts in tokens.slices(batch, "text", SLICE):
                 sets = shingle_sets(texts, k)
                 names = [set_name(s) if len(s) else None for s in sets]
                 fresh = []
@@ -182,7 +184,7 @@ def points(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in tokens.slices(batch, "text"):
+            for at, texts in tokens.slices(batch, "text", SLICE):
                 sets = shingle_sets(texts, k)
                 counts = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes() for s in sets]
                 same = [batch.column(c).slice(at, len(sets)) for c in ("name", "cluster")]
@@ -329,3 +331,16 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated = common.maybe_broadcast(twice)
     single = held.join(repeated, ["k1", "k2"], "left_anti").unionByName(held.join(repeated, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
     return single.select("row.*")
+
+
+#: All pairs that share a shingle, which only a small table allows.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 90 * (a.n + b.n - i)),
+twoway AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(doc_id, other) AS (SELECT x, y FROM twoway UNION SELECT r.doc_id, b.y FROM reach r JOIN twoway b ON r.other = b.x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) USING (doc_id)
+"""

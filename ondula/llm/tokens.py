@@ -119,12 +119,12 @@ def tokenizer(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of runs of rows of about SLICE bytes; a null text is empty."""
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of runs of rows of about ``most`` bytes; a null text is empty."""
     texts = batch.column(column).cast(pa.binary()).to_pylist()
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t or b"")
-        if size >= SLICE or i == len(texts) - 1:
+        if size >= most or i == len(texts) - 1:
             yield at, [x or b"" for x in texts[at : i + 1]]
             at, size = i + 1, 0
