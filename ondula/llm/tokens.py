@@ -88,6 +88,7 @@ class WordTokenizer:
                 continue
             out.append((w, code + end))
         return out + list(zip(other, self._encode(other)))
+
     def _encode(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word. Words are encoded ``TOGETHER`` at a time, as a call costs more than a word; a mark of one id parts them."""
         runs: list[list[bytes]] = []
