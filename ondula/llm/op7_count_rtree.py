@@ -179,19 +179,17 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
 
 
-def points(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """name, n, point (group counts, 16 bit), shingles, of each wanted set (k1, k2, name, cluster)."""
+def point(s: np.ndarray) -> np.ndarray:
+    """Group counts of a set: its point in the tree."""
+    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in tokens.slices(batch, "text", SLICE):
-                sets = shingle_sets(texts, k)
-                counts = [np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes() for s in sets]
-                same = [batch.column(c).slice(at, len(sets)) for c in ("name", "cluster")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array([len(s) for s in sets], pa.int64()), pa.array(counts), pa.array([s.tobytes() for s in sets])], names=["name", "cluster", "n", "point", "shingles"])
 
-    held = docs.join(common.maybe_broadcast(wanted), ["k1", "k2"]).select("text", "name", "cluster")
-    return held.mapInArrow(run, "name long, cluster long, n long, point binary, shingles binary")
+def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one of the rows of each pair (k1, k2) in ``repeated``, a written table."""
+    if repeated.isEmpty():
+        return docs
+    twice = common.maybe_broadcast(repeated.select("k1", "k2"))
+    return docs.join(twice, ["k1", "k2"], "left_anti").unionByName(docs.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
 
 
 def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -199,16 +197,18 @@ def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _link(percent: int):
+def _link(percent: int, k: int):
     """Links of a pair of leaves that join two components of it."""
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by([("n", "ascending"), ("name", "ascending")])
-        keep = np.unique(t["name"].to_numpy(), return_index=True)[1]
-        t = t.take(pa.array(np.sort(keep)))
-        name, n, part = t["name"].to_numpy(), t["n"].to_numpy(), t["part"].to_numpy()
-        point = np.stack([np.frombuffer(p, "<u2") for p in t["point"].to_pylist()]).astype(np.int32)
-        sets = [np.frombuffer(s, np.uint64) for s in t["shingles"].to_pylist()]
+        keep = np.unique(table["name"].to_numpy(), return_index=True)[1]
+        t = table.take(pa.array(keep))
+        sets = [s for _, texts in tokens.slices(t, "text", SLICE) for s in shingle_sets(texts, k)]
+        n = np.array([len(s) for s in sets], np.int64)
+        order = np.argsort(n, kind="stable")
+        sets, n = [sets[i] for i in order], n[order]
+        name, part = t["name"].to_numpy()[order], t["part"].to_numpy()[order]
+        points = np.stack([point(s) for s in sets])
         above = np.unique(part, return_inverse=True)[1].tolist()
         root = list(range(max(above) + 1))
 
@@ -220,17 +220,17 @@ def _link(percent: int):
 
         node = 16  # nodes of neighbours in size, bounded by their largest coordinates
         begins = np.arange(0, len(n), node)
-        box = np.maximum.reduceat(point, begins, axis=0)
+        box = np.maximum.reduceat(points, begins, axis=0)
         out: list[tuple[int, int]] = []
         for i in range(1, len(n)):
             mine, low = find(above[i]), int(np.searchsorted(n, -(-percent * int(n[i]) // 100)))
             if low >= i:
                 continue
             first, last = low // node, (i - 1) // node + 1
-            fits = np.minimum(box[first:last], point[i]).sum(axis=1) >= enough(n[begins[first:last]], n[i], percent)
+            fits = np.minimum(box[first:last], points[i]).sum(axis=1) >= enough(n[begins[first:last]], n[i], percent)
             for b in begins[first:last][fits].tolist():
                 js = np.arange(max(b, low), min(b + node, i))
-                js = js[np.minimum(point[js], point[i]).sum(axis=1) >= enough(n[js], n[i], percent)]
+                js = js[np.minimum(points[js], points[i]).sum(axis=1) >= enough(n[js], n[i], percent)]
                 for j in js.tolist():
                     if (other := find(above[j])) != mine and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= enough(n[i], n[j], percent):
                         root[other] = mine
@@ -241,10 +241,14 @@ def _link(percent: int):
     return run
 
 
-def _compare(held: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """u, v: links found between the sets of each pair of leaves (pair, leaf)."""
-    met = held.join(pairs, "leaf")
-    return met.select("pair", "name", "n", "part", "point", "shingles").groupBy("pair").applyInArrow(_link(percent), "u long, v long")
+def _compare(docs: DataFrame, held: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
+    """u, v: links found between the sets of each pair of leaves (pair, leaf).
+
+    Texts are dealt to the pairs rather than sets: they are half as large, and nothing of them is written.
+    """
+    wanted = common.cut(held.join(pairs, "leaf").select("k1", "k2", "name", "part", "pair"))
+    met = docs.join(common.maybe_broadcast(wanted), ["k1", "k2"])
+    return met.select("pair", "name", "part", "text").groupBy("pair").applyInArrow(_link(percent, k), "u long, v long")
 
 
 def _leafed(held: DataFrame, whole: list[str], by: list) -> DataFrame:
@@ -262,27 +266,28 @@ def links(found: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     clusters = graph.components(stars)
     roots = clusters.select(F.col("root").alias("name"), F.col("root").alias("cluster")).distinct()
     clusters = clusters.select(F.col("node").alias("name"), F.col("root").alias("cluster")).unionByName(roots)
-    one = found.where("name is not null").groupBy("name").agg(F.min("k1").alias("k1"))
-    wanted = found.select("name", "k1", "k2").distinct().join(one, ["name", "k1"]).groupBy("name").agg(F.min("k1").alias("k1"), F.min("k2").alias("k2")).join(clusters, "name")
-    sets = common.cut(points(docs, common.cut(wanted), k)).dropDuplicates(["name"])
-    sets = common.cut(sets.withColumn("part", F.col("name")))
+    one = found.where("name is not null").groupBy("name").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n").alias("n"))
+    # One row stands for its set. Only names and keys are written from here on.
+    sets = common.cut(one.join(clusters, "name").select("name", "k.k1", "k.k2", "n", "cluster"))
+    repeated = found.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").join(sets, ["k1", "k2"], "left_semi")
+    docs = once(docs, common.cut(repeated))
 
     # Each leaf with itself and with the first leaf of its cluster.
-    first = _leafed(sets, ["cluster"], ["name"])
+    first = common.cut(_leafed(sets.withColumn("part", F.col("name")), ["cluster"], ["name"]))
     leaves = common.cut(first.select("cluster", "leaf", "slot").distinct())
     pairs = leaves.select("leaf", F.col("leaf").alias("pair")).unionByName(
         leaves.where("slot = 0").select("cluster", F.col("leaf").alias("pivot")).join(leaves.where("slot > 0").select("cluster", F.col("leaf").alias("pair")), "cluster").select(F.col("pivot").alias("leaf"), "pair")
     )
-    near = common.cut(_compare(first, pairs, percent))
+    near = common.cut(_compare(docs, first, pairs, percent, k))
 
     # What is joined becomes leaves of one part; small parts share leaves.
     joined = graph.components(near)
-    parts = sets.drop("part").join(joined.select(F.col("node").alias("name"), F.col("root").alias("part")), "name", "left").withColumn("part", F.coalesce("part", "name"))
+    parts = sets.join(joined.select(F.col("node").alias("name"), F.col("root").alias("part")), "name", "left").withColumn("part", F.coalesce("part", "name"))
     parts = common.cut(parts)
     open_ = parts.groupBy("cluster", "part").agg(F.count("*").alias("size")).withColumn("own", F.when(F.col("size") >= LEAF // 4, F.col("part")).otherwise(0))
     many = open_.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
     left = common.cut(open_.join(many, "cluster", "left_semi").select("cluster", "part", "own"))
-    held = _leafed(parts.join(common.maybe_broadcast(left), ["cluster", "part"]), ["cluster", "own"], ["name"])
+    held = common.cut(_leafed(parts.join(common.maybe_broadcast(left), ["cluster", "part"]), ["cluster", "own"], ["name"]))
     nodes = held.groupBy("cluster", "leaf", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     nodes = common.cut(nodes)
     a, b = (nodes.select("cluster", *[F.col(c).alias(f"{c}_{x}") for c in ("leaf", "own", "low", "high")]) for x in "ab")
@@ -290,7 +295,7 @@ def links(found: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
     fit = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
     met = a.join(b, (a.cluster == b.cluster) & apart & fit).select("leaf_a", "leaf_b", F.xxhash64("leaf_a", "leaf_b").alias("pair"))
     pairs = met.select(F.explode(F.array_distinct(F.array("leaf_a", "leaf_b"))).alias("leaf"), "pair")
-    far = _compare(held, pairs, percent)
+    far = common.cut(_compare(docs, held, pairs, percent, k))
     return graph.components(near.unionByName(far))
 
 
@@ -328,9 +333,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text, id_ = F.col("text"), F.col("doc_id")
     held = docs.select(row, F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), text, id_).alias("k2")).join(common.maybe_broadcast(stays), ["k1", "k2"], "left_semi")
-    repeated = common.maybe_broadcast(twice)
-    single = held.join(repeated, ["k1", "k2"], "left_anti").unionByName(held.join(repeated, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
-    return single.select("row.*")
+    return once(held, twice).select("row.*")
 
 
 #: All pairs that share a shingle, which only a small table allows.
