@@ -8,10 +8,12 @@ whose sum is too small for the threshold are dropped, and the rest is verified o
 whole sets.
 
 The top of the tree is exact and needs no comparisons.  Two documents of sizes up to e
-that reach Jaccard t differ in at most ``r = 2 e (1 - t) / (1 + t)`` shingles.  With r + 1
-groups at least one group of both is the same, so a document descends to the cells named
-by the contents of its groups, for its own size class and the next.  Cells with two
-different sets join to clusters; nothing outside a cluster can link.
+that reach Jaccard t differ in at most ``r = 2 e (1 - t) / (1 + t)`` shingles.  With more
+than r groups at least one group of both is the same, so a document descends to the cells
+named by the contents of its groups, for its own size class and the next.  A set that fills
+more than r groups shares a filled one with each partner, so its empty groups name no cell
+(there are 1.2 r groups, so nearly every set does); the others keep them.  Cells with
+two different sets join to clusters; nothing outside a cluster can link.
 
 A cluster is cut into leaves of about ``LEAF`` sets, by size and hash, so a large group
 lies in many tasks.  First each leaf is compared with itself and with one leaf of its
@@ -123,7 +125,7 @@ def cells(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
     for shift in (0, 1):
         tag = own + shift
         differ = 2 * ends[tag] * (100 - percent) // (100 + percent)
-        groups = np.where((differ > 0) & (sizes > 0), differ + 1, 0)  # nothing may differ: only identical sets link
+        groups = np.where((differ > 0) & (sizes > 0), differ + differ // 5 + 1, 0)  # nothing may differ: only identical sets link
         first = np.cumsum(groups) - groups
         wide = np.repeat(groups, sizes).astype(np.uint64)
         used = wide > 0
@@ -132,8 +134,13 @@ def cells(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
         np.add.at(sums, index, value[used])
         place = np.arange(len(sums)) - np.repeat(first, groups)
         names = mix(mix(sums + np.repeat(tag, groups).astype(np.uint64) * _MIX1) + place.astype(np.uint64) * _MIX2)
-        for p, f, g in zip(parts, first, groups):
-            p.append(names[f : f + g])
+        # Empty groups say nothing: they count only for a set that fills no more groups than may differ.
+        of = np.repeat(np.arange(len(sets)), groups)
+        filled = np.zeros(len(sums), bool)
+        filled[index] = True
+        keep = filled | (np.bincount(of, filled, len(sets)) <= differ)[of]
+        for p, c in zip(parts, np.split(names[keep], np.cumsum(np.bincount(of[keep], minlength=len(sets)))[:-1])):
+            p.append(c)
     return [np.concatenate(p) for p in parts]
 
 
