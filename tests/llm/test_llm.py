@@ -524,3 +524,15 @@ def test_pipeline(spark):
     packed = docs.collect()
     assert packed and all(r.offset + r.length <= o2.CAPACITY for r in packed)
     assert isinstance(docs.schema["sequence_id"].dataType, T.LongType)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_that_just_link_share_a_cell(percent):
+    draw = np.random.default_rng(1)
+    for size in [*range(1, 60), 200, 900, 3000]:
+        a = draw.integers(0, 2**63, size, dtype=np.uint64)
+        swapped = max(x for x in range(size) if 100 * (size - x) >= percent * (size + x))
+        others = [np.concatenate([a[swapped:], draw.integers(0, 2**63, swapped, dtype=np.uint64)]), a[size * (100 - percent) // 100 :]]
+        mine, *theirs = [set(c.tolist()) for c in o7.cells([np.unique(x) for x in (a, *others)], percent)]
+        for x, c in zip(others, theirs):
+            assert set(x.tolist()) == set(a.tolist()) or mine & c
