@@ -18,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 KINDS = ("mean", "sd", "median", "max")
-#: Five signals of 64 bins from the events, and their SQL.
+#: Five signals of 64 bins from the events, and their SQL: of a fixed span of 26.67 days, or ``_whole``, of all times in the table.
 BINS, SECONDS, START = 64, 36000, "2024-01-01"
 
 
@@ -44,9 +44,19 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.binned(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", START, BINS, SECONDS).withColumnRenamed("event_type", "id")
 
 
+def whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.spanned(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", BINS).withColumnRenamed("event_type", "id")
+
+
 EMBEDDINGS = "SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings"
 EVENTS = f"""SELECT id, list(coalesce(v, 0.0) ORDER BY bin) AS x FROM (SELECT DISTINCT event_type AS id FROM events WHERE value IS NOT NULL AND ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{START}' + INTERVAL {BINS * SECONDS} SECOND) k CROSS JOIN generate_series(0, {BINS - 1}) b(bin)
   LEFT JOIN (SELECT event_type AS id, CAST(floor(epoch(ts - TIMESTAMP '{START}') / {SECONDS}) AS BIGINT) AS bin, sum(value) AS v FROM events GROUP BY ALL) s USING (id, bin) GROUP BY id"""
+WHOLE_EVENTS = f"""SELECT id, list(coalesce(v, 0.0) ORDER BY bin) AS x FROM (SELECT DISTINCT event_type AS id FROM events WHERE value IS NOT NULL AND ts IS NOT NULL) k CROSS JOIN generate_series(0, {BINS - 1}) b(bin)
+  LEFT JOIN (SELECT event_type AS id, CAST(floor((floor(epoch(ts)) - s0) / width) AS BIGINT) AS bin, sum(value) AS v
+    FROM events, (SELECT floor(epoch(min(ts))) AS s0, ceil((floor(epoch(max(ts))) + 1 - floor(epoch(min(ts)))) / {BINS}) AS width FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)
+    WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL) s USING (id, bin) GROUP BY id"""
+#: Suffix of a query's name, its signals and their SQL.
+SPANS = (("", event_signals, EVENTS), ("_whole", whole_signals, WHOLE_EVENTS))
 
 
 def rounded(v: Column | str, digits: int = 6) -> Column:
@@ -196,19 +206,34 @@ def _scatter(name: str, make, source, sql_source: str):
 
 
 _scatter("scatter_embeddings", lambda: Scattering1D(64, 3, Q=1), embeddings, EMBEDDINGS)
-_scatter("scatter_global", lambda: Scattering1D(64, 3, Q=1, T="global"), event_signals, EVENTS)
-_scatter("scatter_unaveraged", lambda: Scattering1D(64, 3, Q=1, T=0), event_signals, EVENTS)
-_scatter("scatter_stride", lambda: Scattering1D(64, 3, Q=1, stride=2), event_signals, EVENTS)
 _scatter("scatter_order1", lambda: Scattering1D(64, 2, Q=(2, 1), max_order=1), embeddings, EMBEDDINGS)
-_scatter("scatter_events", lambda: Scattering1D(64, 3, Q=(4, 1), T=5), event_signals, EVENTS)
+for _suffix, _source, _sql in SPANS:
+    _scatter("scatter_global" + _suffix, lambda: Scattering1D(64, 3, Q=1, T="global"), _source, _sql)
+    _scatter("scatter_unaveraged" + _suffix, lambda: Scattering1D(64, 3, Q=1, T=0), _source, _sql)
+    _scatter("scatter_stride" + _suffix, lambda: Scattering1D(64, 3, Q=1, stride=2), _source, _sql)
+    _scatter("scatter_events" + _suffix, lambda: Scattering1D(64, 3, Q=(4, 1), T=5), _source, _sql)
 
 _COEFS = oracle.time_sql(_PLAN64.time, EMBEDDINGS, digits=14)
-_EVENT_COEFS = oracle.time_sql(_PLAN64.time, EVENTS, digits=14)
 
 
-@query("scatter_selected", f"SELECT id, path_idx, t, round(value, 6) + 0.0 AS value FROM ({_EVENT_COEFS}) WHERE path_idx = 2")
-def scatter_selected(spark, sf_dir):
-    return coefficients(_PLAN64.select_paths(labels=["S1_2"]).transform(event_signals(spark, sf_dir)))
+def _from_events(suffix: str, source, sql_source: str):
+    coefs = oracle.time_sql(_PLAN64.time, sql_source, digits=14)
+
+    @query("scatter_selected" + suffix, f"SELECT id, path_idx, t, round(value, 6) + 0.0 AS value FROM ({coefs}) WHERE path_idx = 2")
+    def scatter_selected(spark, sf_dir):
+        return coefficients(_PLAN64.select_paths(labels=["S1_2"]).transform(source(spark, sf_dir)))
+
+    @query("floors_events" + suffix, f"WITH c AS ({coefs}) SELECT id, round(greatest(quantile_cont(value, 0.25) FILTER (WHERE value > 0), 2.220446049250313e-16), 6) + 0.0 AS eps FROM c GROUP BY id")
+    def floors_events(spark, sf_dir):
+        return features.floors(_PLAN64.transform(source(spark, sf_dir)), ["id"], 0.25).select("id", rounded("eps").alias("eps"))
+
+    @query("event_bins" + suffix, f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS value FROM ({sql_source})")
+    def event_bins(spark, sf_dir):
+        return source(spark, sf_dir).select("id", F.posexplode("x").alias("t", "v")).select("id", "t", rounded("v").alias("value"))
+
+
+for _span in SPANS:
+    _from_events(*_span)
 
 
 _META = f"p(path_idx, ord, n1) AS (VALUES {oracle._values([(p['path_idx'], p['order'], p['n1']) for p in _PLAN64.paths])})"
@@ -232,21 +257,20 @@ def features_embeddings(spark, sf_dir):
     return out.select("id", "path_idx", *[rounded(k, 5).alias(k) for k in KINDS])
 
 
-@query("floors_events", f"WITH c AS ({_EVENT_COEFS}) SELECT id, round(greatest(quantile_cont(value, 0.25) FILTER (WHERE value > 0), 2.220446049250313e-16), 6) + 0.0 AS eps FROM c GROUP BY id")
-def floors_events(spark, sf_dir):
-    return features.floors(_PLAN64.transform(event_signals(spark, sf_dir)), ["id"], 0.25).select("id", rounded("eps").alias("eps"))
-
-
 # Joint scattering
 
 
 def _joint(name: str, make, renorm_eps: float | None = None):
     op = quiet(make)
 
-    @query(name, oracle.joint_sql(op.plan, EVENTS, renorm_eps=renorm_eps))
-    def run(spark, sf_dir):
-        out = bands(quiet(make).transform(event_signals(spark, sf_dir), renorm_eps=renorm_eps), ["id"])
-        return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
+    def add(suffix: str, source, sql_source: str):
+        @query(name + suffix, oracle.joint_sql(op.plan, sql_source, renorm_eps=renorm_eps))
+        def run(spark, sf_dir):
+            out = bands(quiet(make).transform(source(spark, sf_dir), renorm_eps=renorm_eps), ["id"])
+            return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
+
+    for span in SPANS:
+        add(*span)
 
 
 _joint("joint_events", lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4, format="joint"))
@@ -258,24 +282,24 @@ _joint("joint_renorm_global", lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4, F="glob
 
 @query("joint_time_format")
 def joint_time_format(spark, sf_dir):
-    return coefficients(quiet(lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4)).transform(event_signals(spark, sf_dir)))
+    return coefficients(quiet(lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4)).transform(whole_signals(spark, sf_dir)))
 
 
 _S1 = quiet(lambda: Scattering1D(64, 3, Q=4))
 
 
-@query("joint_s1", f"SELECT id, path_idx AS band, t, value FROM ({oracle.time_sql(_S1.time, EVENTS)}) WHERE path_idx BETWEEN 1 AND {len(_S1.time.psi1)}")
-def joint_s1(spark, sf_dir):
-    s1 = _SPUN.s1(event_signals(spark, sf_dir))
-    return s1.select("id", "band", F.posexplode("coef").alias("t", "v")).select("id", "band", "t", rounded("v").alias("value"))
+def _joint_s1(suffix: str, source, sql_source: str):
+    @query("joint_s1" + suffix, f"SELECT id, path_idx AS band, t, value FROM ({oracle.time_sql(_S1.time, sql_source)}) WHERE path_idx BETWEEN 1 AND {len(_S1.time.psi1)}")
+    def joint_s1(spark, sf_dir):
+        s1 = _SPUN.s1(source(spark, sf_dir))
+        return s1.select("id", "band", F.posexplode("coef").alias("t", "v")).select("id", "band", "t", rounded("v").alias("value"))
 
 
-# Signals and column features
+for _span in SPANS:
+    _joint_s1(*_span)
 
-@query("event_bins", f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS value FROM ({EVENTS})")
-def event_bins(spark, sf_dir):
-    return event_signals(spark, sf_dir).select("id", F.posexplode("x").alias("t", "v")).select("id", "t", rounded("v").alias("value"))
 
+# Signals and column features
 
 @query("signals_from_rows", "SELECT l_orderkey AS id, unnest(generate_series(0, len(x) - 1))::INT AS t, unnest(x) AS value FROM (SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS x FROM lineitem GROUP BY l_orderkey)")
 def signals_from_rows(spark, sf_dir):

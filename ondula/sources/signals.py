@@ -29,6 +29,23 @@ def binned(df: DataFrame, keys: list[str], ts: str, value: str, start: str, bins
     """
     at = F.floor((F.unix_timestamp(F.col(ts).cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / seconds).cast("int")
     sums = df.withColumn("bin", at).where((F.col("bin") >= 0) & (F.col("bin") < bins)).groupBy(*keys, "bin").agg(F.sum(value).alias("v"))
+    return _filled(sums, keys, bins)
+
+
+def spanned(df: DataFrame, keys: list[str], ts: str, value: str, bins: int) -> DataFrame:
+    """Sums of ``value`` in ``bins`` equal bins over all times of the table, from its first second to its last, empty bins zero.
+
+    One aggregate finds the span; bins are the fewest whole seconds long that reach its end, so no
+    row with a time and a value falls outside.
+    """
+    held = df.withColumn("second", F.unix_timestamp(F.col(ts).cast("timestamp"))).where(F.col("second").isNotNull() & F.col(value).isNotNull())
+    span = held.agg(F.min("second").alias("first"), F.ceil((F.max("second") + 1 - F.min("second")) / bins).alias("width"))
+    at = F.floor((F.col("second") - F.col("first")) / F.col("width")).cast("int")
+    sums = held.crossJoin(F.broadcast(span)).withColumn("bin", at).groupBy(*keys, "bin").agg(F.sum(value).alias("v"))
+    return _filled(sums, keys, bins)
+
+
+def _filled(sums: DataFrame, keys: list[str], bins: int) -> DataFrame:
     held = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("bin", "v"))).alias("m"))
     return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0))).alias("x"))
 

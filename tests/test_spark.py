@@ -197,3 +197,10 @@ def test_binned_signals_ignore_rows_without_time_or_value(spark):
     df = spark.createDataFrame([("a", "2024-01-01 00:00:30", 1.0), ("a", "2024-01-01 00:01:30", 2.0), ("a", None, 9.0), ("a", "2023-01-01 00:00:00", 9.0), (None, "2024-01-01 00:00:10", 4.0), ("a", "2024-01-01 00:00:40", None)], "k string, ts string, v double")
     got = {r.k: r.x for r in signals.binned(df, ["k"], "ts", "v", "2024-01-01", 3, 60).collect()}
     assert got == {"a": [1.0, 2.0, 0.0], None: [4.0, 0.0, 0.0]}
+
+
+def test_spanned_signals_hold_first_and_last_second(spark):
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:30", 1.0), ("a", "2024-01-01 00:03:29", 2.0), ("b", "2024-01-01 00:01:30", 8.0), ("a", None, 9.0), ("a", "2030-01-01 00:00:00", None)], "k string, ts string, v double")
+    got = {r.k: r.x for r in signals.spanned(df, ["k"], "ts", "v", 3).collect()}
+    assert got == {"a": [1.0, 0.0, 2.0], "b": [0.0, 8.0, 0.0]}
+    assert signals.spanned(df.where("false"), ["k"], "ts", "v", 3).count() == 0
