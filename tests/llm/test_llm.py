@@ -129,6 +129,26 @@ def test_clean_documents_survive_a_bad_host(spark):
     assert kept == set(range(100, 140))
 
 
+@pytest.mark.parametrize("bad", [25, 40, 970])
+def test_short_clean_documents_survive_bad_and_pooled_hosts(spark, bad):
+    """60 words, on hosts that all fail alike (25 or 40 of 65 or so, 970 of 1000) and so are strict or blocked."""
+    clean = " ".join(VOCAB[i % len(VOCAB)] + str(i) for i in range(60))
+    near = clean + " $$$$"  # 4 symbols, 61 words: past half the limit
+    twice = clean[: len(clean) // 4] + " " + clean  # repeats past half the limit, no symbols
+    good = 30
+    rows = []
+    for h in ("x", "y"):
+        rows += [(0, "$$$ ### " * 100 + f"{i}", "en", h, 0) for i in range(bad)]
+        rows += [(1, clean + f" {i}", "en", h, 0) for i in range(good)]
+        rows += [(2, near, "en", h, 0)]
+    rows += [(0, "few", "en", "z", 0)] * bad + [(1, clean, "en", "z", 0)] * good + [(3, near, "en", "z", 0), (3, twice, "en", "z", 0)]
+    frame = spark.createDataFrame(rows, DOCS)
+    verdicts = {r.host: r.verdict for r in o3.hosts(o3.features(frame)).collect()}
+    assert set(verdicts.values()) == {"blocked" if bad == 970 else "strict"}
+    kept = Counter(r.doc_id for r in o3.stage(spark, frame, SF).collect())
+    assert kept == {1: 3 * good, 3: 2}  # near documents go only where their host fails that rule
+
+
 # Mixing
 
 
