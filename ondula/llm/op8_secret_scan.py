@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and character Markov models compared by log-likelihood ratio.
 
-The three patterns (assignments, access keys, hex runs) always report.  Other long
-tokens are scored by two first-order character models, one of random strings and one of
-ordinary identifiers, and reported as ``markov`` where the ratio per character is high.
+The three patterns (assignments, access keys, hex runs) always report.  Every other token
+of 8 or more characters is scored by two first-order character models, one of random
+strings and one of ordinary identifiers, and reported as ``markov`` where the log-likelihood
+ratio is high: as a total for short tokens, by character for longer ones.  Ordinary
+identifiers start with a letter, so digit strings of 8 or more, phone numbers and dates
+among them, count as random.
 
 The models are trained from labelled samples: random strings are the values that the
 patterns matched, with seeded strings over common key alphabets; ordinary identifiers
@@ -33,14 +36,20 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "markov")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-#: Tokens that the models may judge: long runs of these with a letter, and a digit or a capital past the first letter.
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+#: Tokens that the models judge.
+LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}")
 ORDINARY = re.compile(r"[A-Za-z][A-Za-z0-9_-]{5,}")
-MIXED = re.compile(r"(?=.*[A-Za-z])(?:.*[0-9]|.+[A-Z])")
-#: Documents in the training sample; seeded strings; log-likelihood ratio per character that reports.
+#: Documents in the training sample; seeded strings; log-likelihood ratio per character that reports, and the least total, which short tokens must reach.
 SAMPLE_DOCS, SEEDED, LEAST_RATIO = 2000, 2000, 0.7
+LEAST_TOTAL = 8.0
 SYMBOLS = 130  # ASCII, other, and the edge of a token
 
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+ALPHABETS = {
+    "hex": _DIGITS + "abcdef", "base32": _UPPER + "234567", "base32-lower": _LOWER + "234567", "base36": _LOWER + _DIGITS, "base62": _UPPER + _LOWER + _DIGITS,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/", "lower": _LOWER, "upper": _UPPER, "digits": _DIGITS,
+}
+
 Span = tuple[int, int, str]
 
 
@@ -59,6 +68,17 @@ def codes(token: str) -> np.ndarray:
     return np.concatenate([[129], np.minimum(inner, 128), [129]]).astype(np.int64)
 
 
+def totals(text: str, tokens: list[re.Match], ratio: np.ndarray) -> list[float]:
+    """Log-likelihood ratio of each token with its edges, by running sums over the whole text."""
+    if not tokens:
+        return []
+    c = np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)
+    sums = np.concatenate([[0.0], np.cumsum(ratio[c[:-1], c[1:]])])
+    at = np.array([t.span() for t in tokens])
+    first, last = at[:, 0], at[:, 1] - 1
+    return (sums[last] - sums[first] + ratio[129, c[first]] + ratio[c[last], 129]).tolist()
+
+
 def scan(text: str, ratio: np.ndarray | None, least: float = LEAST_RATIO) -> list[Span]:
     """All spans of a text, by start, then kind as listed. ratio: log of random over ordinary, by two characters."""
     spans = base_spans(text)
@@ -68,11 +88,9 @@ def scan(text: str, ratio: np.ndarray | None, least: float = LEAST_RATIO) -> lis
             spans += [(t.start() + m.start(), t.start() + m.end(), "hex") for m in HEX.finditer(t[0]) if len(m[0]) >= LEAST["hex"]]
     if ratio is not None:
         taken = spans[:]
-        for t in long:
-            if MIXED.match(t[0]) and not any(s < t.end() and t.start() < e for s, e, _ in taken):
-                c = codes(t[0])
-                if ratio[c[:-1], c[1:]].sum() >= least * (len(c) - 1):
-                    spans.append((t.start(), t.end(), "markov"))
+        for t, total in zip(long, totals(text, long, ratio)):
+            if total >= max(LEAST_TOTAL, least * (t.end() - t.start() + 1)) and not any(s < t.end() and t.start() < e for s, e, _ in taken):
+                spans.append((t.start(), t.end(), "markov"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
@@ -88,11 +106,10 @@ def labelled(text: str) -> Iterator[tuple[str, int]]:
 
 
 def seeded(n: int = SEEDED, seed: int = 1) -> list[str]:
-    """Random strings over the alphabets of keys: hex, base 32, base 62, base 64."""
+    """Random strings over the alphabets of keys."""
     draw = random.Random(seed)
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    alphabets = ("0123456789abcdef", upper + "234567", upper + upper.lower() + "0123456789", upper + upper.lower() + "0123456789+/")
-    return ["".join(draw.choices(alphabets[i % len(alphabets)], k=draw.randint(16, 48))) for i in range(n)]
+    alphabets = tuple(ALPHABETS.values())
+    return ["".join(draw.choices(alphabets[i % len(alphabets)], k=draw.randint(8, 48))) for i in range(n)]
 
 
 def log_ratio(counts: np.ndarray, smooth: float = 0.2) -> np.ndarray:

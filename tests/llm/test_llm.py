@@ -450,6 +450,28 @@ def test_models_tell_random_strings_on_held_out_samples(spark):
     assert [(k, text[s:e]) for s, e, k in o8.scan(text, ratio)] == [("markov", "kJ8dQz2LmX9vTr4WbYp7Ns3c")]
 
 
+def test_scan_finds_held_out_random_strings_of_each_alphabet_and_length(spark):
+    docs = common.read(spark, SF, "documents")
+    ratio = o8.train(docs, sample_docs=100)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = [digits + "abcdef", lower.upper() + "234567", lower + "234567", lower + digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "+/", lower, lower.upper(), digits]
+    draw = random.Random(77)
+    for alphabet in alphabets:
+        for n, share in ((8, 0.88), (10, 0.92), (12, 0.95), (16, 0.97), (20, 0.97), (23, 0.98)):
+            found = 0
+            for _ in range(200):
+                w = "".join(draw.choices(alphabet, k=n))
+                found += bool(o8.scan(f"see {w} here", ratio))
+            assert found >= share * 200, (alphabet, n, found)
+    held_out = {m[0] for r in docs.orderBy(F.desc("doc_id")).limit(80).collect() for m in o8.LONG.finditer(r.text or "") if re.search("[a-z]", m[0]) and not o8.scan(m[0], None)}
+    assert sum(bool(o8.scan(w, ratio)) for w in held_out) <= 0.01 * len(held_out)
+    text = "é kJ8dQz2L \U0001f600 qzxvkwjq"
+    assert [text[s:e] for s, e, _ in o8.scan(text, ratio)] == ["kJ8dQz2L", "qzxvkwjq"]
+    for t in o8.LONG.finditer(text):
+        c = o8.codes(t[0])
+        assert o8.totals(text, [t], ratio)[0] == pytest.approx(ratio[c[:-1], c[1:]].sum())
+
+
 def test_secret_scan_rows(docs):
     out = o8.secret_scan(docs, o8.train(docs)).collect()
     assert sorted(r.id is None for r in out) == sorted(r.doc_id is None for r in docs.collect())
