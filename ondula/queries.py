@@ -345,4 +345,4 @@ def array_summaries(spark, sf_dir):
 
 @query("self_check")
 def self_check(spark, sf_dir):
-    return reports.golden_report(spark, ["global-2048-J6", "jtfs-video-900-J7"])
+    return reports.golden_report(spark)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ondula import queries
 from ondula.functions import arrays, features, sql
 from ondula.operators import kernels
 from ondula.operators.ml import ScatteringFeatures
@@ -204,3 +205,24 @@ def test_spanned_signals_hold_first_and_last_second(spark):
     got = {r.k: r.x for r in signals.spanned(df, ["k"], "ts", "v", 3).collect()}
     assert got == {"a": [1.0, 0.0, 2.0], "b": [0.0, 8.0, 0.0]}
     assert signals.spanned(df.where("false"), ["k"], "ts", "v", 3).count() == 0
+
+
+def test_self_check_has_the_quantities_of_the_reference(spark):
+    rows = queries.QUERIES["self_check"](spark, "").collect()
+    want = [(n, "coefs") for n, *_ in reports.CASES if n != "jtfs-video-900-J7"]
+    want += [(n, k) for n in ("kinematic-1800-J8-Tsec1", "audio-32000-J9-Q8", "strided-4096-J7") for k in ("Mean", "Sd", "Median", "Max")]
+    want += [(n, "shape") for n, *_ in reports.CASES if n.startswith("jtfs") and n != "jtfs-video-900-J7"]
+    want += [("jtfs-video-900-J7", "s1"), ("jtfs-video-900-J7", "renorm")]
+    assert sorted((r.name, r.quantity) for r in rows) == sorted(want) and len(want) == 28
+    assert len({r.hash for r in rows}) == 28
+    assert reports.verify(spark, ["strided-4096-J7", "jtfs-video-900-J7"]) == []
+
+
+def test_verify_deals_the_signals_out_anew(spark, monkeypatch):
+    seen = []
+    report = reports.golden_report
+    monkeypatch.setattr(reports, "golden_report", lambda *a, **k: seen.append(report(*a, **k)) or seen[-1])
+    assert reports.verify(spark, ["unaveraged-1500-J6"]) == []
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in seen]
+    dealt = [p.find("RepartitionByExpression") if "RepartitionByExpression" in p else p.find("Repartition 3") for p in plans]
+    assert dealt[0] < 0 <= dealt[1] and plans[1].rfind("MapInArrow", 0, dealt[1]) >= 0  # under the transform
