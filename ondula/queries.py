@@ -118,6 +118,16 @@ def complex_arithmetic(spark, sf_dir):
     return held.select("id", rounded("p.re").alias("re"), rounded("p.im").alias("im"), rounded("n").alias("norm"), rounded("h.re").alias("half"))
 
 
+@query("complex_arithmetic_all", "SELECT id, k::INT AS k, round(a * c - b * d, 6) + 0.0 AS re, round(a * d + b * c, 6) + 0.0 AS im, round(sqrt(a * a + b * b), 6) + 0.0 AS norm, round((a - c) / 2, 6) + 0.0 AS half FROM (SELECT id, k, x[4 * k + 1] AS a, x[4 * k + 2] AS b, x[4 * k + 3] AS c, x[4 * k + 4] AS d FROM (" + EMBEDDINGS + "), generate_series(0, 15) g(k))")
+def complex_arithmetic_all(spark, sf_dir):
+    """Each four values of a vector are two complex numbers, as the first four are in ``complex_arithmetic``."""
+    four = embeddings(spark, sf_dir).select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.size("x") / 4).cast("int") - 1), lambda k: F.slice("x", 4 * k + 1, 4))).alias("k", "x"))
+    x = F.col("x")
+    a, b = arrays.complex_(x[0], x[1]), arrays.complex_(x[2], x[3])
+    held = four.select("id", "k", arrays.multiply(a, b).alias("p"), arrays.norm(a).alias("n"), arrays.unscale(arrays.subtract(a, b), 2.0).alias("h"))
+    return held.select("id", "k", rounded("p.re").alias("re"), rounded("p.im").alias("im"), rounded("n").alias("norm"), rounded("h.re").alias("half"))
+
+
 @query("ordered_sum", "SELECT id, round(list_sum(x), 6) + 0.0 AS value FROM (" + EMBEDDINGS + ")")
 def ordered_sum(spark, sf_dir):
     return embeddings(spark, sf_dir).select("id", rounded(arrays.ordered_sum(F.col("x"))).alias("value"))
@@ -141,12 +151,21 @@ def dft_power(spark, sf_dir):
     return embeddings(spark, sf_dir).mapInArrow(run, "id long, p array<double>").select("id", F.posexplode("p").alias("k", "v")).select("id", "k", rounded("v").alias("power"))
 
 
+def _there_and_back(x: Column) -> Column:
+    return arrays.dft(arrays.dft(arrays.as_complex(x), BINS), BINS, inverse=True)
+
+
 @query("dft_round_trip", "SELECT event_type AS id, 1 AS ok FROM (SELECT DISTINCT event_type FROM events)")
 def dft_round_trip(spark, sf_dir):
-    x = F.slice("x", 1, 16)
-    back = arrays.dft(arrays.dft(arrays.as_complex(x), 16), 16, inverse=True)
-    near = F.forall(F.zip_with(back, x, lambda z, v: F.abs(z.re - v) + F.abs(z.im) < 1e-6 * (1 + F.abs(v))), lambda b: b)
-    return event_signals(spark, sf_dir).select("id", near.cast("int").alias("ok"))
+    back = _there_and_back(F.col("x"))
+    near = F.forall(F.zip_with(back, "x", lambda z, v: F.abs(z.re - v) + F.abs(z.im) < 1e-6 * (1 + F.abs(v))), lambda b: b)
+    return whole_signals(spark, sf_dir).select("id", near.cast("int").alias("ok"))
+
+
+@query("dft_round_trip_values", f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM ({WHOLE_EVENTS})")
+def dft_round_trip_values(spark, sf_dir):
+    each = whole_signals(spark, sf_dir).select("id", F.posexplode(_there_and_back(F.col("x"))).alias("t", "z"))
+    return each.select("id", "t", rounded("z.re").alias("re"), rounded("z.im").alias("im"))
 
 
 # Filters, schedules, paths

@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from ondula import queries
 
@@ -53,3 +54,17 @@ def test_whole_spans_count_every_event(spark, duck):
     last = duck.sql(f"SELECT sum(value) FROM events WHERE ts >= TIMESTAMP '{queries.START}' + INTERVAL {queries.BINS * queries.SECONDS} SECOND").limit(1).fetchall()[0][0]
     assert last > 0 and got.value.sum() > queries.QUERIES["event_bins"](spark, SF).toPandas().value.sum()
     assert {n + "_whole" for n, sql in queries.SQL.items() if queries.EVENTS in sql} <= set(queries.SQL)
+
+
+def test_round_trip_checks_every_sample(spark, monkeypatch):
+    """A transform that spoils a signal's last sample must show."""
+    dft = queries.arrays.dft
+    spoil = lambda x, n, inverse=False: F.transform(dft(x, n, inverse), lambda z, i: queries.arrays.complex_(z.re + F.when(i == 63, 1e6).otherwise(0.0), z.im)) if inverse else dft(x, n)
+    assert {r.ok for r in queries.QUERIES["dft_round_trip"](spark, SF).collect()} == {1}
+    monkeypatch.setattr(queries.arrays, "dft", spoil)
+    assert {r.ok for r in queries.QUERIES["dft_round_trip"](spark, SF).collect()} == {0}
+
+
+def test_complex_arithmetic_covers_the_vector(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    assert queries.QUERIES["complex_arithmetic_all"](spark, SF).count() == 16 * n
