@@ -518,6 +518,27 @@ def test_odd_conversations(spark):
     assert out == {1: [("user", ""), ("user", ""), ("", "x"), ("assistant", "y")], None: [("a\nb<|", "z\n")], 2: [("assistant", "")]}
 
 
+def test_texts_beyond_the_limit_of_the_parser(spark):
+    n = o10.JSON_CHARS + 1
+    rows = spark.range(3).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("id") == 1, F.repeat(F.lit("a"), n)).otherwise("b").alias("text"))
+    (r,) = o10.format_chat(o10.records(rows)).select("layout", F.transform("turns", lambda t: F.length(t.text)).alias("n"), "loss_spans", F.length("formatted").alias("chars")).collect()
+    assert r.layout == "messages" and r.n == [1, n, 1] and [s.end - s.start for s in r.loss_spans] == [1, n, 1]
+    assert r.chars == n + 2 + 3 * (12 + 9 + 1 + 11)
+    text = F.repeat(F.lit("a"), n)
+    json = spark.range(1).select(F.concat(F.lit('{"prompt":"x","completion":"'), text, F.lit('"}')).alias("record"))
+    assert [(r.layout, r.turns) for r in o10.canonical(json).select("layout", "turns").collect()] == [("oversize", None)]
+
+
+def test_structs_are_read_as_their_json(spark):
+    kinds = {"shares": "struct<conversations:array<struct<value:string,from:string>>>", "alpaca": "struct<output:string,input:string,instruction:string>", None: "struct<odd:int>"}
+    values = {"shares": ([("hi", "human"), ("yo", "gpt")],), "alpaca": ("yo", "more", "hi"), None: (1,)}
+    for layout, kind in kinds.items():
+        df = spark.createDataFrame([(values[layout],), (None,)], f"record {kind}")
+        got = o10.canonical(df).select("layout", "turns").collect()
+        want = o10.canonical(df.select(F.to_json("record").alias("record"))).select("layout", "turns").collect()
+        assert got == want and [r.layout for r in got] == [layout, None]
+
+
 # Whole queries
 
 
