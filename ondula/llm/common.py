@@ -24,22 +24,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is named."""
+    """The folder that all executors share. A temporary one only where none is named and one machine runs all."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="ondula-checkpoint-")
-        spark.sparkContext.setCheckpointDir(named)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ondula-checkpoint-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows as a table written in the shared folder: lineage ends here, lost executors cost nothing."""
-    path = f"{shared_dir(df.sparkSession)}/ondula/{uuid.uuid4().hex}"
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows as a table written in the shared folder: lineage ends here, lost executors cost nothing."""
+    return _write(df, f"{shared_dir(df.sparkSession)}/ondula/{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """``with Scratch(spark) as s``: tables written by ``s.cut`` in a folder of the shared one, deleted when the block ends.
+
+    What outlives the block is written by the ``cut`` above.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/ondula/{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return _write(df, f"{self.path}/{self.n}")
+
+    def __exit__(self, *_: object) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def without(text: Column, characters: str) -> Column:
     """The text with every one of these characters deleted, inside whole-stage code."""
     for c in characters:

@@ -1,46 +1,58 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
-A document is the set of its word shingles, as 64-bit hashes.  Tokens (shingles) are
-hashed into groups, and a document's group counts are its point.  The overlap of two
-documents is at most the sum of the smaller of their coordinates, and for the nodes of the
-tree the same holds of their largest coordinates, so pairs of nodes, then pairs of points,
-whose sum is too small for the threshold are dropped, and the rest is verified on the
-whole sets.
-
-The top of the tree is exact and needs no comparisons.  Two documents of sizes up to e
-that reach Jaccard t differ in at most ``r = 2 e (1 - t) / (1 + t)`` shingles.  With more
-than r groups at least one group of both is the same, so a document descends to the cells
-named by the contents of its groups, for its own size class and the next.  A set that fills
-more than r groups shares a filled one with each partner, so its empty groups name no cell
-(there are 1.2 r groups, so nearly every set does); the others keep them.  Cells with
-two different sets join to clusters; nothing outside a cluster can link.
-
-A cluster is cut into leaves of about ``LEAF`` sets, by size and hash, so a large group
-lies in many tasks.  First each leaf is compared with itself and with one leaf of its
-cluster, which joins the bulk of a group; what is joined moves to leaves of its own, and
-then only pairs of leaves that are not of one component are compared.  Sets that are
-identical are one point from the start.  No pair of copies is ever listed.
+A document is the set of its word shingles, as 64-bit hashes.  Shingles are hashed into
+groups and a set's group counts are its point, at three grains of the same hash: every hash
+a group of its own, about four shingles to a group (64 to 512 groups), and about one (up to
+32,768).  The overlap of two sets is at most the sum of the smaller of their coordinates, and
+for two nodes of the tree at most that of their largest coordinates.
+
+* Upper nodes (``members``) are boxes that have no width in one block of coordinates.  Two
+  sets of sizes up to e that reach Jaccard t differ in at most ``r = 2 e (1 - t) / (1 + t)``
+  shingles, so of more than r blocks at least one has equal counts in both: a set descends to
+  the nodes named by (size class, block, the block's counts at the finest grain), for its own
+  class and the next.  A set that fills more than r blocks shares a filled one with each
+  partner, so its empty blocks name no node.  For the same reason it may leave every node of
+  more than ``HOT`` sets if the filled ones it keeps are still more than r: a common passage
+  then gathers nobody but the sets that consist of it.
+* The first join pairs the sets of a node with its least one, and what links is one component.
+* In the nodes that still hold several components, sets lie in leaves of about ``LEAF`` in
+  tree order (component, size), with size range and largest coordinates (``descend``).  Pairs
+  of nodes go down from the root, 16 children to a node; a pair of one component, or whose
+  sizes or summed minima are too small, is dropped with all below it.  Then pairs of points
+  are bounded at the middle grain (``near_points``), and the pairs that are left at the
+  grain of one shingle a group (``bounded``).
+* Surviving pairs are verified on the whole sets, read again from the texts (``verify``).
+  Names, points and pairs are all that is written or shuffled before.
+
+No pair of copies is ever listed: identical sets are one point, and a group of near copies
+is one component after the first join.  Hot nodes are split in leaves, and hot stars by the
+shingles of their partners, so no task holds more than a few hundred points, or
+``MOST`` shingles and two texts.
 
 Defined results: a null or blank text has no shingles and is alone; fewer words than a
 shingle are one shingle of their own kind; null ids are ignored by the smallest id unless
-all are null; repeated rows each return.  An empty table gives an empty result.  Sets are
-told apart by 64-bit hashes.
+all are null; repeated rows each return.  An empty table gives an empty result.  A very long
+text is one set, hashed whole; other columns are ignored, whatever their names, and carried
+by ``stage``.  Sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ondula.llm import common, graph, tokens
 
 #: Jaccard threshold in hundredths; words of a shingle.
 PERCENT, WORDS = 90, 3
-GROUPS, LEAF = 64, 256
+#: Coordinates of a node's box; sets of a leaf; children of an inner node, as a power of two; sets from which a node is hot.
+BOX, LEAF, FAN, HOT = 64, 256, 4, 64
+#: Shingles that are verified together.
+MOST = 1 << 18
 #: Bytes of text hashed at once; a byte takes about a hundred while it is.
 SLICE = 1 << 19
 
@@ -114,196 +126,303 @@ def size_classes(most: int, percent: int) -> np.ndarray:
     return np.array([*ends, (e + 1) * 100 // percent], np.int64)
 
 
-def cells(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
-    """Names of the cells of each set: contents of its groups, for its size class and the next."""
+def cells(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each set: names of its upper nodes, whether of the next size class, and how many filled blocks of that class it may do without."""
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = size_classes(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(ends, sizes)
     every = np.concatenate(sets) if len(sets) else np.empty(0, np.uint64)
     high, value = mix(every + _STEP) >> np.uint64(32), mix(every ^ _MIX1)
-    parts: list[list[np.ndarray]] = [[] for _ in sets]
+    parts: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in sets]
     for shift in (0, 1):
         tag = own + shift
         differ = 2 * ends[tag] * (100 - percent) // (100 + percent)
-        groups = np.where((differ > 0) & (sizes > 0), differ + differ // 5 + 1, 0)  # nothing may differ: only identical sets link
-        first = np.cumsum(groups) - groups
-        wide = np.repeat(groups, sizes).astype(np.uint64)
+        blocks = np.where((differ > 0) & (sizes > 0), differ + differ // 5 + 1, 0)  # nothing may differ: only identical sets link
+        first = np.cumsum(blocks) - blocks
+        wide = np.repeat(blocks, sizes).astype(np.uint64)
         used = wide > 0
         index = (np.repeat(first, sizes)[used] + ((high[used] * wide[used]) >> np.uint64(32)).astype(np.int64)).astype(np.int64)
-        sums = np.zeros(int(groups.sum()), np.uint64)
+        sums = np.zeros(int(blocks.sum()), np.uint64)
         np.add.at(sums, index, value[used])
-        place = np.arange(len(sums)) - np.repeat(first, groups)
-        names = mix(mix(sums + np.repeat(tag, groups).astype(np.uint64) * _MIX1) + place.astype(np.uint64) * _MIX2)
-        # Empty groups say nothing: they count only for a set that fills no more groups than may differ.
-        of = np.repeat(np.arange(len(sets)), groups)
+        place = np.arange(len(sums)) - np.repeat(first, blocks)
+        names = mix(mix(sums + np.repeat(tag, blocks).astype(np.uint64) * _MIX1) + place.astype(np.uint64) * _MIX2)
+        # Empty blocks say nothing: they count only for a set that fills no more blocks than may differ.
+        of = np.repeat(np.arange(len(sets)), blocks)
         filled = np.zeros(len(sums), bool)
         filled[index] = True
-        keep = filled | (np.bincount(of, filled, len(sets)) <= differ)[of]
-        for p, c in zip(parts, np.split(names[keep], np.cumsum(np.bincount(of[keep], minlength=len(sets)))[:-1])):
-            p.append(c)
-    return [np.concatenate(p) for p in parts]
+        spare = np.bincount(of, filled, len(sets)).astype(np.int64) - differ - 1
+        keep = filled | (spare < 0)[of]
+        for p, c, n in zip(parts, np.split(names[keep], np.cumsum(np.bincount(of[keep], minlength=len(sets)))[:-1]), spare):
+            p.append((c, np.full(len(c), shift), np.full(len(c), n)))
+    return [tuple(np.concatenate(x) for x in zip(*p)) for p in parts]
 
 
 def set_name(s: np.ndarray) -> int:
     return int(mix(np.array([len(s)], np.uint64) * _STEP + mix(s + _MIX2).sum(dtype=np.uint64)).view(np.int64)[0])
 
 
-def describe(docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """id, k1, k2, name (of the set, null if empty), n, cells (of the first row of a set in a task)."""
+def point(s: np.ndarray, bits: int) -> np.ndarray:
+    """Counts of a set in ``2^bits`` groups, cut at 255."""
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def grains(n: int) -> tuple[int, int]:
+    """Bits of the middle and the fine grain of a set of n."""
+    fine = min(max(int(n - 1).bit_length(), 6), 15)
+    return min(max(fine - 2, 6), 9), fine
+
+
+def overlap(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Bound of the overlap: summed minima of the last axis, and the smaller of what cut coordinates leave out."""
+    cut = np.minimum(n_a - a.sum(axis=-1, dtype=np.int64), n_b - b.sum(axis=-1, dtype=np.int64))
+    return np.minimum(a, b).sum(axis=-1, dtype=np.int64) + cut
+
+
+def coarser(p: np.ndarray, size: int) -> np.ndarray:
+    """The point in fewer groups, each the sum of neighbours."""
+    return p.reshape(size, -1).sum(axis=1, dtype=np.int64)
+
+
+def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Least overlap with which sizes a and b link: 100 i >= percent (a + b - i)."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def describe(docs: DataFrame, k: int) -> DataFrame:
+    """id, k1, k2, name (of the set, null if empty), n, mid, fine (its points, of the first row of a set in a task)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for at, texts in tokens.slices(batch, "text", SLICE):
-                sets = shingle_sets(texts, k)
-                names = [set_name(s) if len(s) else None for s in sets]
-                fresh = []
-                for i, n in enumerate(names):
-                    if n is not None and n not in seen:
-                        seen.add(n)
-                        fresh.append(i)
-                found = dict(zip(fresh, cells([sets[i] for i in fresh], percent)))
-                lists = pa.array([found[i].view(np.int64) if i in found else [] for i in range(len(sets))], pa.list_(pa.int64()))
-                same = [batch.column(c).slice(at, len(sets)) for c in ("id", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "k1", "k2", "name", "n", "cells"])
-
-    return docs.mapInArrow(run, f"id {kind}, k1 long, k2 long, name long, n long, cells array<long>")
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the cells of a partition: (least set, other set) of each cell with two sets, once each."""
-    parts = [(b.column("cell").to_numpy(), b.column("name").to_numpy()) for b in batches]
-    if not parts:
-        return
-    cell, name = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((name, cell))
-    cell, name = cell[order], name[order]
-    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
-    least = np.repeat(name[begin], np.diff([*begin, len(cell)])) if len(cell) else name
-    own = name != least
-    pairs = np.unique(np.stack([least[own], name[own]]), axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
-
-
-def point(s: np.ndarray) -> np.ndarray:
-    """Group counts of a set: its point in the tree."""
-    return np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
+                names: list[int | None] = []
+                points: list[tuple[bytes | None, bytes | None]] = []
+                sizes = []
+                for s in shingle_sets(texts, k):
+                    names.append(set_name(s) if len(s) else None)
+                    sizes.append(len(s))
+                    fresh = len(s) and names[-1] not in seen
+                    points.append(tuple(point(s, bits).tobytes() for bits in grains(len(s))) if fresh else (None, None))
+                    seen.add(names[-1])
+                same = [batch.column(c).slice(at, len(texts)) for c in ("id", "k1", "k2")]
+                cols = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(p, pa.binary()) for p in zip(*points))]
+                yield pa.RecordBatch.from_arrays(same + cols, names=["id", "k1", "k2", "name", "n", "mid", "fine"])
 
+    return docs.select("id", "k1", "k2", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, name long, n long, mid binary, fine binary")
 
-def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``docs`` with one of the rows of each pair (k1, k2) in ``repeated``, a written table."""
-    if repeated.isEmpty():
-        return docs
-    twice = common.maybe_broadcast(repeated.select("k1", "k2"))
-    return docs.join(twice, ["k1", "k2"], "left_anti").unionByName(docs.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
 
+def nodes(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """cell, name, shift, spare: the upper nodes of each set, once in a task."""
 
-def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Least overlap with which sizes a and b link: 100 i >= percent (a + b - i)."""
-    return -(-percent * (a + b) // (100 + percent))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for _, texts in tokens.slices(batch, "text", SLICE):
+                fresh = {n: s for s in shingle_sets(texts, k) if len(s) and (n := set_name(s)) not in seen}
+                seen.update(fresh)
+                found = cells(list(fresh.values()), percent)
+                if found:
+                    names = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), [len(f[0]) for f in found])
+                    cell, shift, spare = (np.concatenate(x) for x in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(names), pa.array(shift, pa.int32()), pa.array(spare)], names=["cell", "name", "shift", "spare"])
 
+    return docs.select("text").mapInArrow(run, "cell long, name long, shift int, spare long")
 
-def _link(percent: int, k: int):
-    """Links of a pair of leaves that join two components of it."""
 
-    def run(table: pa.Table) -> pa.Table:
-        keep = np.unique(table["name"].to_numpy(), return_index=True)[1]
-        t = table.take(pa.array(keep))
-        sets = [s for _, texts in tokens.slices(t, "text", SLICE) for s in shingle_sets(texts, k)]
-        n = np.array([len(s) for s in sets], np.int64)
-        order = np.argsort(n, kind="stable")
-        sets, n = [sets[i] for i in order], n[order]
-        name, part = t["name"].to_numpy()[order], t["part"].to_numpy()[order]
-        points = np.stack([point(s) for s in sets])
-        above = np.unique(part, return_inverse=True)[1].tolist()
-        root = list(range(max(above) + 1))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        node = 16  # nodes of neighbours in size, bounded by their largest coordinates
-        begins = np.arange(0, len(n), node)
-        box = np.maximum.reduceat(points, begins, axis=0)
-        out: list[tuple[int, int]] = []
-        for i in range(1, len(n)):
-            mine, low = find(above[i]), int(np.searchsorted(n, -(-percent * int(n[i]) // 100)))
-            if low >= i:
-                continue
-            first, last = low // node, (i - 1) // node + 1
-            fits = np.minimum(box[first:last], points[i]).sum(axis=1) >= enough(n[begins[first:last]], n[i], percent)
-            for b in begins[first:last][fits].tolist():
-                js = np.arange(max(b, low), min(b + node, i))
-                js = js[np.minimum(points[js], points[i]).sum(axis=1) >= enough(n[js], n[i], percent)]
-                for j in js.tolist():
-                    if (other := find(above[j])) != mine and len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= enough(n[i], n[j], percent):
-                        root[other] = mine
-                        out.append((int(name[i]), int(name[j])))
-        u, v = zip(*out) if out else ((), ())
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-    return run
-
-
-def _compare(docs: DataFrame, held: DataFrame, pairs: DataFrame, percent: int, k: int) -> DataFrame:
-    """u, v: links found between the sets of each pair of leaves (pair, leaf).
-
-    Texts are dealt to the pairs rather than sets: they are half as large, and nothing of them is written.
+def members(docs: DataFrame, percent: int, k: int, s: common.Scratch, hot: int = HOT) -> DataFrame:
+    """cell, name, written: the upper nodes with two different sets.
+
+    The nodes of all sets are told twice rather than written: first to find those with two
+    sets, which tasks add up before the shuffle, then to keep their members.
     """
-    wanted = common.cut(held.join(pairs, "leaf").select("k1", "k2", "name", "part", "pair"))
+    every = nodes(docs, percent, k)
+    shared = every.groupBy("cell").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("cell")
+    held = s.cut(every.join(common.maybe_broadcast(s.cut(shared)), "cell", "left_semi").distinct())
+    large = s.cut(held.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("cell"))
+    if large.isEmpty():
+        return held
+    large = common.maybe_broadcast(large)
+    leaves = held.join(large, "cell", "left_semi").groupBy("name", "shift").agg(F.count("*").alias("c"), F.min("spare").alias("spare")).where("c <= spare")
+    leaves = common.maybe_broadcast(s.cut(leaves.select("name", "shift", F.lit(True).alias("leaves"))))
+    marked = held.join(large.withColumn("hot", F.lit(True)), "cell", "left").join(leaves, ["name", "shift"], "left")
+    return s.cut(marked.where("hot IS NULL OR leaves IS NULL").select("cell", "name"))
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (u, v) whose points at the fine grain allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.stack([b.column("n_u").to_numpy(), b.column("n_v").to_numpy()])
+            need, keep = enough(n[0], n[1], percent), np.zeros(b.num_rows, bool)
+            for i, (x, y) in enumerate(zip(b.column("p_u").to_pylist(), b.column("p_v").to_pylist())):
+                p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(p), len(q))
+                keep[i] = n[:, i].min() >= need[i] and overlap(coarser(p, size), coarser(q, size), n[0, i], n[1, i]) >= need[i]
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(pa.array(keep)), b.column("v").filter(pa.array(keep))], names=["u", "v"])
+
+    u, v = (sets.select(F.col("name").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"p_{x}")) for x in "uv")
+    return pairs.join(u, "u").join(v, "v").select("u", "v", "n_u", "n_v", "p_u", "p_v").mapInArrow(run, "u long, v long")
+
+
+def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, k: int, s: common.Scratch) -> DataFrame:
+    """The links among ``pairs`` (u, v; written): each u meets its partners, in as many parts as their shingles need."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = {n: x for n, x in zip(table["name"].to_pylist(), [x for batch in table.to_batches() for _, t in tokens.slices(batch, "text", SLICE) for x in shingle_sets(t, k)])}
+        centre = next((n for n, c in zip(table["name"].to_pylist(), table["centre"].to_pylist()) if c), None)
+        mine = found.pop(centre, np.empty(0, np.uint64))
+        linked = [n for n, x in found.items() if len(np.intersect1d(mine, x, assume_unique=True)) >= enough(len(mine), len(x), percent)]
+        return pa.table({"u": pa.array([centre] * len(linked), pa.int64()), "v": pa.array(linked, pa.int64())})
+
+    sized = pairs.join(sets.select(F.col("name").alias("v"), "n"), "v")
+    parts = s.cut(sized.groupBy("u").agg(F.ceil(F.sum("n") / MOST).alias("parts")))
+    dealt = s.cut(pairs.join(parts, "u").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("unit")))
+    named = dealt.select("unit", F.col("v").alias("name"), F.lit(False).alias("centre")).unionByName(dealt.select("unit", F.col("u").alias("name"), F.lit(True).alias("centre")).distinct())
+    wanted = s.cut(named.join(sets.select("name", "k1", "k2"), "name"))
     met = docs.join(common.maybe_broadcast(wanted), ["k1", "k2"])
-    return met.select("pair", "name", "part", "text").groupBy("pair").applyInArrow(_link(percent, k), "u long, v long")
-
-
-def _leafed(held: DataFrame, whole: list[str], by: list) -> DataFrame:
-    """``held`` with leaf: a hash of the columns ``whole`` and of the row's slot among as many as its group needs."""
-    sizes = held.groupBy(*whole).agg(F.count("*").alias("all"))
-    slots = F.ceil(F.col("all") / LEAF)
-    joined = held.join(common.maybe_broadcast(common.cut(sizes)), whole)
-    return joined.withColumn("slot", F.pmod(F.xxhash64(*by), slots)).withColumn("leaf", F.xxhash64(*whole, "slot")).drop("all")
-
-
-def links(found: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """node, root of the components of linked sets. found: a written table of describe(); docs: k1, k2, text."""
-    exploded = found.select("name", F.explode("cells").alias("cell"))
-    stars = exploded.repartition(F.col("cell")).mapInArrow(_stars, "u long, v long").distinct()
-    clusters = graph.components(stars)
-    roots = clusters.select(F.col("root").alias("name"), F.col("root").alias("cluster")).distinct()
-    clusters = clusters.select(F.col("node").alias("name"), F.col("root").alias("cluster")).unionByName(roots)
-    one = found.where("name is not null").groupBy("name").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n").alias("n"))
-    # One row stands for its set. Only names and keys are written from here on.
-    sets = common.cut(one.join(clusters, "name").select("name", "k.k1", "k.k2", "n", "cluster"))
-    repeated = found.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").join(sets, ["k1", "k2"], "left_semi")
-    docs = once(docs, common.cut(repeated))
-
-    # Each leaf with itself and with the first leaf of its cluster.
-    first = common.cut(_leafed(sets.withColumn("part", F.col("name")), ["cluster"], ["name"]))
-    leaves = common.cut(first.select("cluster", "leaf", "slot").distinct())
-    pairs = leaves.select("leaf", F.col("leaf").alias("pair")).unionByName(
-        leaves.where("slot = 0").select("cluster", F.col("leaf").alias("pivot")).join(leaves.where("slot > 0").select("cluster", F.col("leaf").alias("pair")), "cluster").select(F.col("pivot").alias("leaf"), "pair")
-    )
-    near = common.cut(_compare(docs, first, pairs, percent, k))
-
-    # What is joined becomes leaves of one part; small parts share leaves.
-    joined = graph.components(near)
-    parts = sets.join(joined.select(F.col("node").alias("name"), F.col("root").alias("part")), "name", "left").withColumn("part", F.coalesce("part", "name"))
-    parts = common.cut(parts)
-    open_ = parts.groupBy("cluster", "part").agg(F.count("*").alias("size")).withColumn("own", F.when(F.col("size") >= LEAF // 4, F.col("part")).otherwise(0))
-    many = open_.groupBy("cluster").agg(F.count("*").alias("parts")).where("parts > 1").select("cluster")
-    left = common.cut(open_.join(many, "cluster", "left_semi").select("cluster", "part", "own"))
-    held = common.cut(_leafed(parts.join(common.maybe_broadcast(left), ["cluster", "part"]), ["cluster", "own"], ["name"]))
-    nodes = held.groupBy("cluster", "leaf", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    nodes = common.cut(nodes)
-    a, b = (nodes.select("cluster", *[F.col(c).alias(f"{c}_{x}") for c in ("leaf", "own", "low", "high")]) for x in "ab")
-    apart = (F.col("leaf_a") <= F.col("leaf_b")) & ((F.col("own_a") == 0) | (F.col("own_a") != F.col("own_b")))
-    fit = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
-    met = a.join(b, (a.cluster == b.cluster) & apart & fit).select("leaf_a", "leaf_b", F.xxhash64("leaf_a", "leaf_b").alias("pair"))
-    pairs = met.select(F.explode(F.array_distinct(F.array("leaf_a", "leaf_b"))).alias("leaf"), "pair")
-    far = common.cut(_compare(docs, held, pairs, percent, k))
-    return graph.components(near.unionByName(far))
+    return met.select("unit", "name", "centre", "text").groupBy("unit").applyInArrow(run, "u long, v long")
+
+
+def _lone(least: str, most: str) -> Column:
+    """The component of a node, null if it holds several."""
+    return F.when(F.col(least) == F.col(most), F.col(least))
+
+
+def boxes(rows: DataFrame) -> DataFrame:
+    """cell, leaf, low, high, least, most (components), box (largest coordinates): a row per leaf of ``rows``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        box = np.max([coarser(np.frombuffer(p, np.uint8), BOX) for p in table["mid"].to_pylist()], axis=0)
+        n, comp = table["n"].to_numpy(), table["comp"].to_numpy()
+        one = [table["cell"][0].as_py(), table["leaf"][0].as_py(), int(n.min()), int(n.max()), int(comp.min()), int(comp.max()), box.tolist()]
+        return pa.table({c: pa.array([v]) for c, v in zip(("cell", "leaf", "low", "high", "least", "most", "box"), one)})
+
+    return rows.select("cell", "leaf", "n", "comp", "mid").groupBy("cell", "leaf").applyInArrow(run, "cell long, leaf long, low long, high long, least long, most long, box array<long>")
+
+
+def descend(leaves: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
+    """cell, a, b (a <= b): pairs of leaves that may hold a link, by going down from the roots. leaves: written, of ``boxes``."""
+    top = leaves.agg(F.max("leaf")).first()[0] or 0
+    height = -(-int(top).bit_length() // FAN)
+
+    def level(h: int) -> DataFrame:
+        if not h:
+            return leaves
+        most = F.array(*[F.max(F.col("box")[i]) for i in range(BOX)])
+        return leaves.groupBy("cell", F.shiftright("leaf", FAN * h).alias("leaf")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("most").alias("most"), most.alias("box"))
+
+    pairs = leaves.select("cell", F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b")).distinct()
+    for h in range(height - 1, -1, -1):
+        children = lambda c: F.explode(F.sequence(F.shiftleft(c, FAN), F.shiftleft(c, FAN) + (1 << FAN) - 1)).alias(c)
+        below = pairs.select("cell", children("a"), "b").select("cell", "a", children("b")).where("a <= b")
+        here = s.cut(level(h))
+        a, b = (here.select("cell", *[F.col(c).alias(x if c == "leaf" else f"{c}_{x}") for c in ("leaf", "low", "high", "least", "most", "box")]) for x in "ab")
+        met = below.join(a, ["cell", "a"]).join(b, ["cell", "b"])
+        apart = _lone("least_a", "most_a").isNull() | ~_lone("least_a", "most_a").eqNullSafe(_lone("least_b", "most_b"))
+        sizes = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent)
+        minima = F.aggregate(F.zip_with("box_a", "box_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+        # A cut coordinate is at its limit of 255: such boxes bound nothing.
+        whole = (F.array_max("box_a") < 255) & (F.array_max("box_b") < 255)
+        enough_ = minima * (100 + percent) >= percent * (F.col("low_a") + F.col("low_b"))
+        pairs = s.cut(met.where(apart & sizes & (~whole | enough_)).select("cell", "a", "b"))
+    return pairs
+
+
+def leafed(rows: DataFrame) -> DataFrame:
+    """``rows`` with leaf: of a node's sets in tree order (large components, then size), about ``LEAF`` to a leaf.
+
+    Sets of one component and size are dealt by hash, so a leaf's place needs counts only.
+    """
+    own = rows.groupBy("cell", "comp").agg(F.count("*").alias("c")).select("cell", "comp", F.when(F.col("c") >= LEAF // 4, F.col("comp")).alias("own"))
+    held = rows.join(own, ["cell", "comp"]).withColumn("own", F.coalesce("own", F.lit(-(1 << 63))))
+    counts = held.groupBy("cell", "own", "n").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy("cell").orderBy("own", "n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    place = F.floor((F.col("before") + F.pmod(F.xxhash64("name"), F.col("c"))) / LEAF).cast("long")
+    return held.join(counts.withColumn("before", before), ["cell", "own", "n"]).withColumn("leaf", place).drop("own", "c", "before")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of equal keys, of batches in order of the key."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        keys = b.column(key).to_numpy()
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+        for i, j in zip(edges, edges[1:]):
+            if held and held[0].column(key)[0].as_py() != keys[i]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def near_points(units: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of different components in a unit (unit, side, name, comp, n, mid) whose points allow a link.
+
+    Sides 0 and 1 are two leaves, which meet each other; side -1 is one leaf, whose sets meet among themselves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "unit"):
+            name, comp, n, side = (t[c].to_numpy() for c in ("name", "comp", "n", "side"))
+            raw = [np.frombuffer(p, np.uint8) for p in t["mid"].to_pylist()]
+            size = min(map(len, raw))
+            points = np.stack([coarser(p, size) for p in raw])
+            out = []
+            for i in range(1, len(n)):
+                js = np.flatnonzero((comp[:i] != comp[i]) & ((side[:i] < 0) | (side[:i] != side[i])) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent))
+                if len(js):
+                    js = js[overlap(points[js], points[i], n[js], n[i]) >= enough(n[js], n[i], percent)]
+                    out.append(np.stack([np.minimum(name[js], name[i]), np.maximum(name[js], name[i])]))
+            if out:
+                u, v = np.concatenate(out, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    dealt = units.select("unit", "side", "name", "comp", "n", "mid").repartition(F.col("unit")).sortWithinPartitions("unit")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def tree_join(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
+    """u, v: pairs of different components that share an upper node and that leaves and points allow. held: members; roots: node, root."""
+    comp = F.coalesce("root", "name").alias("comp")
+    parts = s.cut(held.join(common.maybe_broadcast(roots.withColumnRenamed("node", "name")), "name", "left").select("cell", "name", comp))
+    open_ = parts.groupBy("cell").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("c > 2 AND least <> most")
+    open_ = s.cut(open_.select("cell", "c"))  # of two sets, the first join has seen the pair
+    rows = parts.join(common.maybe_broadcast(open_), "cell").join(sets.select("name", "n", "mid"), "name")
+    units = rows.where(F.col("c") <= LEAF).select(F.col("cell").alias("unit"), F.lit(-1).alias("side"), "name", "comp", "n", "mid")
+    if not open_.where(F.col("c") > LEAF).isEmpty():
+        large = s.cut(leafed(rows.where(F.col("c") > LEAF).drop("c")))
+        pairs = descend(s.cut(boxes(large)), percent, s)
+        same = F.col("a") == F.col("b")
+        for leaf, side, met in (("a", F.when(same, -1).otherwise(0), pairs), ("b", F.lit(1), pairs.where(~same))):
+            unit = F.xxhash64("cell", "a", "b").alias("unit")
+            units = units.unionByName(large.join(common.maybe_broadcast(met.withColumn("leaf", F.col(leaf))), ["cell", "leaf"]).select(unit, side.alias("side"), "name", "comp", "n", "mid"))
+    return near_points(units, percent)
+
+
+def links(found: DataFrame, docs: DataFrame, percent: int, k: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, root of the components of linked sets, by ``cut``. found: a written table of describe(); docs: k1, k2, text."""
+    with common.Scratch(docs.sparkSession) as s:
+        held = members(docs, percent, k, s)
+        first = s.cut(held.groupBy("cell").agg(F.count("*").alias("c"), F.min("name").alias("u")).where("c > 1").select("cell", "u"))
+        stars = s.cut(held.join(common.maybe_broadcast(first), "cell").where("name <> u").select("u", F.col("name").alias("v")).distinct())
+        involved = s.cut(stars.select(F.explode(F.array("u", "v")).alias("name")).distinct())
+        drawn = found.where("fine IS NOT NULL").join(common.maybe_broadcast(involved), "name", "left_semi")
+        sets = s.cut(drawn.groupBy("name").agg(F.min_by(F.struct("k1", "k2", "n", "mid", "fine"), F.struct("k1", "k2")).alias("r")).select("name", "r.*"))
+        near = s.cut(verify(docs, sets, s.cut(bounded(stars, sets, percent)), percent, k, s))
+        roots = graph.components(near, s.cut)
+        far = s.cut(bounded(s.cut(tree_join(held, roots, sets, percent, s)), sets, percent))
+        return graph.components(near.unionByName(verify(docs, sets, far, percent, k, s)), cut)
+
+
+def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one of the rows of each pair (k1, k2) in ``repeated``, a written table."""
+    if repeated.isEmpty():
+        return docs
+    twice = common.maybe_broadcast(repeated.select("k1", "k2"))
+    return docs.join(twice, ["k1", "k2"], "left_anti").unionByName(docs.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -315,13 +434,15 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, k: int = WORDS) -> DataFrame:
     """id, k1, k2, n, component: the smallest id of those that links reach, of every row."""
     held = keyed(docs, id_col, text_col)
-    found = common.cut(describe(held, percent, k))
-    roots = common.cut(links(found, held, percent, k))
-    names = found.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
-    rooted = common.cut(names.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = rooted.join(least, "root").select("name", "component")
-    return found.drop("cells").join(labels, "name", "left").select("id", "k1", "k2", "n", F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    with common.Scratch(docs.sparkSession) as s:
+        found = s.cut(describe(held, k))
+        roots = links(found, held, percent, k, s.cut)
+        names = found.where("name is not null").groupBy("name").agg(F.min("id").alias("least"))
+        rooted = s.cut(names.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")))
+        least = s.cut(rooted.groupBy("root").agg(F.min("least").alias("component")))
+        labels = s.cut(rooted.join(least, "root").select("name", "component"))
+        labelled = found.select("id", "k1", "k2", "n", "name").join(labels, "name", "left")
+        return common.cut(labelled.select("id", "k1", "k2", "n", F.when(F.col("name").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")))
 
 
 def op7_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,7 +452,7 @@ def op7_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest id, with the columns of ``docs``. Shingles of five words, Jaccard 0.8."""
-    found = common.cut(jaccard_components(docs, percent=80, k=5))
+    found = jaccard_components(docs, percent=80, k=5)
     wordless = F.col("n") == 0
     # Of several rows with the component's id (repeated ids), the one of the smallest hashes.
     mine = found.where(~wordless & F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k"))

@@ -400,6 +400,59 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert got == jaccard_brute([(i, t, None) for i, t, *_ in rows], 90, 3)
 
 
+def drifting(groups, size, seed=4):
+    """Texts of families whose members drift apart, so that some pairs link and others just don't."""
+    draw, rows = random.Random(seed), []
+    for g in range(groups):
+        base = [draw.choice(VOCAB) + str(draw.randrange(900)) for _ in range(90)]
+        common_part = [f"licence{i}" for i in range(12)]
+        for _ in range(size):
+            w = base[:]
+            for _ in range(draw.choice([0, 1, 2, 4, 6, 9])):
+                w[draw.randrange(len(w))] = f"n{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w + common_part), "en", "a", 0))
+    return rows
+
+
+@pytest.mark.parametrize("percent,k,leaf,hot", [(80, 5, 8, 4), (90, 3, 8, 4), (80, 5, 256, 64), (80, 1, 8, 2)])
+def test_leaves_and_hot_nodes_lose_no_link(spark, monkeypatch, percent, k, leaf, hot):
+    monkeypatch.setattr(o7, "LEAF", leaf)
+    monkeypatch.setattr(o7.members, "__defaults__", (hot,))
+    monkeypatch.setattr(o7, "FAN", 1)
+    rows = drifting(6, 40) + [(1000 + i, f"alone{i} " * 3 + " ".join(f"w{i}x{j}" for j in range(60)) + " " + " ".join(f"licence{j}" for j in range(12)), "en", "b", 0) for i in range(80)]
+    got = Counter((r.id, r.n, r.component) for r in o7.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(4), percent=percent, k=k).collect())
+    assert got == jaccard_brute([(i, t, None) for i, t, *_ in rows], percent, k)
+
+
+def test_pairs_of_leaves_grow_less_than_quadratically(spark):
+    """Leaves of several families: bounds keep those of one family together, so pairs grow with the leaves, not with their square."""
+    rng, counts = np.random.default_rng(2), []
+    for families in (8, 32):
+        rows = []
+        for f in range(families):
+            base = rng.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2)
+            for leaf in range(4):
+                sets = [np.unique(np.concatenate([base[:190], rng.integers(0, 2**63, 10, dtype=np.uint64) * np.uint64(2)])) for _ in range(5)]
+                rows += [(1, f * 4 + leaf, len(x), i + 1000 * (f * 4 + leaf), o7.point(x, 6).tobytes()) for i, x in enumerate(sets)]
+        with common.Scratch(spark) as s:
+            leaves = s.cut(o7.boxes(spark.createDataFrame(rows, "cell long, leaf long, n long, comp long, mid binary")))
+            found = {(r.a, r.b) for r in o7.descend(leaves, 80, s).collect()}
+        n = families * 4
+        assert all((a, b) in found for a in range(n) for b in range(a, n) if a // 4 == b // 4)
+        counts.append(len(found))
+    assert counts[1] < 8 * counts[0]  # the square would be 16 times
+
+
+def test_scratch_tables_go(spark, docs):
+    import os
+
+    root = common.shared_dir(spark).removeprefix("file://") + "/ondula"
+    os.makedirs(root, exist_ok=True)
+    before = set(os.listdir(root))
+    o7.jaccard_components(docs).count()
+    assert len(set(os.listdir(root)) - before) == 1
+
+
 def test_one_document_of_each_group_stays(spark, docs):
     kept = o7.stage(spark, docs, SF)
     assert kept.columns == docs.columns
@@ -596,6 +649,6 @@ def test_sets_that_just_link_share_a_cell(percent):
         a = draw.integers(0, 2**63, size, dtype=np.uint64)
         swapped = max(x for x in range(size) if 100 * (size - x) >= percent * (size + x))
         others = [np.concatenate([a[swapped:], draw.integers(0, 2**63, swapped, dtype=np.uint64)]), a[size * (100 - percent) // 100 :]]
-        mine, *theirs = [set(c.tolist()) for c in o7.cells([np.unique(x) for x in (a, *others)], percent)]
+        mine, *theirs = [set(c.tolist()) for c, _, _ in o7.cells([np.unique(x) for x in (a, *others)], percent)]
         for x, c in zip(others, theirs):
             assert set(x.tolist()) == set(a.tolist()) or mine & c
