@@ -2,18 +2,26 @@
 
 Texts become pieces of at most ``capacity`` tokens, counted by length.  There are at most
 ``capacity`` lengths, so the packing is planned on that one histogram, whatever the size
-of the corpus, and covers all pieces at once: around the longest piece left, fillings of
-the room beside it are enumerated, dominated ones are skipped, branches are cut when
-what is left cannot waste less than the incumbent, and a best-fit filling is the first
-incumbent.  The chosen pattern is repeated while every length in it lasts.  The last few
-pieces are packed by a full branch and bound over bins.
+of the corpus, and covers all pieces at once.
+
+Branch and bound (``plan``): around the longest piece left, the undominated fillings of the
+room beside it are enumerated, least waste first.  Which sums the lengths can reach is a bit
+set, so a filling of the least waste is found without failing branches; a filling is dominated
+where a length outside it could take the place of some of its pieces.  A filling is repeated
+while its lengths last.  The first descent is the best-fit solution and the incumbent; the
+search then goes back from its last sequences, and drops a branch whose waste, or whose bound
+on the sequences of the rest, cannot beat the incumbent.  It ends at once where the incumbent
+meets the lower bound, which proves it least, and otherwise after ``NODES`` sequences tried;
+then ``plan`` gives the lower bound beside the sequences used, so the gap is known.
 
 Pieces find their places by rank: a task numbers its pieces of each length, sums by task
 and length shift these numbers, and (length, rank) selects the pattern, the sequence and
 the offset.  Nothing is sorted and no text is shuffled.
 
 Defined results: a null or empty text is one piece of the end token.  Repeated rows are
-packed each.  An empty table gives an empty result; other columns are ignored.
+packed each.  A text of more than ``capacity`` tokens, however long, is cut into pieces of
+``capacity`` and a last one.  Pieces of one length are interchangeable, so ties need no rule.
+An empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +38,8 @@ from pyspark.sql import functions as F
 from ondula.llm import common, tokens
 
 CAPACITY, END_ID = 4096, 1
-#: Branches tried for one filling; pieces left to the search over bins, and its branches.
-FILL_NODES, TAIL, TAIL_NODES = 2000, 48, 4000
+#: Sequences (with their repeats) that the search tries beyond the first solution.
+NODES = 3000
 
 
 def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -62,147 +70,152 @@ def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return held.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, task long, rank long")
 
 
-def fill(room: int, counts: dict[int, int], lengths: list[int], nodes: int = FILL_NODES) -> list[int]:
-    """Lengths (longest first, repeats listed) that waste least of ``room``; ``lengths``: those with a count, longest first."""
-    fitting = [x for x in lengths if x <= room]
-    best, left = [], room  # incumbent: best fit, the longest that still fits
-    for x in fitting:
-        while x <= left and best.count(x) < counts[x]:
-            best.append(x)
-            left -= x
-    waste, tries = left, 0
-    ends = {x: i for i, x in enumerate(fitting)}
-
-    def search(start: int, left: int, held: list[int]) -> None:
-        nonlocal best, waste, tries
-        if left < waste:
-            best, waste = held[:], left
-        if not waste or left == 0 or start >= len(fitting):
-            return
-        exact = ends.get(left)  # one piece that closes the bin dominates every other way to close it
-        if exact is not None and exact >= start and held.count(left) < counts[left]:
-            best, waste = [*held, left], 0
-            return
-        for i in range(start, len(fitting)):
-            x = fitting[i]
-            if x > left or held.count(x) >= counts[x]:
-                continue
-            tries += 1
-            if tries > nodes:
-                return
-            # Bound: what is no longer than x, as often as it fits, must still beat the incumbent.
-            if left - _reach(fitting, counts, i, left) >= waste:
-                return
-            held.append(x)
-            search(i, left - x, held)
-            held.pop()
-            if not waste:
-                return
-
-    search(0, room, [])
-    return best
-
-
-def _reach(fitting: list[int], counts: dict[int, int], start: int, left: int) -> int:
-    total = 0
-    for x in fitting[start:]:
-        total += x * counts[x]
-        if total >= left:
-            return left
-    return total
-
-
-def best_fit(items: list[int], capacity: int) -> list[list[int]]:
-    bins: list[list[int]] = []
-    for x in sorted(items, reverse=True):
-        open_ = [b for b in bins if sum(b) + x <= capacity]
-        if open_:
-            max(open_, key=sum).append(x)
-        else:
-            bins.append([x])
-    return bins
-
-
-def complete(items: list[int], capacity: int, nodes: int = TAIL_NODES) -> list[list[int]]:
-    """Branch and bound over bins for a few items: the incumbent is best fit decreasing."""
-    best = best_fit(items, capacity)
-    tries = 0
-
-    def fillings(left: int, rest: list[int]) -> list[list[int]]:
-        """Maximal fillings of the room, least waste first: one that takes another piece that fits dominates the rest."""
-        found: list[list[int]] = []
-
-        def grow(start: int, left: int, held: list[int]) -> None:
-            if len(found) >= 64:
-                return
-            fits = [i for i in range(start, len(rest)) if rest[i] <= left and (i == start or rest[i] != rest[i - 1])]
-            if not fits:
-                if not rest or not any(x <= left for x in _minus(rest, held)):
-                    found.append(held[:])
-                return
-            for i in fits:
-                grow(i + 1, left - rest[i], [*held, rest[i]])
-
-        grow(0, left, [])
-        return sorted(found, key=lambda f: (left - sum(f), len(f)))
-
-    def search(rest: list[int], bins: list[list[int]]) -> None:
-        nonlocal best, tries
-        tries += 1
-        if not rest:
-            if len(bins) < len(best):
-                best = bins[:]
-            return
-        if tries > nodes or len(bins) - (-sum(rest) // capacity) >= len(best):
-            return
-        first, others = rest[0], rest[1:]
-        for f in fillings(capacity - first, others):
-            search(_minus(others, f), [*bins, [first, *f]])
-            if tries > nodes:
-                return
+Filling = tuple[tuple[int, int], ...]  # (length, times), longest first
+
 
-    search(sorted(items, reverse=True), [])
-    return best
+def _spread(sums: int, x: int, times: int) -> int:
+    """The sums (a bit set) with up to ``times`` more pieces of length x."""
+    step = 1
+    while times > 0:
+        step = min(step, times)
+        sums |= sums << (step * x)
+        times -= step
+        step *= 2
+    return sums
 
 
-def _minus(items: list[int], taken: list[int]) -> list[int]:
-    out = items[:]
-    for x in taken:
-        out.remove(x)
+def reachable(counts: dict[int, int], lengths: list[int], room: int) -> list[int]:
+    """For each place in ``lengths`` the sums up to ``room`` of the pieces from there on, as bit sets."""
+    mask, sums = (1 << (room + 1)) - 1, [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        x = lengths[i]
+        sums[i] = _spread(sums[i + 1], x, min(counts[x], room // x)) & mask
+    return sums
+
+
+def _exact(target: int, start: int, counts: dict[int, int], lengths: list[int], sums: list[int]) -> Iterator[Filling]:
+    """Fillings of exactly ``target``, those of longer pieces first. Every branch ends in one."""
+    if not target:
+        yield ()
+        return
+    for i in range(start, len(lengths)):
+        if not sums[i] >> target & 1:
+            return
+        x = lengths[i]
+        for n in range(min(counts[x], target // x), 0, -1):
+            if sums[i + 1] >> (target - n * x) & 1:
+                for rest in _exact(target - n * x, i + 1, counts, lengths, sums):
+                    yield ((x, n), *rest)
+
+
+def _dominated(filling: Filling, waste: int, present: int) -> bool:
+    """Whether a length outside the filling is as long as some of its pieces together, or longer by no more than the waste. present: bit set of the lengths."""
+    inside, sums = 0, 1
+    for x, n in filling:
+        inside |= 1 << x
+        sums = _spread(sums, x, n)
+    reach, step = sums, 1
+    while waste > 0:  # the sums and up to ``waste`` above each
+        step = min(step, waste)
+        reach |= reach << step
+        waste -= step
+        step *= 2
+    return bool(reach & present & ~inside)
+
+
+def fillings(room: int, counts: dict[int, int], most_waste: int) -> Iterator[tuple[int, Filling]]:
+    """(waste, filling) of the undominated fillings of the room, least waste first, none above ``most_waste``."""
+    if room in counts:  # one piece that closes the sequence dominates every other filling
+        yield 0, ((room, 1),)
+        return
+    lengths = sorted((x for x in counts if x <= room), reverse=True)
+    pair = next((((x, 1), (room - x, 1)) if 2 * x > room else ((x, 2),) for x in lengths if 2 * x >= room and counts.get(room - x, 0) > (2 * x == room)), None)
+    if pair:  # two that close it: found without the sums
+        yield 0, pair
+    sums = reachable(counts, lengths, room)
+    present = sum(1 << x for x in lengths)
+    for waste in range(min(room, most_waste) + 1):
+        if sums[0] >> (room - waste) & 1:
+            for f in _exact(room - waste, 0, counts, lengths, sums):
+                if f != pair and not _dominated(f, waste, present):
+                    yield waste, f
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that no packing can do without: for each k, pieces longer than capacity - k are alone with those under k left out, and those over half are one each."""
+    ordered = sorted(counts.items())
+    total, best = sum(x * n for x, n in ordered), 0
+    lengths = [x for x, _ in ordered]
+    many = np.concatenate([[0], np.cumsum([n for _, n in ordered])])
+    words = np.concatenate([[0], np.cumsum([x * n for x, n in ordered])])
+    at = lambda x: int(np.searchsorted(lengths, x))
+    half = at(capacity // 2 + 1)
+    for k in {0, *(x for x in lengths if 2 * x <= capacity)}:
+        alone, low = at(capacity - k + 1), at(k)
+        wide = int(many[alone] - many[half])  # over half, not alone
+        left = int(words[half] - words[low]) - (wide * capacity - int(words[alone] - words[half]))
+        best = max(best, int(many[-1] - many[alone]) + wide + max(0, -(-left // capacity)))
+    return max(best, -(-total // capacity))
+
+
+def _less(counts: dict[int, int], filling: Filling, times: int) -> dict[int, int]:
+    out = dict(counts)
+    for x, n in filling:
+        out[x] -= n * times
+        if not out[x]:
+            del out[x]
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths of a sequence, number of such sequences), for all pieces of the histogram."""
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Filling, int]], int]:
+    """[(a sequence's lengths, number of such sequences)] for all pieces of the histogram, and the lower bound on sequences."""
     counts = {x: n for x, n in counts.items() if n}
-    out: list[tuple[list[int], int]] = []
-    while counts:
-        if sum(counts.values()) <= TAIL:
-            return out + [(b, 1) for b in complete([x for x, n in counts.items() for _ in range(n)], capacity)]
-        longest = max(counts)
-        spare = counts | {longest: counts[longest] - 1}
-        lengths = sorted((x for x, n in spare.items() if n), reverse=True)
-        pattern = [longest, *fill(capacity - longest, spare, lengths)]
-        used = {x: pattern.count(x) for x in pattern}
-        times = min(counts[x] // n for x, n in used.items())
-        out.append((pattern, times))
-        for x, n in used.items():
-            counts[x] -= n * times
-            if not counts[x]:
-                del counts[x]
-    return out
+    total, lower = sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
+    best: list[tuple[Filling, int]] = []
+    least, tries = sum(counts.values()) + 1, 0
+
+    def children(left: dict[int, int], waste: int) -> Iterator[tuple[dict[int, int], int, Filling, int]]:
+        longest = max(left)
+        spare = _less(left, ((longest, 1),), 1)
+        for more, rest in fillings(capacity - longest, spare, (least - 1) * capacity - total - waste):
+            f = ((longest, 1 + rest[0][1]), *rest[1:]) if rest and rest[0][0] == longest else ((longest, 1), *rest)
+            for times in range(min(left[x] // n for x, n in f), 0, -1):
+                yield _less(left, f, times), waste + more * times, f, times
+
+    # One open generator for each sequence of the path.
+    path: list[tuple[Filling, int]] = []
+    stack, used = [children(counts, 0)] if counts else [], 0
+    while stack and least > lower:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            if path:
+                used -= path.pop()[1]
+            continue
+        if best and (tries := tries + 1) > nodes:
+            break
+        left, waste, f, times = child
+        if (best and waste > (least - 1) * capacity - total) or used + times + (lower_bound(left, capacity) if best else 0) >= least:
+            continue
+        path.append((f, times))
+        used += times
+        if left:
+            stack.append(children(left, waste))
+        else:
+            best, least = path[:], used
+            used -= path.pop()[1]
+    return best, lower
 
 
 class Places:
     """Sequence and offset by (length, rank): a table of at most a few entries per length and pattern."""
 
-    def __init__(self, patterns: list[tuple[list[int], int]]):
+    def __init__(self, patterns: list[tuple[Filling, int]]):
         used: dict[int, int] = {}
         rows, sequence = [], 0
         for pattern, times in patterns:
             offset = 0
-            for x in dict.fromkeys(pattern):
-                n = pattern.count(x)
+            for x, n in pattern:
                 low = used.get(x, 0)
                 rows.append(((x << 40) + low, sequence, n, offset))
                 used[x] = low + n * times
@@ -222,7 +235,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a written table of cut_pieces) with sequence_id and offset."""
     sums = common.cut(pieces.groupBy("task", "length").agg(F.count("*").alias("n")))
     counts = {r.length: r.n for r in sums.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
-    places = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)))
+    places = pieces.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity)[0]))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sums.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
     placed = pieces.join(common.maybe_broadcast(shifts), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("shift")).drop("shift", "task")

@@ -228,24 +228,59 @@ def exact_bins(items, cap):
             return n
 
 
+def check_plan(counts, capacity):
+    """Sequences of the plan and their lower bound; every piece is used once and no sequence is too full."""
+    patterns, lower = o2.plan(dict(counts), capacity)
+    used = Counter()
+    for pattern, times in patterns:
+        assert times > 0 and sum(x * n for x, n in pattern) <= capacity
+        for x, n in pattern:
+            used[x] += n * times
+    assert used == counts
+    return sum(times for _, times in patterns), lower
+
+
 def test_bin_completion_is_optimal_on_small_sets():
     draw = random.Random(1)
-    for _ in range(60):
-        items = [draw.randint(1, 20) for _ in range(draw.randint(1, 11))]
-        best = o2.complete(items, 20)
-        assert sorted(x for b in best for x in b) == sorted(items) and all(sum(b) <= 20 for b in best)
-        assert len(best) == exact_bins(items, 20)
+    for i in range(200):
+        cap = draw.choice([10, 20, 30, 50])
+        low, high = (1, cap) if i % 2 else (max(1, cap // 5), cap // 2 + 2)
+        items = [draw.randint(low, high) for _ in range(draw.randint(1, 11))]
+        best, lower = check_plan(Counter(items), cap)
+        assert lower <= best == exact_bins(items, cap)
+
+
+@pytest.mark.parametrize("counts", [{3: 100_000}, {3: 5000, 4096: 10}, {7: 10_000, 3: 100_000}, {2: 1_000_000, 3: 1}, {x: 1 for x in range(1, 4097)}, {x: 10**6 for x in range(1, 4097)}, {}])
+def test_plans_of_bulk_pieces_are_least(counts):
+    best, lower = check_plan(Counter(counts), 4096)
+    assert best == lower
 
 
-def test_plan_uses_every_piece():
+@pytest.mark.parametrize("low,high,gap", [(1, 4096, 0.01), (1000, 3000, 0.01), (20, 2000, 0.0)])
+def test_plan_stays_near_the_bound(low, high, gap):
     draw = random.Random(2)
-    counts = Counter(draw.randint(1, 4096) for _ in range(3000))
-    used = Counter()
-    for pattern, times in o2.plan(dict(counts)):
-        assert sum(pattern) <= 4096
-        for x in pattern:
-            used[x] += times
-    assert used == counts
+    best, lower = check_plan(Counter(draw.randint(low, high) for _ in range(3000)), 4096)
+    assert best <= lower * (1 + gap) + 1
+
+
+def test_fillings_are_all_undominated_ones():
+    draw = random.Random(9)
+    for _ in range(60):
+        counts = Counter(draw.randint(2, 12) for _ in range(draw.randint(1, 8)))
+        room = draw.randint(5, 30)
+        items = list(counts.elements())
+        subsets = {tuple(sorted(c, reverse=True)) for k in range(len(items) + 1) for c in itertools.combinations(items, k) if sum(c) <= room}
+
+        def dominated(f):
+            w = room - sum(f)
+            parts = {sum(c) for k in range(len(f) + 1) for c in itertools.combinations(f, k)}
+            return any(x not in f and any(p <= x <= p + w for p in parts) for x in counts)
+
+        want = {f for f in subsets if not dominated(f) and not (w := room - sum(f)) > room}
+        got = [(w, tuple(x for x, n in f for _ in range(n))) for w, f in o2.fillings(room, dict(counts), room)]
+        assert [w for w, _ in got] == sorted(w for w, _ in got) and all(sum(f) == room - w for w, f in got)
+        # One length that closes the room stands for all; otherwise they are the same.
+        assert {f for _, f in got} == ({(room,)} if room in counts else want)
 
 
 def test_words_alone_are_the_whole_text(texts):
