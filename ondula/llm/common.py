@@ -11,12 +11,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The six ASCII white-space characters, and as a regular expression's run.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Broadcast nothing larger than this many rows; beyond it the callers shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Broadcast nothing larger than this many bytes of values; beyond it the callers shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -78,10 +79,24 @@ def words(text: Column) -> Column:
     return F.array_remove(parts, "")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most ``limit`` rows; a written table answers from its footers."""
-    return df.count() <= limit
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    """Bytes of a value: 8 for a number, the length of a text, the sum of a struct's fields or an array's elements."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(0)) + 8
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value.getField(f.name), f.dataType) for f in kind.fields), F.lit(0))
+    return F.lit(8)
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the values of df, a written table, take at most ``limit`` bytes."""
+    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    return (df.agg(F.sum(each)).first()[0] or 0) <= limit
+
+
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df

@@ -143,19 +143,16 @@ def fillings(room: int, counts: dict[int, int], most_waste: int) -> Iterator[tup
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Sequences that no packing can do without: for each k, pieces longer than capacity - k are alone with those under k left out, and those over half are one each."""
-    ordered = sorted(counts.items())
-    total, best = sum(x * n for x, n in ordered), 0
-    lengths = [x for x, _ in ordered]
-    many = np.concatenate([[0], np.cumsum([n for _, n in ordered])])
-    words = np.concatenate([[0], np.cumsum([x * n for x, n in ordered])])
-    at = lambda x: int(np.searchsorted(lengths, x))
-    half = at(capacity // 2 + 1)
-    for k in {0, *(x for x in lengths if 2 * x <= capacity)}:
-        alone, low = at(capacity - k + 1), at(k)
-        wide = int(many[alone] - many[half])  # over half, not alone
-        left = int(words[half] - words[low]) - (wide * capacity - int(words[alone] - words[half]))
-        best = max(best, int(many[-1] - many[alone]) + wide + max(0, -(-left // capacity)))
-    return max(best, -(-total // capacity))
+    if not counts:
+        return 0
+    lengths, n = np.array(sorted(counts.items())).T
+    many, words = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(lengths * n)])
+    k = np.concatenate([[0], lengths[2 * lengths <= capacity]])
+    alone, low = np.searchsorted(lengths, capacity - k + 1), np.searchsorted(lengths, k)
+    half = int(np.searchsorted(lengths, capacity // 2 + 1))
+    wide = many[alone] - many[half]  # over half, not alone
+    left = words[half] - words[low] - (wide * capacity - (words[alone] - words[half]))
+    return int(np.max(many[-1] - many[alone] + wide + np.maximum(0, -(-left // capacity))))
 
 
 def _less(counts: dict[int, int], filling: Filling, times: int) -> dict[int, int]:

@@ -100,7 +100,7 @@ def train(docs: DataFrame, path: str) -> tuple[DataFrame, Unigrams]:
 def score(docs: DataFrame, model: DataFrame, unigrams: Unigrams, path: str, most_rows: int = MOST_ROWS) -> DataFrame:
     """id, n_tokens, loss_target, loss_background, score, per token, of every row of docs (id, text)."""
     kind = docs.schema["id"].dataType.simpleString()
-    if not common.small(model, most_rows):
+    if model.count() > most_rows:
         return _score_by_join(docs, model, unigrams, path, kind)
     table = model.orderBy("key").toArrow()
     key = table["key"].to_numpy()

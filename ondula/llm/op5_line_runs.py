@@ -39,8 +39,6 @@ from ondula.llm import common
 
 MIN_WORDS = 50
 DOC = ["k1", "k2"]
-#: Documents with deletions that a broadcast may hold.
-MOST_EDITED = 300_000
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,7 +149,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``row`` (the input's columns), ``text`` without the deleted lines, ``n_lines`` and ``deleted`` (line numbers)."""
     edits = common.cut(later_runs(docs, id_col, text_col, min_words))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    held = docs.select(row, F.col(text_col).alias("text"), *keys(id_col, text_col)).join(common.maybe_broadcast(edits, MOST_EDITED), DOC, "left").drop(*DOC)
+    held = docs.select(row, F.col(text_col).alias("text"), *keys(id_col, text_col)).join(common.maybe_broadcast(edits), DOC, "left").drop(*DOC)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

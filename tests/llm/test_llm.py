@@ -152,33 +152,93 @@ def test_short_clean_documents_survive_bad_and_pooled_hosts(spark, bad):
 # Mixing
 
 
-def test_targets_reach_the_share_and_keep_the_bound():
-    t = o1.targets([("a", 100), ("b", 1000), ("c", 1000), (None, 50)])
-    assert sum(t) == pytest.approx(1.5 * 2150) and t[0] == 200 and t[3] == 100 and all(x <= 2 * n + 1e-9 for x, n in zip(t, (100, 1000, 1000, 50)))
-    assert o1.targets([]) == [] and o1.targets([("a", 0)]) == [0.0]
+def targets_by_hand(sizes, share=1.5, most=2.0, weights=(5.0, 2.0, 1.0)):
+    """Targets in the order of ``sizes``: words are shared by weight, what is above the bound again, until none is."""
+    goal, out = share * sum(sizes), [0.0] * len(sizes)
+    free = [i for i, n in enumerate(sizes) if n]
+    while free:
+        total = sum(weights[i % 3] for i in free)
+        over = [i for i in free if goal * weights[i % 3] / total > most * sizes[i]]
+        for i in over or free:
+            out[i] = most * sizes[i] if over else goal * weights[i % 3] / total
+        goal -= sum(out[i] for i in over)
+        free = [i for i in free if i not in over] if over else []
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 1000, 1000, 50], [0], [], [7], [1, 1, 1], [3, 0, 5000, 2, 900, 40, 0, 11], list(range(1, 60)), [10**6] + [1] * 30])
+def test_targets_reach_the_share_and_keep_the_bound(spark, sizes):
+    names = sorted([f"=s{i:03d}é" for i in range(len(sizes) - 1)]) + [""] * bool(sizes)  # null last
+    rows = spark.createDataFrame(list(zip(names, sizes)), "source string, size long").repartition(3)
+    got = {r.source: (r.source_size, r.target) for r in o1.goals(rows).collect()}
+    want = targets_by_hand(sizes)
+    assert set(got) == set(names)
+    for name, size, t in zip(names, sizes, want):
+        assert got[name][0] == size and got[name][1] == pytest.approx(t)
+    assert sum(t for _, t in got.values()) == pytest.approx(1.5 * sum(sizes))
+
+
+def mixed(rows, goals):
+    priced = o1.rates(rows, goals)
+    return o1.mix(rows, priced, o1.edges(rows, priced))
 
 
 def test_mix(spark, docs):
-    rows = common.cut(o1.sized(docs, 1, "doc_id", "text", "source"))
+    rows = common.cut(o1.sized(clashing(docs)))
     goals = o1.goals(rows)
-    out = o1.mix(rows, goals, o1.edges(rows, goals)).collect()
+    out = mixed(rows, goals).collect()
     assert len(out) == docs.count() and all(0 <= r.copies <= 2 for r in out)
+    assert sorted(r.size for r in out) == sorted(len(words(t)) for _, t, _ in pairs(docs))
     for g in goals.collect():
         mine = [r for r in out if r.source == g.source]
         edge = max((r.size for r in mine), default=0)
         assert abs(sum(r.copies * r.size for r in mine) - g.target) <= edge
-    again = o1.mix(rows, goals, o1.edges(rows, goals)).collect()
+        assert sum(r.expected * r.size for r in mine) == pytest.approx(g.target)
+    again = mixed(rows.repartition(3), goals).collect()
     assert Counter(map(str, out)) == Counter(map(str, again))
     assert o1.stage(spark, docs, SF).count() == sum(r.copies for r in out)
 
 
-def test_mix_follows_inclusion_odds(spark):
-    rows = [(i, "w " * 10, "en", "big" if i % 2 else "small", 0) for i in range(4000)]
-    held = common.cut(o1.sized(spark.createDataFrame(rows, DOCS), 3, "doc_id", "text", "source"))
-    goals = spark.createDataFrame([("=big", 20000, 5000.0), ("=small", 20000, 32000.0)], "source string, source_size long, target double")
-    out = o1.mix(held, goals, o1.edges(held, goals)).toPandas()
-    assert out[out.source == "=big"].copies.isin([0, 1]).all() and out[out.source == "=small"].copies.isin([1, 2]).all()
-    assert out.groupby("source").copies.sum().to_dict() == {"=big": 500, "=small": 3200}
+def test_expected_copies_are_in_proportion_to_weight(spark):
+    """The full are those whose share would be above the bound; the rest share in proportion to weight, against bisection."""
+    draw = random.Random(4)
+    rows = [("=a", 10 * draw.randint(1, 30), float(2 ** draw.randint(0, 6))) for _ in range(200)] + [("=b", 5, 1.0), ("=b", 5, 1.0)]
+    frame = spark.createDataFrame([(i, s, 0.5, i, n, w) for i, (s, n, w) in enumerate(rows)], "id long, source string, u double, tie long, size long, weight double")
+    total = sum(n for s, n, _ in rows if s == "=a")
+    for share in (0.1, 0.9, 1.7, 2.0):
+        goals = spark.createDataFrame([("=a", total, share * total), ("=b", 10, 10 * share)], "source string, source_size long, target double")
+        got = {r.id: r.expected for r in o1.ranked(frame, o1.rates(frame, goals)).collect()}
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(n * min(2.0, middle * w) for s, n, w in rows if s == "=a") < share * total else (low, middle)
+        for i, (s, n, w) in enumerate(rows):
+            assert got[i] == pytest.approx(min(2.0, high * w) if s == "=a" else share, rel=1e-6)
+
+
+def test_documents_are_drawn_by_their_own_odds(spark):
+    """Frequencies over many sources of the same documents against the expected copies, which differ within a source."""
+    n, each = 400, [36 if i % 3 == 0 else 4 for i in range(30)]
+    rows = [(s * 100 + i, "w " * size, "en", f"s{s}", 0) for s in range(n) for i, size in enumerate(each)]
+    held = common.cut(o1.sized(spark.createDataFrame(rows, DOCS)))
+    goals = common.cut(held.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("target", F.col("source_size") * 0.4))
+    out = mixed(held, goals).toPandas()
+    assert (abs((out.copies * out["size"]).groupby(out.source).sum() - 0.4 * sum(each)) <= 36).all()
+    out["kind"] = out["size"]
+    for _, mine in out.groupby("kind"):
+        want = mine.expected.iloc[0]
+        assert abs(mine.copies.mean() - want) < 4 * math.sqrt(want * (1 - want) / len(mine)) + 0.02
+    want = out.groupby("kind").expected.first()
+    assert want[36] == pytest.approx(3 * want[4], rel=0.03)
+
+
+def test_a_weight_column_sets_the_odds(spark):
+    rows = [(i, "w " * 10, "en", "a", i % 4 or None) for i in range(400)]
+    held = common.cut(o1.sized(spark.createDataFrame(rows, DOCS), weight=F.col("n_chars")))
+    goals = common.cut(spark.createDataFrame([("=a", 4000, 2000.0)], "source string, source_size long, target double"))
+    out = mixed(held, goals).toPandas()
+    assert out.copies.sum() == 200 and sorted(set(out.weight.round(1))) == [1.0, 2.0, 3.0]
+    assert out[out.weight > 2.5].copies.sum() > 1.5 * out[out.weight == 1].copies.sum() / 2
 
 
 # Packing
