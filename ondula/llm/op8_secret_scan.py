@@ -12,9 +12,14 @@ patterns matched, with seeded strings over common key alphabets; ordinary identi
 are the other tokens.  They come from at most ``SAMPLE_DOCS`` documents, those of the
 smallest hash; the scan itself covers every whole text.
 
+A token that touches a span of a pattern is not scored, which one look-up among the sorted
+spans tells, so a text takes time in proportion to its length, however many spans it has.
+
 Defined results: a null text is empty and has no spans.  Spans count code points, end
-exclusive.  Repeated rows each return.  An empty table gives an empty result, and models
-trained on the seeded strings alone.
+exclusive, and order by start, then kind as listed, then end.  Repeated rows each return.  A
+very long text is scanned whole.  An empty table gives an empty result, and models trained
+on the seeded strings alone.  Null ids are returned; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,6 +69,24 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+class Covered:
+    """Whether a range touches one of some spans: spans that overlap are joined, and a range is looked up."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e, _ in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_right(self.ends, start)
+        return i < len(self.starts) and self.starts[i] < end
+
+
 def codes(token: str) -> np.ndarray:
     inner = np.frombuffer(token.encode("utf-32-le"), np.uint32)
     return np.concatenate([[129], np.minimum(inner, 128), [129]]).astype(np.int64)
@@ -87,9 +111,9 @@ def scan(text: str, ratio: np.ndarray | None, least: float = LEAST_RATIO) -> lis
         if t.end() - t.start() >= LEAST["hex"]:
             spans += [(t.start() + m.start(), t.start() + m.end(), "hex") for m in HEX.finditer(t[0]) if len(m[0]) >= LEAST["hex"]]
     if ratio is not None:
-        taken = spans[:]
+        taken = Covered(spans)
         for t, total in zip(long, totals(text, long, ratio)):
-            if total >= max(LEAST_TOTAL, least * (t.end() - t.start() + 1)) and not any(s < t.end() and t.start() < e for s, e, _ in taken):
+            if total >= max(LEAST_TOTAL, least * (t.end() - t.start() + 1)) and not taken(t.start(), t.end()):
                 spans.append((t.start(), t.end(), "markov"))
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -100,8 +124,9 @@ def labelled(text: str) -> Iterator[tuple[str, int]]:
     spans = [s for s in scan(text, None)]
     yield from ((v, 1) for v in values)
     yield from ((text[s:e], 1) for s, e, kind in spans if kind != "assign")
+    taken = Covered(spans)
     for m in ORDINARY.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, e, _ in spans):
+        if not taken(m.start(), m.end()):
             yield m[0], 0
 
 

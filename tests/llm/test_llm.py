@@ -625,6 +625,95 @@ def test_secret_scan_rows(docs):
     assert sorted(r.id is None for r in out) == sorted(r.doc_id is None for r in docs.collect())
 
 
+def scan_brute(text, ratio):
+    """Spans by hand: every start is tried for every keyword and run, and each token against every span."""
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    lower = "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in text)
+
+    def run(i, chars):
+        j = i
+        while j < len(text) and text[j] in chars:
+            j += 1
+        return j
+
+    def assign(i):
+        for key in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if lower.startswith(key, i):
+                j = i + len(key)
+                j += text[j : j + 1] in ("'", '"')
+                j = run(j, " ")
+                if text[j : j + 1] in (":", "="):
+                    j = run(j + 1, " ")
+                    j += text[j : j + 1] in ("'", '"')
+                    end = run(j, value)
+                    if end > j:
+                        return end, end - j >= 6
+        return None
+
+    def access(i):
+        j = run(i + 4, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+        return (j, j - i >= 20) if text.startswith("AKIA", i) and j > i + 4 else None
+
+    def hexes(i):
+        j = run(i, set("0123456789abcdef"))
+        return (j, j - i >= 24) if j > i else None
+
+    spans = []
+    for kind, match in (("assign", assign), ("access", access), ("hex", hexes)):
+        i = 0
+        while i < len(text):
+            m = match(i)
+            if m and m[1]:
+                spans.append((i, m[0], kind))
+            i = m[0] if m else i + 1
+    base, i = spans[:], 0
+    while i < len(text):
+        j = run(i, value - {"."})
+        if j - i >= 8 and not any(s < j and i < e for s, e, _ in base):
+            c = [129, *(min(ord(x), 128) for x in text[i:j]), 129]
+            total = sum(ratio[a, b] for a, b in zip(c, c[1:]))
+            if total >= max(8.0, 0.7 * (j - i + 1)):
+                spans.append((i, j, "markov"))
+        i = max(j, i + 1)
+    return sorted(spans, key=lambda s: (s[0], o8.KINDS.index(s[2]), s[1]))
+
+
+def test_scan_of_whole_documents_against_brute_force(spark):
+    found = common.read(spark, SF, "documents").select("doc_id", "text").collect()
+    draw = random.Random(8)
+    odd = ["", None, 'API_KEY = "abcdef"', "apikey:abc", "password='x'passwd=abcdefg", "token   :   AKIA" + "Z9" * 10, "secret\t=abcdef", "Key toKEN=abcdefgh", "AKIA", "xAKIAAKIA" + "B" * 30, "token=token=abcdefghi", "\U0001f511 secret: k3y-\U0001f511", "a" * 30, "é" + "0f" * 20]
+    odd += ["".join(draw.choices(["token", "=", " ", '"', "AKIA", "f0", "Q7z", ":", ".", "\n", "é", "password"], k=60)) for _ in range(200)]
+    texts = [r.text for r in found] + odd
+    df = spark.createDataFrame([(i, t, i % 3 or None) for i, t in enumerate(texts)] + [(None, odd[2], 1), (None, odd[2], 1)], "doc_id long, text string, spans int").repartition(4)
+    ratio = o8.train(df)
+    got = Counter((r.id, tuple(map(tuple, r.spans))) for r in o8.secret_scan(df, ratio).collect())
+    assert got == Counter((r.doc_id, tuple(scan_brute(r.text or "", ratio))) for r in df.collect())
+    assert {k for _, spans in got for *_, k in spans} == set(o8.KINDS)
+
+
+def test_scan_query_digests(spark):
+    rows = {r.doc_id: r for r in o8.op8_secret_scan(spark, SF).collect()}
+    for d in common.read(spark, SF, "documents").select("doc_id", "text").collect():
+        spans = scan_brute(d.text or "", np.full((o8.SYMBOLS, o8.SYMBOLS), -1.0))
+        joined = ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
+        r = rows[d.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for *_, k in spans) for kind in ("assign", "access", "hex"))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert ",".join(x for x in r.spans.split(",") if not x.startswith("markov")) == joined
+
+
+def test_time_of_a_scan_grows_with_the_text():
+    import time
+
+    text, ratio = "token=abcdef0123 k9Qz7Lp2Xw " * 4000, np.full((o8.SYMBOLS, o8.SYMBOLS), 1.0)
+    took = []
+    for t in (text, text * 8):
+        start = time.process_time()
+        assert len(o8.scan(t, ratio)) == 2 * t.count("token")
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 1
+
+
 # Chat
 
 
