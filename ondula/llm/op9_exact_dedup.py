@@ -1,124 +1,122 @@
 """Exact dedup by a Golomb-coded fingerprint exchange.
 
-Every sender (an input partition) sorts the distinct 64-bit fingerprints of its texts
-and sends each owner of a fingerprint range one Golomb-Rice coded message.  An owner
-decodes its messages, finds fingerprints that came twice, and answers each message with
-a bitmap.  Only the texts whose bit is set (the suspects) are then shuffled and compared
-byte for byte, so unique texts never leave their partition.
-
-A copy that is common inside one partition is sent once with a flag, so an owner gets at
-most one value per sender for it and no group of copies can fill an owner.
+Every sender, a task that reads the fingerprints of its rows, sorts the distinct ones and
+sends each owner of a fingerprint range one Golomb-Rice coded message, so only codes cross
+the network.  Fingerprints are as short as the number of rows allows: ``SPARE_BITS`` more
+than it takes to number them, about two bytes each when coded.  An owner decodes its
+messages, finds fingerprints that came twice, and answers each message with a bitmap.  The
+bitmaps select the suspects of the messages, and only texts with such a fingerprint are
+shuffled and compared byte for byte; unique texts stay where they are, but for one in
+``2^SPARE_BITS`` that a short fingerprint makes a suspect.
+
+A copy that is common inside one sender is sent once with a flag, so an owner gets at most
+one value per sender for it and no group of copies can fill an owner.  Owners are as many as
+keep ``OWNED`` fingerprints each, whatever the size of the table.
 
 Defined results: a null text counts as empty; the empty texts form one group.  Rows are
 never merged: a row that is repeated with the same id gets its own output row, and each
 row that bears ``keep_id`` is marked kept.  Ties on length go to the smallest id, null
-ids last.  An empty table gives an empty result; columns besides id and text are ignored.
+ids last.  Ids may be of any type that can be ordered.  A very long text is compared whole.
+An empty table gives an empty result; columns besides id and text are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ondula.llm import common
 
+#: Bits of a fingerprint beyond those that number the rows; fingerprints of one owner.
+SPARE_BITS, OWNED = 10, 1 << 22
+
 
 def golomb_encode(values: np.ndarray) -> tuple[int, bytes]:
-    """Rice parameter and code of sorted distinct uint64 values: gaps as unary quotient and b-bit rest."""
+    """Rice parameter and code of sorted distinct uint64 values: gaps as unary quotients, then as many rests of b bits."""
+    if not len(values):
+        return 0, b""
     gaps = np.diff(values, prepend=np.uint64(0))
-    b = max(0, int(values[-1]) // len(values)).bit_length() - 1 if len(values) else 0
-    b = max(0, b)
-    rest = gaps & np.uint64((1 << b) - 1)
-    quotient = (gaps >> np.uint64(b)).astype(np.int64)
-    width = quotient + 1 + b
-    stop = np.cumsum(width) - b - 1
-    bits = np.zeros(int(width.sum()), np.uint8)
+    b = max(0, (int(values[-1]) // len(values)).bit_length() - 1)
+    stop = np.cumsum((gaps >> np.uint64(b)).astype(np.int64) + 1) - 1
+    bits = np.zeros(int(stop[-1]) + 1 + b * len(values), np.uint8)
     bits[stop] = 1
-    for j in range(b):
-        bits[stop + 1 + j] = (rest >> np.uint64(b - 1 - j)) & np.uint64(1)
+    shifts = np.arange(b, dtype=np.uint64)[::-1]
+    bits[int(stop[-1]) + 1 :] = ((gaps[:, None] >> shifts) & np.uint64(1)).ravel()
     return b, np.packbits(bits).tobytes()
 
 
 def golomb_decode(n: int, b: int, code: bytes) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.uint64)
     bits = np.unpackbits(np.frombuffer(code, np.uint8))
-    ones = np.flatnonzero(bits)
-    gaps = np.empty(n, np.uint64)
-    weights = (np.uint64(1) << np.arange(b, dtype=np.uint64)[::-1]) if b else np.empty(0, np.uint64)
-    at, stops = 0, np.empty(n, np.int64)
-    starts = np.empty(n, np.int64)
-    k = 0
-    for i in range(n):
-        k = int(np.searchsorted(ones, at)) if b else i
-        starts[i], stops[i] = at, ones[k]
-        at = int(ones[k]) + 1 + b
-    quotient = (stops - starts).astype(np.uint64)
-    if b:
-        rest = bits[stops[:, None] + 1 + np.arange(b)].astype(np.uint64) @ weights
-        gaps = (quotient << np.uint64(b)) + rest
-    else:
-        gaps = quotient
-    return np.cumsum(gaps, dtype=np.uint64)
-
-
-def _messages(owner_bits: int):
-    """Per sender: one coded message to each owner, of its distinct fingerprints."""
-    schema = pa.schema([("owner", pa.int64()), ("sender", pa.int64()), ("n", pa.int64()), ("b", pa.int32()), ("code", pa.binary()), ("twice", pa.binary())])
-
-    def send(table: pa.Table) -> pa.Table:
-        sender = table["sender"][0].as_py()
-        prints, times = np.unique(table["fp"].to_numpy().view(np.uint64), return_counts=True)
-        owners = (prints >> np.uint64(64 - owner_bits)).astype(np.int64) if owner_bits else np.zeros(len(prints), np.int64)
+    stop = np.flatnonzero(bits)[:n]
+    quotient = (np.diff(stop, prepend=-1) - 1).astype(np.uint64)
+    rest = bits[stop[-1] + 1 : stop[-1] + 1 + b * n].reshape(n, b).astype(np.uint64) << np.arange(b, dtype=np.uint64)[::-1]
+    return np.cumsum((quotient << np.uint64(b)) + rest.sum(axis=1, dtype=np.uint64), dtype=np.uint64)
+
+
+def _pack(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _unpack(code: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(code, np.uint8), count=n).astype(bool)
+
+
+def messages(prints: DataFrame, bits: int, owner_bits: int) -> DataFrame:
+    """owner, sender, n, b, code, twice: of each task one message to each owner, of its distinct fingerprints less the owner's first. prints: fp, of ``bits`` bits."""
+    low = np.uint64(bits - owner_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b.column("fp").to_numpy() for b in batches]
+        values, times = np.unique(np.concatenate(parts) if parts else np.empty(0, np.int64), return_counts=True)
+        values = values.astype(np.uint64)
+        owners, first = np.unique(values >> low, return_index=True)
+        sender = TaskContext.get().partitionId()
         rows = []
-        for owner in np.unique(owners):
-            own = owners == owner
-            base = np.uint64(int(owner) << (64 - owner_bits)) if owner_bits else np.uint64(0)
-            b, code = golomb_encode(prints[own] - base)
-            rows.append((int(owner), sender, int(own.sum()), b, code, np.packbits(times[own] > 1).tobytes()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        for owner, i, j in zip(owners.tolist(), first, [*first[1:], len(values)]):
+            b, code = golomb_encode(values[i:j] - (np.uint64(owner) << low))
+            rows.append((owner, sender, j - i, b, code, _pack(times[i:j] > 1)))
+        if rows:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["owner", "sender", "n", "b", "code", "twice"])
 
-    return send, "owner long, sender long, n long, b int, code binary, twice binary"
+    return prints.mapInArrow(run, "owner long, sender long, n long, b int, code binary, twice binary")
 
 
 def _answer(table: pa.Table) -> pa.Table:
     """Per owner: a bitmap for each message, set where the fingerprint came more than once in all."""
     got = table.to_pydict()
     parts = [golomb_decode(n, b, c) for n, b, c in zip(got["n"], got["b"], got["code"])]
-    flags = [np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool) for n, t in zip(got["n"], got["twice"])]
+    flags = [_unpack(t, n) for n, t in zip(got["n"], got["twice"])]
     _, back, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     duplicate = (times > 1)[back] | np.concatenate(flags)
-    maps, at = [], 0
-    for p in parts:
-        maps.append(np.packbits(duplicate[at : at + len(p)]).tobytes())
-        at += len(p)
-    return pa.table({"sender": pa.array(got["sender"], pa.int64()), "owner": pa.array(got["owner"], pa.int64()), "dup": pa.array(maps, pa.binary())})
-
-
-def _mark(rows: pa.Table, maps: pa.Table) -> pa.Table:
-    """Per sender: its rows again, each with its fingerprint's bit."""
-    prints, back = np.unique(rows["fp"].to_numpy().view(np.uint64), return_inverse=True)
-    got = sorted(zip(maps["owner"].to_pylist(), maps["dup"].to_pylist()))
-    # Owners are ranges of the sorted prints, so the bitmaps in owner order line up with them.
-    bits, at = np.zeros(len(prints), bool), 0
-    counts = np.unique(_owners(prints, rows["owner_bits"][0].as_py()), return_counts=True)[1]
-    for (_, code), n in zip(got, counts):
-        bits[at : at + n] = np.unpackbits(np.frombuffer(code, np.uint8), count=int(n)).astype(bool)
-        at += n
-    return rows.drop_columns(["sender", "owner_bits"]).append_column("suspect", pa.array(bits[back]))
+    edges = np.cumsum([0, *map(len, parts)])
+    maps = [_pack(duplicate[i:j]) for i, j in zip(edges, edges[1:])]
+    return pa.table({"owner": pa.array(got["owner"], pa.int64()), "sender": pa.array(got["sender"], pa.int64()), "dup": pa.array(maps, pa.binary())})
 
 
-def _owners(prints: np.ndarray, bits: int) -> np.ndarray:
-    return (prints >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(prints), np.int64)
+def suspects(prints: DataFrame, bits: int, owner_bits: int, s: common.Scratch) -> DataFrame:
+    """fp: the fingerprints that came more than once, written. prints: fp."""
+    low = np.uint64(bits - owner_bits)
+    sent = s.cut(messages(prints, bits, owner_bits))
+    answers = s.cut(sent.groupBy("owner").applyInArrow(_answer, "owner long, sender long, dup binary"))
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for m in batch.to_pylist():
+                dup = _unpack(m["dup"], m["n"])
+                if dup.any():
+                    found = golomb_decode(m["n"], m["b"], m["code"])[dup] + (np.uint64(m["owner"]) << low)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64))], names=["fp"])
 
-def suspects(prints: DataFrame, owners: int) -> DataFrame:
-    """``prints`` (id, fp, sha, chars, sender) with ``suspect``: its fingerprint came more than once."""
-    bits = max(0, (owners - 1).bit_length())
-    send, schema = _messages(bits)
-    answers = prints.select("sender", "fp").groupBy("sender").applyInArrow(send, schema).groupBy("owner").applyInArrow(_answer, "sender long, owner long, dup binary")
-    held = prints.withColumn("owner_bits", F.lit(bits))
-    return held.groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(_mark, "id long, fp long, sha binary, chars int, suspect boolean")
+    return s.cut(sent.join(answers, ["owner", "sender"]).mapInArrow(read, "fp long").distinct())
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,30 +125,32 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Texts are equal when identical after deletion of ASCII white space; the row with the most
     code points, then the smallest id, is kept.
     """
-    spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = df.select(F.col(id_col).alias("id"), text.alias("text")).select("id", F.length("text").alias("chars"), common.without(F.col("text"), common.SPACES).alias("norm"))
-    printed = plain.select("id", F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha"), "chars", F.spark_partition_id().cast("long").alias("sender"))
-    owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = common.cut(suspects(common.cut(printed), owners))
-
-    twice = marked.where("suspect").select("fp").distinct()
-    met = plain.withColumn("fp", F.xxhash64("norm")).join(common.maybe_broadcast(twice), "fp", "left_semi")
-    # Grouping by the text itself is the byte comparison; copies within a partition merge before the shuffle.
-    same = met.groupBy("norm", "chars").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    groups = (
-        same.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n", F.struct((-F.col("chars")).alias("c"), F.col("least").isNull().alias("no"), F.col("least")).alias("o"))
-        .groupBy("sha")
-        .agg(F.sum("n").alias("size"), F.min("o").alias("o"))
-        .select("sha", F.lit(True).alias("met"), "size", F.col("o.least").alias("first"))
-    )
-    return marked.join(groups, "sha", "left").select(
-        "id",
-        F.when(F.col("met"), F.col("first")).otherwise(F.col("id")).alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.when(F.col("met"), F.col("first").eqNullSafe(F.col("id"))).otherwise(F.lit(True)).alias("kept"),
-        "sha",
-    )
+    hashed = F.xxhash64("norm")
+    printed = common.cut(plain.select("id", hashed.alias("hash"), F.unhex(F.sha2("norm", 256)).alias("sha")))
+    with common.Scratch(df.sparkSession) as s:
+        rows = printed.count()
+        width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        owner_bits = (max(width, -(-rows // OWNED)) - 1).bit_length()
+        bits = min(max(rows.bit_length() + SPARE_BITS, owner_bits + 1), 62)
+        short = lambda h: F.shiftrightunsigned(h, 64 - bits)
+        twice = suspects(printed.select(short(F.col("hash")).alias("fp")), bits, owner_bits, s)
+        met = plain.withColumn("fp", short(hashed)).join(common.maybe_broadcast(twice), "fp", "left_semi")
+        # Grouping by the text itself is the byte comparison; copies within a partition merge before the shuffle.
+        same = met.groupBy("norm", "chars").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+        order = F.struct((-F.col("chars")).alias("c"), F.col("least").isNull().alias("no"), F.col("least"))
+        groups = same.select(F.unhex(F.sha2("norm", 256)).alias("sha"), "n", order.alias("o")).groupBy("sha").agg(F.sum("n").alias("size"), F.min("o").alias("o"))
+        # Written, so that the join has both sides dealt for it alone and Spark can split a large group.
+        groups = common.cut(groups.where("size > 1").select("sha", F.lit(True).alias("met"), "size", F.col("o.least").alias("first")))
+    return _joined(printed, groups)
+
+
+def _joined(printed: DataFrame, groups: DataFrame) -> DataFrame:
+    met = lambda yes, no: F.when(F.col("met"), yes).otherwise(no)
+    size: Column = F.coalesce("size", F.lit(1)).cast("long")
+    held = printed.join(common.maybe_broadcast(groups), "sha", "left")
+    return held.select("id", met(F.col("first"), F.col("id")).alias("keep_id"), size.alias("group_size"), met(F.col("first").eqNullSafe(F.col("id")), F.lit(True)).alias("kept"), "sha")
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,27 @@ def test_golomb_round_trip(values):
     np.testing.assert_array_equal(o9.golomb_decode(len(v), b, code), v)
 
 
+def test_golomb_codes_are_short_and_quick():
+    rng = np.random.default_rng(1)
+    v = np.unique(rng.integers(0, 1 << 30, 1_000_000).astype(np.uint64))
+    b, code = o9.golomb_encode(v)
+    np.testing.assert_array_equal(o9.golomb_decode(len(v), b, code), v)
+    assert len(code) < 1.6 * len(v)  # 12 bits and a half where plain fingerprints take 64
+
+
+def test_exact_dedup_of_ids_of_any_type_and_many_copies(spark):
+    texts = ["a b", "ab", None, "", " ", "c", "d e f"] + ["copy of all"] * 500 + [f"text {i}" for i in range(300)]
+    rows = [(f"id{i:04d}" if i % 50 else None, t) for i, t in enumerate(texts)]
+    for part in (1, 7):
+        out = o9.exact_dedup(spark.createDataFrame(rows, "doc_id string, text string").repartition(part)).collect()
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(SPACE.sub("", t or ""), []).append((-len(t or ""), i is None, i or "", i))
+        want = Counter((i, min(g := groups[SPACE.sub("", t or "")])[3], len(g)) for i, t in rows)
+        assert Counter((r.id, r.keep_id, r.group_size) for r in out) == want
+        assert all(r.kept == (r.id == r.keep_id) for r in out)
+
+
 def test_exact_dedup(docs):
     norm = lambda t: SPACE.sub("", t or "")
     groups = {}
