@@ -100,3 +100,16 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
+
+
+def once(docs: DataFrame, keys: list[str], repeated: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one of the rows of each value of the keys. repeated: the values with several rows, a written table if known.
+
+    Only keys are shuffled, and the rows of repeated ones.
+    """
+    if repeated is None:
+        repeated = cut(docs.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*keys))
+    if repeated.isEmpty():
+        return docs
+    twice = maybe_broadcast(repeated.select(*keys))
+    return docs.join(twice, keys, "left_anti").unionByName(docs.join(twice, keys, "left_semi").dropDuplicates(keys))

@@ -15,14 +15,15 @@ of the shortest such windows that start or end at its lines, so doubling stops a
 longest of these windows, which has at most ``min_words`` lines: depth, not document
 length, bounds the rounds.
 
-Ranks and counts are pre-aggregated, and suffix joins use (document, line), so one common
-line never gathers in a task; only the joins on a rank meet a common line, and Spark
-splits those.
+Ranks and counts are pre-aggregated, places in a group of one rank are summed in two levels
+(``before``), and suffix joins use (document, line), so one common line never gathers in a
+task; only the joins on a rank meet a common line, and Spark splits those.
 
 Defined results: null and empty texts have no lines.  Lines without a word are outside the
 sequence and stay.  Lines are equal when their 64-bit hashes are.  Rows with equal id and
-text are one document and lose the same lines.  Null ids come first in the order.  An
-empty table gives an empty result; other columns are carried.
+text are one document and lose the same lines.  Null ids come first in the order.  A very
+long text is one document of many lines; a line of any length is one hash.  An empty table
+gives an empty result; other columns are carried in a struct, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,23 +45,38 @@ DOC = ["k1", "k2"]
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """k1, k2 (the document), id, line (its number), i (its place among lines with a word), h, words."""
     numbered = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x"))), lambda s: s.x.rlike(r"[^\x20\x09-\x0D]"))
-    each = docs.select(*keys(id_col, text_col), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("k1", "k2", "id", F.posexplode(numbered).alias("i", "s"))
-    return each.select("k1", "k2", "id", F.col("s.line").alias("line"), "i", F.xxhash64("s.x").alias("h"), F.size(common.words(F.col("s.x"))).alias("words")).distinct()
+    keyed = docs.select(*keys(id_col, text_col), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    each = common.once(keyed, DOC).select("k1", "k2", "id", F.posexplode(numbered).alias("i", "s"))
+    return each.select("k1", "k2", "id", F.col("s.line").alias("line"), "i", F.xxhash64("s.x").alias("h"), F.size(common.words(F.col("s.x"))).alias("words"))
 
 
 def keys(id_col: str, text_col: str) -> list:
     return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit(7), F.col(text_col), F.col(id_col)).alias("k2")]
 
 
-def line_ranks(found: DataFrame) -> DataFrame:
-    """h, r of each line that occurs twice: occurrences of repeated lines before it in hash order, by sums in two levels."""
-    counts = common.cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").withColumn("bucket", F.shiftright("h", 52)))
-    order = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
-    # 4096 buckets, one row each.
-    base = counts.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("all", F.lit(0))
-    base = base.select("bucket", F.coalesce(F.sum("n").over(order("all").orderBy("bucket")), F.lit(0)).alias("base"))
-    within = F.coalesce(F.sum("n").over(order("bucket").orderBy("h")), F.lit(0))
-    return counts.withColumn("within", within).join(F.broadcast(base), "bucket").select("h", (F.col("base") + F.col("within")).alias("r"))
+#: Buckets of the two levels of ``before``, as a power of two.
+BUCKETS = 12
+
+
+def before(counts: DataFrame, by: list[str], value: str, n: str, bucket: Column) -> DataFrame:
+    """``counts`` with before: the sum of n over smaller values of the same ``by``, in two levels: buckets of values, then values of a bucket.
+
+    ``bucket`` must not fall where the value grows. No window holds more than the buckets of a
+    group, or the values of one bucket, however many values a group has.
+    """
+    order = lambda *of: Window.partitionBy(*of).rowsBetween(Window.unboundedPreceding, -1)
+    held = counts.withColumn("bucket", bucket)
+    within = F.coalesce(F.sum(n).over(order(*by, "bucket").orderBy(value)), F.lit(0))
+    sums = held.groupBy(*by, "bucket").agg(F.sum(n).alias("all"))
+    base = sums.select(*by, "bucket", F.coalesce(F.sum("all").over(order(*(by or [F.lit(0)])).orderBy("bucket")), F.lit(0)).alias("base"))
+    met = held.withColumn("within", within).join(base, [*by, "bucket"])
+    return met.withColumn("before", F.col("base") + F.col("within")).drop("bucket", "base", "within")
+
+
+def line_ranks(found: DataFrame, s: common.Scratch) -> DataFrame:
+    """h, r of each line that occurs twice: occurrences of repeated lines before it in hash order."""
+    counts = s.cut(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"))
+    return before(counts, [], "h", "n", F.shiftright("h", 64 - BUCKETS)).select("h", F.col("before").alias("r"))
 
 
 def windows(words: np.ndarray, min_words: int) -> list[list[int]]:
@@ -98,14 +114,14 @@ def suffixes(repeated: DataFrame, min_words: int) -> DataFrame:
     return flat.mapInArrow(run, f"k1 long, k2 long, id {kind}, i int, r long, lengths array<int>")
 
 
-def double(held: DataFrame, step: int) -> DataFrame:
-    """Ranks to twice the depth, of suffixes that are still not alone."""
+def double(held: DataFrame, step: int, s: common.Scratch) -> DataFrame:
+    """Ranks to twice the depth, of suffixes that are still not alone. held: written."""
     half = held.select(*DOC, (F.col("i") - step).alias("i"), F.col("r").alias("r2"))
     both = held.join(half, [*DOC, "i"])
-    pairs = both.groupBy("r", "r2").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pairs.withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1").drop("n")
-    return both.join(placed, ["r", "r2"]).select(*DOC, "id", "i", (F.col("r") + F.col("shift")).alias("r"), "lengths")
+    pairs = s.cut(both.groupBy("r", "r2").agg(F.count("*").alias("n")))
+    bits = int(held.agg(F.max("r")).first()[0] or 0).bit_length()
+    placed = s.cut(before(pairs, ["r"], "r2", "n", F.shiftright("r2", max(0, bits - BUCKETS))).where("n > 1").select("r", "r2", "before"))
+    return both.join(placed, ["r", "r2"]).select(*DOC, "id", "i", (F.col("r") + F.col("before")).alias("r"), "lengths")
 
 
 def intervals(held: DataFrame, step: int) -> DataFrame:
@@ -118,36 +134,31 @@ def intervals(held: DataFrame, step: int) -> DataFrame:
 
 
 def later_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """k1, k2, deleted: the numbers of the lines of each document that stood earlier in a run of ``min_words`` words."""
-    found = common.cut(lines(docs, id_col, text_col))
-    ranks = line_ranks(found)
-    repeated = common.cut(found.join(common.maybe_broadcast(common.cut(ranks)), "h").drop("h"))
-    held = common.cut(suffixes(repeated, min_words))
-    longest = held.select(F.max(F.array_max("lengths"))).first()[0] or 0
-    parts, step = [], 1
-    while step <= longest:
-        parts.append(intervals(held, step))
-        step *= 2
-        if step <= longest:
-            held = common.cut(double(held, step // 2))
-    runs = found.select(*DOC, "i", F.col("line")).where("false") if not parts else None
-    if runs is None:
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        every = common.cut(every)
+    """k1, k2, deleted: the numbers of the lines of each document that stood earlier in a run of ``min_words`` words. Written."""
+    with common.Scratch(docs.sparkSession) as s:
+        found = s.cut(lines(docs, id_col, text_col))
+        ranks = s.cut(line_ranks(found, s))
+        repeated = s.cut(found.join(common.maybe_broadcast(ranks), "h").drop("h"))
+        held = s.cut(suffixes(repeated, min_words))
+        longest = held.select(F.max(F.array_max("lengths"))).first()[0] or 0
+        every, step = intervals(held, 1), 1
+        while 2 * step <= longest:
+            held = s.cut(double(held, step, s))
+            step *= 2
+            every = every.unionByName(intervals(held, step))
+        every = s.cut(every)
         same = ["length", "ra", "rb"]
         place = F.struct("id", *DOC, "i")
         # Written, so that the join below has both sides dealt for it alone and Spark can split a common passage.
-        first = common.cut(every.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
+        first = s.cut(every.groupBy(*same).agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"))
         later = every.join(first, same).where(place > F.col("first"))
         runs = later.select(*DOC, F.explode(F.sequence("i", F.col("i") + F.col("length") - 1)).alias("i")).distinct().join(repeated.select(*DOC, "i", "line"), [*DOC, "i"])
-    return runs.groupBy(*DOC).agg(F.collect_list("line").alias("deleted"))
+        return common.cut(runs.groupBy(*DOC).agg(F.collect_list("line").alias("deleted")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (the input's columns), ``text`` without the deleted lines, ``n_lines`` and ``deleted`` (line numbers)."""
-    edits = common.cut(later_runs(docs, id_col, text_col, min_words))
+    edits = later_runs(docs, id_col, text_col, min_words)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     held = docs.select(row, F.col(text_col).alias("text"), *keys(id_col, text_col)).join(common.maybe_broadcast(edits), DOC, "left").drop(*DOC)
 

@@ -417,14 +417,6 @@ def links(found: DataFrame, docs: DataFrame, percent: int, k: int, cut: Callable
         return graph.components(near.unionByName(verify(docs, sets, far, percent, k, s)), cut)
 
 
-def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``docs`` with one of the rows of each pair (k1, k2) in ``repeated``, a written table."""
-    if repeated.isEmpty():
-        return docs
-    twice = common.maybe_broadcast(repeated.select("k1", "k2"))
-    return docs.join(twice, ["k1", "k2"], "left_anti").unionByName(docs.join(twice, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
-
-
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, text and the two hashes that name a row."""
     text, id_ = F.col(text_col), F.col(id_col)
@@ -461,7 +453,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text, id_ = F.col("text"), F.col("doc_id")
     held = docs.select(row, F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), text, id_).alias("k2")).join(common.maybe_broadcast(stays), ["k1", "k2"], "left_semi")
-    return once(held, twice).select("row.*")
+    return common.once(held, ["k1", "k2"], twice).select("row.*")
 
 
 #: All pairs that share a shingle, which only a small table allows.
