@@ -1,14 +1,17 @@
-"""The engine in SQL: scalar functions, and a table function that transforms signals."""
+"""The engine in SQL: scalar functions, and table functions that transform batches of signals."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
+from ondula.plans.joint_plan import JointPlan
 from ondula.plans.time_plan import TimePlan
 
-#: Options of the table function, besides n and J.
+#: Options of the table functions, besides n and J; the joint one has more.
 OPTIONS = ("Q", "T", "T_sec", "max_order", "stride", "sr")
+JOINT_OPTIONS = ("J_fr", "Q_fr", "F", "stride_fr", "format", "out_type", "renorm_eps")
 
 SCALARS = {
     "log_compress(v DOUBLE, eps DOUBLE)": ("DOUBLE", "signum(v) * ln(1 + abs(v) / eps)"),
@@ -16,42 +19,94 @@ SCALARS = {
     "xi_max(q INT)": ("DOUBLE", "greatest(1 / (1 + power(2, 3 / q)), 0.35D)"),
     "dyadic_subsampling(xi DOUBLE, sigma DOUBLE)": ("INT", "CAST(floor(-log2(least(abs(xi) + 5 * sigma, 0.5D))) - 1 AS INT)"),
     "pad_reflect(x ARRAY<DOUBLE>, l INT, r INT)": ("ARRAY<DOUBLE>", "concat(reverse(slice(x, 2, l)), x, slice(reverse(x), 2, r))"),
+    "eps_quantile(x ARRAY<DOUBLE>, p DOUBLE)": ("DOUBLE", """element_at(transform(array(array_sort(filter(x, v -> v > 0 AND NOT isnan(v) AND v < double('infinity')))), s -> CASE WHEN size(s) = 0 THEN 1e-6D ELSE greatest(2.220446049250313e-16D,
+      get(s, int(floor((size(s) - 1) * p))) + ((size(s) - 1) * p - floor((size(s) - 1) * p)) * (get(s, least(int(floor((size(s) - 1) * p)) + 1, size(s) - 1)) - get(s, int(floor((size(s) - 1) * p))))) END), 1)"""),
+    "summarise(x ARRAY<DOUBLE>, kind STRING)": ("DOUBLE", """element_at(transform(array(struct(array_sort(x) AS s, size(x) AS n, try_divide(aggregate(x, 0D, (a, v) -> a + v), size(x)) AS m)), r -> CASE
+      WHEN kind = 'mean' THEN if(r.n > 0, r.m, double('NaN'))
+      WHEN kind = 'max' THEN if(r.n > 0, array_max(r.s), double('NaN'))
+      WHEN kind = 'sd' THEN if(r.n > 1, sqrt(aggregate(r.s, 0D, (a, v) -> a + (v - r.m) * (v - r.m)) / (r.n - 1)), double('NaN'))
+      WHEN kind = 'median' THEN if(r.n = 0 OR exists(r.s, v -> isnan(v)), double('NaN'), (get(r.s, int((r.n - 1) / 2)) + get(r.s, int(r.n / 2))) / 2)
+      ELSE raise_error(concat('Unknown summary ', kind)) END), 1)"""),
     "periods(sigma DOUBLE)": ("INT", "CAST(ceil(sqrt(-2 * sigma * sigma * ln(1e-7D)) + 1) AS INT)"),
 }
 
 
-def plan_of(n: int, j: int, options: dict) -> TimePlan:
-    """A plan from SQL options, given as text; unknown names are errors."""
-    if unknown := set(options) - set(OPTIONS):
-        raise ValueError(f"Unknown option {', '.join(sorted(unknown))}; allowed are {', '.join(OPTIONS)}.")
+def _checked(options: dict, allowed: tuple[str, ...]) -> dict:
+    if unknown := set(options) - set(allowed):
+        raise ValueError(f"Unknown option {', '.join(sorted(unknown))}; allowed are {', '.join(allowed)}.")
 
     def value(k: str, v: str):
         if k == "Q":
             return tuple(int(x) for x in v.split(","))
-        if k == "T" and v == "global":
+        if k in ("format", "out_type") or v == "global":
             return v
-        return int(v) if k == "max_order" else float(v)
+        return int(v) if k in ("max_order", "J_fr", "Q_fr") else float(v)
+
+    return {k: value(k, v) for k, v in options.items()}
+
+
+def plan_of(n: int, j: int, options: dict) -> TimePlan:
+    """A plan from SQL options, given as text; unknown names are errors."""
+    return TimePlan(n, j, **_checked(options, OPTIONS))
+
+
+def joint_plan_of(n: int, j: int, options: dict) -> tuple[JointPlan, float | None]:
+    """A joint plan and the eps of its renormalisation, if any, from SQL options."""
+    found = _checked(options, tuple(o for o in OPTIONS if o != "max_order") + JOINT_OPTIONS)
+    eps = found.pop("renorm_eps", None)
+    time = TimePlan(n, j, **{k: v for k, v in found.items() if k in OPTIONS})
+    return JointPlan(time, **{k: v for k, v in found.items() if k not in OPTIONS}), eps
 
-    return TimePlan(n, j, **{k: value(k, v) for k, v in options.items()})
 
+def _first(column: pa.Array):
+    """The value of an argument that is the same for all rows."""
+    found = column[0].as_py()
+    return dict(found) if isinstance(found, list) else found
 
-@udtf(returnType="id bigint, path_idx int, label string, coef array<double>")
+
+@arrow_udtf(returnType="id bigint, path_idx int, label string, coef array<double>")
 class Scatter:
-    """``SELECT * FROM scatter(TABLE(SELECT id, x FROM signals), 720, 6, map('Q', '4,1'))``."""
+    """``SELECT * FROM scatter(TABLE(SELECT id, x FROM signals), 720, 6, map('Q', '4,1'))``, a batch of signals at a time."""
+
+    def eval(self, table, n, j, options):
+        from ondula.operators import kernels
+        from ondula.operators.scattering import checked
+
+        key = (_first(n), _first(j), tuple(sorted((_first(options) or {}).items())))
+        if getattr(self, "key", None) != key:
+            self.key, self.plan = key, plan_of(*key[:2], dict(key[2]))
+        x, rows = checked(key[0], table.column("x"), "raise")
+        if len(x):
+            for i, y in kernels.scatter_time(self.plan, x):
+                yield _paths(table, rows, i, self.plan.paths[i]["label"], {}, y)
+
 
-    def eval(self, row, n: int, j: int, options: dict):
-        import numpy as np
+@arrow_udtf(returnType="id bigint, path_idx int, label string, rows int, cols int, coef array<double>")
+class ScatterJoint:
+    """``SELECT * FROM scatter_joint(TABLE(SELECT id, x FROM signals), 900, 7, map('Q', '8,1', 'J_fr', '3', 'format', 'joint'))``."""
 
+    def eval(self, table, n, j, options):
         from ondula.operators import kernels
+        from ondula.operators.scattering import checked
 
-        key = (n, j, tuple(sorted((options or {}).items())))
+        key = (_first(n), _first(j), tuple(sorted((_first(options) or {}).items())))
         if getattr(self, "key", None) != key:
-            self.key, self.plan = key, plan_of(n, j, options or {})
-        x = np.asarray(row["x"], float)
-        if len(x) != n or not np.isfinite(x).all():
-            raise ValueError(f"The signal has {len(x)} samples or non-finite values; this operator was built for {n} finite ones.")
-        for i, y in kernels.scatter_time(self.plan, x[None]):
-            yield row["id"], i, self.plan.paths[i]["label"], y[0].tolist()
+            self.key, (self.plan, self.eps) = key, joint_plan_of(*key[:2], dict(key[2]))
+        x, rows = checked(key[0], table.column("x"), "raise")
+        if len(x):
+            zero, s1, branches = kernels.scatter_joint(self.plan, x)
+            if self.eps is not None:
+                branches = kernels.renormed(self.plan, s1, branches, self.eps)
+            for i, y in kernels.joint_paths(self.plan, zero, branches):
+                yield _paths(table, rows, i, self.plan.paths[i]["label"], {"rows": y.shape[1], "cols": y.shape[2]}, y)
+
+
+def _paths(table: pa.RecordBatch, rows, i: int, label: str, fixed: dict[str, int], y) -> pa.Table:
+    """A path of each signal."""
+    flat = y.reshape(len(y), -1)
+    cols = {"id": table.column("id").take(pa.array(rows)).cast(pa.int64()), "path_idx": pa.array([i] * len(y), pa.int32()), "label": pa.array([label] * len(y))}
+    cols |= {k: pa.array([v] * len(y), pa.int32()) for k, v in fixed.items()}
+    return pa.table(cols | {"coef": pa.array(list(flat), pa.list_(pa.float64()))})
 
 
 def register(spark: SparkSession) -> None:
@@ -59,3 +114,4 @@ def register(spark: SparkSession) -> None:
     for head, (kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     spark.udtf.register("scatter", Scatter)
+    spark.udtf.register("scatter_joint", ScatterJoint)

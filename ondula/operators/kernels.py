@@ -68,6 +68,38 @@ def scatter_time(plan: TimePlan, x: Array, wanted: set[int] | None = None) -> It
             yield by_pair[n1, n2], finish(u2, g.j)
 
 
+def over_parents(plan: TimePlan, paths: Iterator[tuple[int, Array]], eps: float) -> Iterator[tuple[int, Array]]:
+    """Second-order coefficients over their first-order parent plus eps, in the order of ``scatter_time``: a parent comes before its children."""
+    kinds = {p["path_idx"]: (p["order"], p["n1"]) for p in plan.paths}
+    parent: tuple[int | None, Array | None] = (None, None)
+    for i, y in paths:
+        order, n1 = kinds[i]
+        if order == 1:
+            parent = n1, y
+        if order == 2:
+            if parent[0] != n1 or parent[1].shape != y.shape:
+                raise ValueError("Renormalisation needs the first-order parent of each second-order path, as long as the path.")
+            y = y / (parent[1] + eps)
+        yield i, y
+
+
+def summarised(paths: list[tuple[int, Array]], p: float, least: float, none: float) -> Iterator[tuple[int, Array]]:
+    """(path, [signal, (mean, sd, median, max)]) of log-compressed coefficients over each signal's floor, the p-quantile of its positive finite values."""
+    every = np.concatenate([y for _, y in paths], axis=1)
+    every = np.sort(np.where((every > 0) & np.isfinite(every), every, np.inf), axis=1)
+    count = np.isfinite(every).sum(axis=1)
+    h = np.maximum(count - 1, 0) * p
+    low = np.floor(h).astype(np.int64)
+    rows = np.arange(len(every))
+    a, b = every[rows, low], every[rows, np.minimum(low + 1, np.maximum(count - 1, 0))]
+    with np.errstate(invalid="ignore"):
+        eps = np.where(count > 0, np.maximum(a + (h - low) * (b - a), least), none)[:, None]
+    for i, y in paths:
+        v = np.sign(y) * np.log1p(np.abs(y) / eps)
+        sd = v.std(axis=1, ddof=1) if v.shape[1] > 1 else np.full(len(v), np.nan)
+        yield i, np.stack([v.mean(axis=1), sd, np.median(v, axis=1), v.max(axis=1)], axis=1)
+
+
 def scatter_joint(plan: JointPlan, x: Array) -> tuple[Array, Array, dict[int, Array]]:
     """(order 0, S1, coefficients by branch) of a batch; coefficients are [signal, band row, time]."""
     op, stride, local = plan.time, plan.time.log2_stride, plan.time.local

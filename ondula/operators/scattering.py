@@ -30,9 +30,9 @@ MOST_VALUES = 1 << 21
 _INT, _DBL = ("path_idx", "order", "n1", "n2", "n_fr", "j1", "j2", "j_fr", "spin"), ("xi1", "xi2", "xi_fr", "sigma1", "sigma2", "sigma_fr")
 
 
-def _check(n: int, column: pa.Array, on_error: str) -> tuple[np.ndarray, np.ndarray]:
+def checked(n: int, column: pa.Array, on_error: str) -> tuple[np.ndarray, np.ndarray]:
     """The matrix of usable signals, and which rows they are."""
-    lengths = np.array([-1 if v is None else v for v in pa.compute.list_value_length(column).to_pylist()], np.int64)
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), -1).to_numpy().astype(np.int64)
     whole = lengths == n
     flat = column.filter(pa.array(whole)).flatten().cast(pa.float64())
     x = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(-1, n)
@@ -52,7 +52,7 @@ def _batches(n: int, width: int, on_error: str, emit: Callable[[np.ndarray], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, MOST_VALUES // width)
         for batch in batches:
-            x, rows = _check(n, batch.column("x"), on_error)
+            x, rows = checked(n, batch.column("x"), on_error)
             for at in range(0, len(rows), step):
                 keys = batch.column("keys").take(pa.array(rows[at : at + step]))
                 for constants, y in emit(x[at : at + step]):
@@ -131,22 +131,51 @@ class Scattering1D(_Operator):
         other.__dict__ = self.__dict__ | {"wanted": chosen if self.wanted is None else chosen & self.wanted}
         return other
 
-    def transform(self, df: DataFrame, signal_col: str = "x") -> DataFrame:
-        """Keys, path_idx, coef (array of double), a row per signal and path."""
+    def path(self, index: int | str) -> dict:
+        """The metadata of a path by its place in the output, or by its label."""
+        if isinstance(index, str):
+            found = [p for p in self.paths if p["label"] == index]
+            if not found:
+                raise KeyError(f"No such path: {index}.")
+            return found[0]
+        if not 0 <= index < len(self.paths):
+            raise IndexError(f"There are {len(self.paths)} paths, from 0; {index} is none of them.")
+        return self.paths[index]
+
+    def transform(self, df: DataFrame, signal_col: str = "x", renorm_eps: float | None = None) -> DataFrame:
+        """Keys, path_idx, coef (array of double), a row per signal and path; with ``renorm_eps`` renormalised in the same stage."""
         plan, wanted = self.plan, self.wanted
+        if renorm_eps is not None:
+            features.check_eps(renorm_eps)
 
         def emit(x):
-            for i, y in kernels.scatter_time(plan, x, wanted):
+            paths = kernels.scatter_time(plan, x, wanted)
+            for i, y in paths if renorm_eps is None else kernels.over_parents(plan, paths, renorm_eps):
                 yield [i], y
 
         return self._map(df, signal_col, emit, ["path_idx"], 16 * plan.n_padded)
 
     def renorm(self, coefs: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame:
+        """Of coefficients in a table; ``transform`` with ``renorm_eps`` does it without a join."""
         return features.renorm(coefs, self.paths_df(coefs.sparkSession), keys, eps)
 
     def features(self, df: DataFrame, keys: list[str], signal_col: str = "x", renorm_eps: float = 1e-12, quantile: float = 0.01) -> DataFrame:
-        """The composed pipeline: renorm, a floor per signal, log compression, four summaries per path."""
-        return features.pipeline(self.transform(df, signal_col), self.paths_df(df.sparkSession), keys, renorm_eps, quantile)
+        """Keys, path_idx, mean, sd, median, max: renorm, a floor per signal, log compression and four summaries per path, in the stage of the transform.
+
+        A signal's paths never leave its task before they are summarised, so nothing is shuffled.
+        ``features.pipeline`` does the same with coefficients in a table.
+        """
+        features.check_eps(renorm_eps)
+        plan, wanted = self.plan, self.wanted
+
+        def emit(x):
+            held = list(kernels.over_parents(plan, kernels.scatter_time(plan, x, wanted), renorm_eps))
+            for i, y in kernels.summarised(held, quantile, features.LEAST_EPS, features.NO_POSITIVE_EPS):
+                yield [i], y
+
+        width = 16 * plan.n_padded + sum(plan.n_padded >> (plan.log2_stride if plan.local else max(p["j2"] or p["j1"] or 0, 0)) for p in plan.paths)
+        each = self._map(df.select(*keys, signal_col), signal_col, emit, ["path_idx"], width)
+        return each.select(*keys, "path_idx", *[F.get("coef", i).alias(k) for i, k in enumerate(("mean", "sd", "median", "max"))])
 
 
 class ScatteringJTFS(_Operator):
@@ -196,7 +225,7 @@ class ScatteringJTFS(_Operator):
     def _can_renorm(self, eps: float) -> None:
         features.check_eps(eps)
         if not self.time.local:
-            raise ValueError("Joint renormalisation needs local time averaging. For one value per path, use a local T and summarise the time axis afterwards.")
+            raise ValueError("Joint renormalisation needs local time averaging, as its denominators are local; summaries over time can follow it.")
 
     def renorm(self, coefs: DataFrame, s1: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame:
         """Joint coefficients over S1, from tables: S1's bands of a signal meet its paths by a join on the keys."""

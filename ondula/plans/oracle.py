@@ -95,12 +95,12 @@ every AS (SELECT id, 0 AS path, t, v FROM ({_low('z', 'id', n, stride)}) UNION A
 
 
 def joint_sql(plan: JointPlan, source: str, digits: int = 6, renorm_eps: float | None = None) -> str:
-    """id, path_idx, band, t, value of the joint format with a local time average."""
+    """id, path_idx, band, t, value of the joint format with a local time average; of the time format path_idx is the branch, from one."""
     op = plan.time
-    assert op.local and plan.format == "joint"
+    assert op.local
     n, nf, stride = op.n_padded, plan.n_padded_fr, op.log2_stride
     start, end = op.borders[stride]
-    path_of = {k: i for i, (k, _) in enumerate(plan.layout, 1)}
+    path_of = {k: i for i, (k, _) in enumerate(plan.layout, 1)} if plan.format == "joint" else {k: k + 1 for k in range(len(plan.branches))}
     branches, members, rows = [], [], []
     for k, b in enumerate(plan.branches):
         last = 1 if b.average == "global" else (nf >> plan.log2_stride_fr if b.average == "local" else nf >> plan.k_fr(b.j_fr))
@@ -148,3 +148,23 @@ d AS (SELECT sb.id, b.path, 0 AS q, sb.t, sum(sb.v) AS v FROM sb JOIN b USING (n
     return f"""WITH {','.join(parts)},
 every AS (SELECT id, 0 AS path, 0 AS q, t, v FROM ({_low('z', 'id', n, stride)}) UNION ALL SELECT cf.id, cf.path, cf.q, cf.t, {value} FROM cf JOIN b USING (path){join} WHERE cf.q < b.keep)
 SELECT id, path::INT AS path_idx, q::INT AS band, (t - {start})::INT AS t, round(v, {digits}) + 0.0 AS value FROM every WHERE t >= {start} AND t < {end}"""
+
+
+def time_format_sql(plan: JointPlan, source: str, digits: int = 6) -> str:
+    """id, path_idx, t, value of the time format: each band row of a branch is a path, in the order of (first-order wavelet, n2, n_fr)."""
+    rows = [(i, k + 1, row) for i, (k, row) in enumerate(plan.layout, 1)]
+    return f"""SELECT c.id, l.path_idx::INT AS path_idx, c.t, c.value FROM ({joint_sql(plan, source, digits)}) c
+JOIN (VALUES (0, 0, 0), {_values(rows)}) l(path_idx, branch, band) ON c.path_idx = l.branch AND c.band = l.band"""
+
+
+def joint_paths_sql(plan: JointPlan) -> str:
+    """The path table of the joint format from the filters alone: which branches there are, their order and labels."""
+    assert plan.format == "joint"
+    listed = lambda bank: _values([(i, float(f.xi or 0), float(f.sigma), f.j) for i, f in enumerate(bank, 1)])
+    return f"""WITH p1(i, xi, sigma, j) AS (VALUES {listed(plan.time.psi1)}), p2(i, xi, sigma, j) AS (VALUES {listed(plan.time.psi2)}), fr(i, xi, sigma, j) AS (VALUES {listed(plan.psi_fr)}),
+under AS (SELECT 1 AS ord, NULL::INT AS n2, NULL::INT AS j2, NULL::DOUBLE AS xi2, NULL::DOUBLE AS sigma2 UNION ALL SELECT 2, i, j, xi, sigma FROM p2 WHERE EXISTS (SELECT 1 FROM p1 WHERE p1.j < p2.j)),
+b AS (SELECT ord, n2, j2, xi2, sigma2, fr.i AS n_fr, fr.j AS j_fr, fr.xi AS xi_fr, fr.sigma AS sigma_fr, sign(fr.xi)::INT AS spin FROM under, fr WHERE ord = 2 OR fr.xi >= 0),
+every AS (SELECT 0 AS ord, NULL AS n2, NULL AS j2, NULL AS xi2, NULL AS sigma2, NULL AS n_fr, NULL AS j_fr, NULL AS xi_fr, NULL AS sigma_fr, NULL AS spin UNION ALL SELECT * FROM b)
+SELECT (row_number() OVER (ORDER BY ord, n2, n_fr) - 1)::INT AS path_idx, ord::INT AS "order", NULL::INT AS n1, n2::INT AS n2, n_fr::INT AS n_fr, NULL::INT AS j1, j2::INT AS j2, j_fr::INT AS j_fr,
+  NULL::DOUBLE AS xi1, xi2::DOUBLE AS xi2, xi_fr::DOUBLE AS xi_fr, NULL::DOUBLE AS sigma1, sigma2::DOUBLE AS sigma2, sigma_fr::DOUBLE AS sigma_fr, spin::INT AS spin,
+  CASE ord WHEN 0 THEN 'S0' WHEN 1 THEN 'J1_' || n_fr ELSE 'J2_' || n2 || '_' || n_fr END || CASE WHEN ord = 0 THEN '' WHEN spin > 0 THEN 'u' WHEN spin < 0 THEN 'd' ELSE 'n' END AS label FROM every"""

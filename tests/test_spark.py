@@ -168,6 +168,52 @@ def test_sql_surface(spark, frame):
         sql.plan_of(128, 4, {"depth": "2"})
 
 
+def test_sql_surface_of_joint_scattering(spark, frame):
+    sql.register(spark)
+    frame.createOrReplaceTempView("sig")
+    options = "map('Q', '4', 'J_fr', '2', 'format', 'joint', 'renorm_eps', '0.001')"
+    got = spark.sql(f"SELECT * FROM scatter_joint(TABLE(SELECT id, x FROM sig), 128, 3, {options})").toPandas()
+    want = ScatteringJTFS(128, 3, J_fr=2, Q=4, format="joint").transform(frame, renorm_eps=1e-3).toPandas()
+    m = got.merge(want, on=["id", "path_idx", "rows", "cols"])
+    assert len(m) == len(want) == len(got)
+    assert all(np.allclose(a, b, atol=1e-12) for a, b in zip(m.coef_x, m.coef_y))
+    with pytest.raises(ValueError, match="Unknown option"):
+        sql.joint_plan_of(128, 3, {"max_order": "2"})
+
+
+def test_sql_summaries_and_floors_are_the_columns(spark):
+    sql.register(spark)
+    nan = float("nan")
+    held = spark.createDataFrame([(x,) for x in ([3.0, 1.0, 4.0, 1.0, 5.0, 9.0], [], [2.0], [1.0, 2.0, nan], [-1.0, 0.0, float("inf")], [1e-300], [10.0, 3.0, 1.0, 4.0, 2.0, -1.0, 0.0])], "x array<double>")
+    held.createOrReplaceTempView("arrays")
+    for k in features.SUMMARIES:
+        r = spark.sql(f"SELECT summarise(x, '{k}') AS a, x FROM arrays").withColumn("b", features.summarise_array(F.col("x"), k)).toPandas()
+        np.testing.assert_allclose(r.a, r.b, rtol=1e-12)
+    r = spark.sql("SELECT eps_quantile(x, 0.3D) AS a, x FROM arrays").collect()
+    assert [x.a for x in r] == [pytest.approx(spark.createDataFrame([(v,) for v in x.x] or [(-1.0,)], "v double").agg(features.eps_quantile(F.col("v"), 0.3)).first()[0]) for x in r]
+    with pytest.raises(Exception, match="Unknown summary"):
+        spark.sql("SELECT summarise(x, 'mode') FROM arrays").collect()
+
+
+def test_paths_by_index_and_label():
+    op = Scattering1D(128, 4, Q=(2, 1))
+    assert op.path(0)["label"] == "S0" and op.path("S1_2") == op.path(2)
+    for wrong in (-1, len(op.paths)):
+        with pytest.raises(IndexError, match="paths"):
+            op.path(wrong)
+    with pytest.raises(KeyError, match="No such path"):
+        op.path("S9")
+
+
+def test_features_skip_bad_signals_and_unaveraged_paths(spark):
+    op = Scattering1D(64, 3, Q=1, on_error="skip")
+    rows = [(1, [float(i % 7) for i in range(64)]), (2, [1.0]), (3, None), (4, [float("nan")] * 64), (5, [0.0] * 64)]
+    got = op.features(spark.createDataFrame(rows, "id long, x array<double>"), ["id"]).toPandas()
+    assert set(got.id) == {1, 5} and (got[got.id == 5]["mean"] == 0).all()
+    with pytest.raises(Exception, match="parent"):
+        Scattering1D(64, 3, Q=1, T=0).features(spark.createDataFrame(rows[:1], "id long, x array<double>"), ["id"]).collect()
+
+
 def test_stream_is_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
