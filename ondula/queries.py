@@ -18,8 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 KINDS = ("mean", "sd", "median", "max")
-#: Five signals of 64 bins from the events, and their SQL: of a fixed span of 26.67 days, or ``_whole``, of all times in the table.
-BINS, SECONDS, START = 64, 36000, "2024-01-01"
+#: Bins of the events' signals, from the first second of the table to its last.
+BINS = 64
 
 
 def query(name: str, sql: str | None = None):
@@ -41,23 +41,14 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.binned(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", START, BINS, SECONDS).withColumnRenamed("event_type", "id")
-
-
-def whole_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.spanned(table(spark, sf_dir, "events"), ["event_type"], "ts", "value", BINS).withColumnRenamed("event_type", "id")
 
 
 EMBEDDINGS = "SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings"
-EVENTS = f"""SELECT id, list(coalesce(v, 0.0) ORDER BY bin) AS x FROM (SELECT DISTINCT event_type AS id FROM events WHERE value IS NOT NULL AND ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{START}' + INTERVAL {BINS * SECONDS} SECOND) k CROSS JOIN generate_series(0, {BINS - 1}) b(bin)
-  LEFT JOIN (SELECT event_type AS id, CAST(floor(epoch(ts - TIMESTAMP '{START}') / {SECONDS}) AS BIGINT) AS bin, sum(value) AS v FROM events GROUP BY ALL) s USING (id, bin) GROUP BY id"""
-WHOLE_EVENTS = f"""SELECT id, list(coalesce(v, 0.0) ORDER BY bin) AS x FROM (SELECT DISTINCT event_type AS id FROM events WHERE value IS NOT NULL AND ts IS NOT NULL) k CROSS JOIN generate_series(0, {BINS - 1}) b(bin)
+EVENTS = f"""SELECT id, list(coalesce(v, 0.0) ORDER BY bin) AS x FROM (SELECT DISTINCT event_type AS id FROM events WHERE value IS NOT NULL AND ts IS NOT NULL) k CROSS JOIN generate_series(0, {BINS - 1}) b(bin)
   LEFT JOIN (SELECT event_type AS id, CAST(floor((floor(epoch(ts)) - s0) / width) AS BIGINT) AS bin, sum(value) AS v
     FROM events, (SELECT floor(epoch(min(ts))) AS s0, ceil((floor(epoch(max(ts))) + 1 - floor(epoch(min(ts)))) / {BINS}) AS width FROM events WHERE value IS NOT NULL AND ts IS NOT NULL)
     WHERE value IS NOT NULL AND ts IS NOT NULL GROUP BY ALL) s USING (id, bin) GROUP BY id"""
-#: Suffix of a query's name, its signals and their SQL.
-SPANS = (("", event_signals, EVENTS), ("_whole", whole_signals, WHOLE_EVENTS))
-
 
 def rounded(v: Column | str, digits: int = 6) -> Column:
     return F.round(v, digits) + F.lit(0.0)
@@ -159,12 +150,12 @@ def _there_and_back(x: Column) -> Column:
 def dft_round_trip(spark, sf_dir):
     back = _there_and_back(F.col("x"))
     near = F.forall(F.zip_with(back, "x", lambda z, v: F.abs(z.re - v) + F.abs(z.im) < 1e-6 * (1 + F.abs(v))), lambda b: b)
-    return whole_signals(spark, sf_dir).select("id", near.cast("int").alias("ok"))
+    return event_signals(spark, sf_dir).select("id", near.cast("int").alias("ok"))
 
 
-@query("dft_round_trip_values", f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM ({WHOLE_EVENTS})")
+@query("dft_round_trip_values", f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS re, 0.0::DOUBLE AS im FROM ({EVENTS})")
 def dft_round_trip_values(spark, sf_dir):
-    each = whole_signals(spark, sf_dir).select("id", F.posexplode(_there_and_back(F.col("x"))).alias("t", "z"))
+    each = event_signals(spark, sf_dir).select("id", F.posexplode(_there_and_back(F.col("x"))).alias("t", "z"))
     return each.select("id", "t", rounded("z.re").alias("re"), rounded("z.im").alias("im"))
 
 
@@ -208,7 +199,7 @@ def path_table(spark, sf_dir):
     return Scattering1D(720, 6, Q=(4, 1)).paths_df(spark).select("path_idx", "order", "n1", "n2", "label")
 
 
-@query("joint_path_table")
+@query("joint_path_table", oracle.joint_paths_sql(_SPUN.plan))
 def joint_path_table(spark, sf_dir):
     return _SPUN.paths_df(spark)
 
@@ -226,48 +217,58 @@ def _scatter(name: str, make, source, sql_source: str):
 
 _scatter("scatter_embeddings", lambda: Scattering1D(64, 3, Q=1), embeddings, EMBEDDINGS)
 _scatter("scatter_order1", lambda: Scattering1D(64, 2, Q=(2, 1), max_order=1), embeddings, EMBEDDINGS)
-for _suffix, _source, _sql in SPANS:
-    _scatter("scatter_global" + _suffix, lambda: Scattering1D(64, 3, Q=1, T="global"), _source, _sql)
-    _scatter("scatter_unaveraged" + _suffix, lambda: Scattering1D(64, 3, Q=1, T=0), _source, _sql)
-    _scatter("scatter_stride" + _suffix, lambda: Scattering1D(64, 3, Q=1, stride=2), _source, _sql)
-    _scatter("scatter_events" + _suffix, lambda: Scattering1D(64, 3, Q=(4, 1), T=5), _source, _sql)
+_scatter("scatter_global", lambda: Scattering1D(64, 3, Q=1, T="global"), event_signals, EVENTS)
+_scatter("scatter_unaveraged", lambda: Scattering1D(64, 3, Q=1, T=0), event_signals, EVENTS)
+_scatter("scatter_stride", lambda: Scattering1D(64, 3, Q=1, stride=2), event_signals, EVENTS)
+_scatter("scatter_events", lambda: Scattering1D(64, 3, Q=(4, 1), T=5), event_signals, EVENTS)
 
 _COEFS = oracle.time_sql(_PLAN64.time, EMBEDDINGS, digits=14)
 
 
-def _from_events(suffix: str, source, sql_source: str):
-    coefs = oracle.time_sql(_PLAN64.time, sql_source, digits=14)
+_EVENT_COEFS = oracle.time_sql(_PLAN64.time, EVENTS, digits=14)
 
-    @query("scatter_selected" + suffix, f"SELECT id, path_idx, t, round(value, 6) + 0.0 AS value FROM ({coefs}) WHERE path_idx = 2")
-    def scatter_selected(spark, sf_dir):
-        return coefficients(_PLAN64.select_paths(labels=["S1_2"]).transform(source(spark, sf_dir)))
 
-    @query("floors_events" + suffix, f"WITH c AS ({coefs}) SELECT id, round(greatest(quantile_cont(value, 0.25) FILTER (WHERE value > 0), 2.220446049250313e-16), 6) + 0.0 AS eps FROM c GROUP BY id")
-    def floors_events(spark, sf_dir):
-        return features.floors(_PLAN64.transform(source(spark, sf_dir)), ["id"], 0.25).select("id", rounded("eps").alias("eps"))
+@query("scatter_selected", f"SELECT id, path_idx, t, round(value, 6) + 0.0 AS value FROM ({_EVENT_COEFS}) WHERE path_idx = 2")
+def scatter_selected(spark, sf_dir):
+    return coefficients(_PLAN64.select_paths(labels=["S1_2"]).transform(event_signals(spark, sf_dir)))
 
-    @query("event_bins" + suffix, f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS value FROM ({sql_source})")
-    def event_bins(spark, sf_dir):
-        return source(spark, sf_dir).select("id", F.posexplode("x").alias("t", "v")).select("id", "t", rounded("v").alias("value"))
 
+@query("floors_events", f"WITH c AS ({_EVENT_COEFS}) SELECT id, round(greatest(quantile_cont(value, 0.25) FILTER (WHERE value > 0), 2.220446049250313e-16), 6) + 0.0 AS eps FROM c GROUP BY id")
+def floors_events(spark, sf_dir):
+    return features.floors(_PLAN64.transform(event_signals(spark, sf_dir)), ["id"], 0.25).select("id", rounded("eps").alias("eps"))
 
-for _span in SPANS:
-    _from_events(*_span)
+
+@query("event_bins", f"SELECT id, unnest(generate_series(0, {BINS - 1}))::INT AS t, round(unnest(x), 6) + 0.0 AS value FROM ({EVENTS})")
+def event_bins(spark, sf_dir):
+    return event_signals(spark, sf_dir).select("id", F.posexplode("x").alias("t", "v")).select("id", "t", rounded("v").alias("value"))
 
 
 _META = f"p(path_idx, ord, n1) AS (VALUES {oracle._values([(p['path_idx'], p['order'], p['n1']) for p in _PLAN64.paths])})"
-_RENORM = f"""WITH c AS ({_COEFS}), {_META}, cp AS (SELECT * FROM c JOIN p USING (path_idx)),
-r AS (SELECT a.id, a.path_idx, a.t, CASE WHEN a.ord = 2 THEN a.value / (b.value + 1e-3) ELSE a.value END AS v FROM cp a LEFT JOIN cp b ON a.ord = 2 AND b.ord = 1 AND a.id = b.id AND a.n1 = b.n1 AND a.t = b.t)"""
+
+
+def _renorm_sql(coefs: str) -> str:
+    return f"""WITH c AS MATERIALIZED ({coefs}), {_META}, cp AS (SELECT * FROM c JOIN p USING (path_idx)),
+r AS MATERIALIZED (SELECT a.id, a.path_idx, a.t, CASE WHEN a.ord = 2 THEN a.value / (b.value + 1e-3) ELSE a.value END AS v FROM cp a LEFT JOIN cp b ON a.ord = 2 AND b.ord = 1 AND a.id = b.id AND a.n1 = b.n1 AND a.t = b.t)"""
+
+
+_RENORM, _RENORM_EVENTS = _renorm_sql(_COEFS), _renorm_sql(_EVENT_COEFS)
 
 
 @query("renorm_embeddings", _RENORM + " SELECT id, path_idx, t, round(v, 6) + 0.0 AS value FROM r")
 def renorm_embeddings(spark, sf_dir):
-    return coefficients(_PLAN64.renorm(_PLAN64.transform(embeddings(spark, sf_dir)), ["id"], 1e-3))
+    return coefficients(_PLAN64.transform(embeddings(spark, sf_dir), renorm_eps=1e-3))
+
+
+@query("renorm_events", _RENORM_EVENTS + " SELECT id, path_idx, t, round(v, 6) + 0.0 AS value FROM r")
+def renorm_events(spark, sf_dir):
+    """Of coefficients in a table: second-order rows meet their parents by a join."""
+    return coefficients(_PLAN64.renorm(_PLAN64.transform(event_signals(spark, sf_dir)), ["id"], 1e-3))
 
 
-_FEATURES = _RENORM + """, e AS (SELECT id, CASE WHEN max(v) > 0 THEN greatest(quantile_cont(v, 0.01) FILTER (WHERE v > 0), 2.220446049250313e-16) ELSE 1e-6 END AS eps FROM r GROUP BY id),
+_LOGS = """, e AS (SELECT id, CASE WHEN max(v) > 0 THEN greatest(quantile_cont(v, 0.01) FILTER (WHERE v > 0), 2.220446049250313e-16) ELSE 1e-6 END AS eps FROM r GROUP BY id),
 k AS (SELECT id, path_idx, sign(v) * ln(1 + abs(v) / eps) AS v FROM r JOIN e USING (id))
 SELECT id, path_idx, round(avg(v), 5) + 0.0 AS mean, round(stddev_samp(v), 5) + 0.0 AS sd, round(median(v), 5) + 0.0 AS median, round(max(v), 5) + 0.0 AS max FROM k GROUP BY id, path_idx"""
+_FEATURES = _RENORM + _LOGS
 
 
 @query("features_embeddings", _FEATURES)
@@ -276,20 +277,24 @@ def features_embeddings(spark, sf_dir):
     return out.select("id", "path_idx", *[rounded(k, 5).alias(k) for k in KINDS])
 
 
+@query("features_events", _RENORM_EVENTS + _LOGS)
+def features_events(spark, sf_dir):
+    """The same steps on coefficients in a table, a signal's paths gathered in one row."""
+    coefs = _PLAN64.transform(event_signals(spark, sf_dir))
+    out = features.pipeline(coefs, _PLAN64.paths_df(spark), ["id"], renorm_eps=1e-3)
+    return out.select("id", "path_idx", *[rounded(k, 5).alias(k) for k in KINDS])
+
+
 # Joint scattering
 
 
 def _joint(name: str, make, renorm_eps: float | None = None):
     op = quiet(make)
 
-    def add(suffix: str, source, sql_source: str):
-        @query(name + suffix, oracle.joint_sql(op.plan, sql_source, renorm_eps=renorm_eps))
-        def run(spark, sf_dir):
-            out = bands(quiet(make).transform(source(spark, sf_dir), renorm_eps=renorm_eps), ["id"])
-            return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
-
-    for span in SPANS:
-        add(*span)
+    @query(name, oracle.joint_sql(op.plan, EVENTS, renorm_eps=renorm_eps))
+    def run(spark, sf_dir):
+        out = bands(quiet(make).transform(event_signals(spark, sf_dir), renorm_eps=renorm_eps), ["id"])
+        return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
 
 
 _joint("joint_events", lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4, format="joint"))
@@ -299,23 +304,22 @@ _joint("joint_renorm", lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4, format="joint"
 _joint("joint_renorm_global", lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4, F="global", format="joint"), 1e-3)
 
 
-@query("joint_time_format")
-def joint_time_format(spark, sf_dir):
-    return coefficients(quiet(lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4)).transform(whole_signals(spark, sf_dir)))
+_joint("joint_renorm_unaveraged", lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4, F=0, format="joint", out_type="list"), 1e-3)
+_TIMED = quiet(lambda: ScatteringJTFS(64, 3, J_fr=2, Q=4))
 
 
-_S1 = quiet(lambda: Scattering1D(64, 3, Q=4))
+@query("joint_time_format", oracle.time_format_sql(_TIMED.plan, EVENTS))
+def joint_time_format(spark, sf_dir):
+    return coefficients(_TIMED.transform(event_signals(spark, sf_dir)))
 
 
-def _joint_s1(suffix: str, source, sql_source: str):
-    @query("joint_s1" + suffix, f"SELECT id, path_idx AS band, t, value FROM ({oracle.time_sql(_S1.time, sql_source)}) WHERE path_idx BETWEEN 1 AND {len(_S1.time.psi1)}")
-    def joint_s1(spark, sf_dir):
-        s1 = _SPUN.s1(source(spark, sf_dir))
-        return s1.select("id", "band", F.posexplode("coef").alias("t", "v")).select("id", "band", "t", rounded("v").alias("value"))
+_S1 = quiet(lambda: Scattering1D(64, 3, Q=4))
 
 
-for _span in SPANS:
-    _joint_s1(*_span)
+@query("joint_s1", f"SELECT id, path_idx AS band, t, value FROM ({oracle.time_sql(_S1.time, EVENTS)}) WHERE path_idx BETWEEN 1 AND {len(_S1.time.psi1)}")
+def joint_s1(spark, sf_dir):
+    s1 = _SPUN.s1(event_signals(spark, sf_dir))
+    return s1.select("id", "band", F.posexplode("coef").alias("t", "v")).select("id", "band", "t", rounded("v").alias("value"))
 
 
 # Signals and column features

@@ -36,24 +36,16 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["joint_path_table", "joint_time_format"])
-def test_query_without_sql_has_rows(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() > 0
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 4000 and set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_whole_spans_count_every_event(spark, duck):
+def test_bins_count_every_event(spark, duck):
     total = duck.sql("SELECT sum(value) FROM events").limit(1).fetchall()[0][0]
-    got = queries.QUERIES["event_bins_whole"](spark, SF).toPandas()
+    got = queries.QUERIES["event_bins"](spark, SF).toPandas()
     assert math.isclose(got.value.sum(), total, rel_tol=1e-9) and set(got.t) == set(range(queries.BINS))
-    last = duck.sql(f"SELECT sum(value) FROM events WHERE ts >= TIMESTAMP '{queries.START}' + INTERVAL {queries.BINS * queries.SECONDS} SECOND").limit(1).fetchall()[0][0]
-    assert last > 0 and got.value.sum() > queries.QUERIES["event_bins"](spark, SF).toPandas().value.sum()
-    assert {n + "_whole" for n, sql in queries.SQL.items() if queries.EVENTS in sql} <= set(queries.SQL)
 
 
 def test_round_trip_checks_every_sample(spark, monkeypatch):
