@@ -369,3 +369,15 @@ def array_summaries(spark, sf_dir):
 @query("self_check")
 def self_check(spark, sf_dir):
     return reports.golden_report(spark)
+
+
+def _recorded_sql() -> str:
+    rows = [(n, q, int(v[0]), *[round(x, 6) + 0.0 for x in v[1:]]) for (n, q), v in sorted(reports.recorded().items())]
+    listed = ", ".join(f"('{n}', '{q}', {c}::BIGINT, {a!r}::DOUBLE, {b!r}::DOUBLE, {d!r}::DOUBLE)" for n, q, c, a, b, d in rows)
+    return f"SELECT * FROM (VALUES {listed}) r(name, quantity, n, total, norm, most)"
+
+
+@query("self_check_recorded", _recorded_sql())
+def self_check_recorded(spark, sf_dir):
+    """Sums of all quantities of all cases against their record."""
+    return reports.measured_report(spark).select("name", "quantity", "n", *[rounded(c).alias(c) for c in ("total", "norm", "most")])

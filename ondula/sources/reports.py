@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ondula.plans.joint_plan import JointPlan
 from ondula.plans.time_plan import TimePlan
@@ -53,27 +55,49 @@ def shape(plan: TimePlan | JointPlan) -> tuple[int, int, int]:
 #: The case whose first order and renormalised coefficients are hashed, as in the reference.
 RENORMED = "jtfs-video-900-J7"
 SUMMARIES = ("Mean", "Sd", "Median", "Max")
-
-
-def golden_report(spark: SparkSession, names: list[str] | None = None, digits: int = 8, partitions: int | None = None) -> DataFrame:
-    """name, quantity, hash: of values rounded to ``digits``, each case in tasks of its own.
+#: Fixed values of this engine's own numerics: case, quantity, number, sum, root of the sum of squares, largest absolute value.
+RECORD = """
+kinematic-1800-J8-Tsec1 Max 234 779.6525993131835 52.34471236915031 5.225942770575031
+kinematic-1800-J8-Tsec1 Mean 234 582.1448642409462 39.07742188466145 3.5525900641225956
+kinematic-1800-J8-Tsec1 Median 234 582.7622196738657 39.105771828197646 3.4832744353851024
+kinematic-1800-J8-Tsec1 Sd 234 98.47041150922584 7.073978047168676 1.691683180040207
+kinematic-1800-J8-Tsec1 coefs 26442 497.5638547552572 5.3944868631826886 0.24771437503466942
+audio-32000-J9-Q8 Max 300 893.6357122197219 52.740208421830864 3.9419810058684863
+audio-32000-J9-Q8 Mean 300 780.9082002139329 46.459037593602936 3.474799121116008
+audio-32000-J9-Q8 Median 300 782.6237789060102 46.584742938231074 3.4817039866800834
+audio-32000-J9-Q8 Sd 300 56.454597679331485 3.811813539916885 0.6934671540670515
+audio-32000-J9-Q8 coefs 18900 285.6093446194908 3.8541598578337877 0.2413615541234377
+global-2048-J6 coefs 126 5780.546520693583 1193.2198843725544 422.3201157575644
+unaveraged-1500-J6 coefs 37928 1514.4552876925964 31.977934834126557 1.7177146447597291
+strided-4096-J7 Max 350 1529.3985979115005 83.83729274656021 5.898556077808156
+strided-4096-J7 Mean 350 1342.104041489229 74.56669439170082 5.342368216154272
+strided-4096-J7 Median 350 1344.938458773534 74.87355110686825 5.457409112814263
+strided-4096-J7 Sd 350 106.34423462033983 6.64775922003964 2.4336707485938964
+strided-4096-J7 coefs 89600 1104.6942879025935 7.85729352705696 0.2685397863586039
+order1-3000-J6-Q12 coefs 2491 133.88158992213425 3.0622675223226716 0.2260372830066801
+jtfs-time-4096-J6 coefs 9728 38.427466949725904 0.9231279304294472 0.14539078695181423
+jtfs-time-4096-J6 shape 304 9880.0 789.1413054706995 64.0
+jtfs-joint-4096-J6 coefs 9728 37.23783337573415 0.9225510716379177 0.09368327470038902
+jtfs-joint-4096-J6 shape 84 2840.0 415.5045126108741 64.0
+jtfs-F0-4096-J6 coefs 48832 220.90743509748162 1.5681014550106576 0.11984538707490618
+jtfs-F0-4096-J6 shape 1526 49595.0 1768.052883824463 64.0
+jtfs-speech-16000-J10 coefs 6630 16.532708817469302 0.5007340181271739 0.05423976038162708
+jtfs-speech-16000-J10 shape 884 7072.0 316.0569568922665 15.0
+jtfs-video-900-J7 renorm 1477 62.80207452486677 1.785615009952847 0.082979149242977
+jtfs-video-900-J7 s1 322 18.700126398980903 1.1745680736108044 0.22028473494318745
+"""
+
+
+def quantities(spark: SparkSession, names: list[str] | None = None, partitions: int | None = None) -> Iterator[tuple[str, DataFrame, str, dict[str, Column]]]:
+    """(case, table, its order, {quantity: array of its values in a row}).
 
     Coefficients of every case but one; summaries of locally averaged second-order cases; shapes of joint cases; first order
     and renormalised coefficients of ``RENORMED``.  ``partitions`` deals the signals out anew before the transforms.
     """
-    from pyspark.sql import functions as F
-
     from ondula.operators.scattering import Scattering1D, ScatteringJTFS
     from ondula.sources.signals import synthetic_signals
 
-    parts = []
-
-    def add(name: str, df: DataFrame, at: str, **quantities) -> None:
-        hashed = lambda v: F.xxhash64(F.sort_array(F.collect_list(F.struct(at, v.alias("v")))))
-        row = df.agg(F.array(*[F.struct(F.lit(k).alias("quantity"), hashed(v).alias("hash")) for k, v in quantities.items()]).alias("q"))
-        parts.append(row.select(F.lit(name).alias("name"), F.inline("q")))
-
-    rounded = F.transform("coef", lambda v: F.round(v, digits))
+    coef = F.col("coef")
     for name, n, j, kw, fr, seed in CASES:
         if names and name not in names:
             continue
@@ -82,20 +106,57 @@ def golden_report(spark: SparkSession, names: list[str] | None = None, digits: i
         x = x.repartition(partitions) if partitions else x
         if name == RENORMED:
             coefs, s1 = op.transform_with_s1(x)
-            add(name, s1, "band", s1=rounded)
-            add(name, op.renorm(coefs, s1, ["seed"]), "path_idx", renorm=rounded)
+            yield name, s1, "band", {"s1": coef}
+            yield name, op.renorm(coefs, s1, ["seed"]), "path_idx", {"renorm": coef}
         elif fr is not None:
-            add(name, op.transform(x), "path_idx", shape=F.array("rows", "cols"), coefs=rounded)
+            yield name, op.transform(x), "path_idx", {"shape": F.array("rows", "cols").cast("array<double>"), "coefs": coef}
         else:
-            add(name, op.transform(x), "path_idx", coefs=rounded)
+            yield name, op.transform(x), "path_idx", {"coefs": coef}
             if op.time.local and any(p["order"] == 2 for p in op.paths):
-                add(name, op.features(x, ["seed"]), "path_idx", **{k: F.round(k.lower(), digits) for k in SUMMARIES})
+                yield name, op.features(x, ["seed"]), "path_idx", {k: F.array(k.lower()) for k in SUMMARIES}
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def golden_report(spark: SparkSession, names: list[str] | None = None, digits: int = 8, partitions: int | None = None) -> DataFrame:
+    """name, quantity, hash: of values rounded to ``digits``, each case in tasks of its own."""
+    parts = []
+    for name, df, at, each in quantities(spark, names, partitions):
+        hashed = lambda v: F.xxhash64(F.sort_array(F.collect_list(F.struct(at, F.transform(v, lambda x: F.round(x, digits)).alias("v")))))  # noqa: E731, B023
+        row = df.agg(F.array(*[F.struct(F.lit(k).alias("quantity"), hashed(v).alias("hash")) for k, v in each.items()]).alias("q"))
+        parts.append(row.select(F.lit(name).alias("name"), F.inline("q")))
+    return _united(parts)
+
+
+def measured_report(spark: SparkSession, names: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """name, quantity, n, total, norm, most: number, sum, root of the sum of squares and largest absolute value of each quantity."""
+    parts = []
+    for name, df, _, each in quantities(spark, names, partitions):
+        for k, v in each.items():
+            x = df.select(F.explode(v).alias("x"))
+            sums = [F.count("x").alias("n"), F.sum("x").alias("total"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.max(F.abs("x")).alias("most")]
+            parts.append(x.agg(*sums).select(F.lit(name).alias("name"), F.lit(k).alias("quantity"), "n", "total", "norm", "most"))
+    return _united(parts)
+
+
+def recorded() -> dict[tuple[str, str], tuple[float, ...]]:
+    """(case, quantity) -> (n, total, norm, most) as recorded."""
+    rows = [line.split() for line in RECORD.strip().splitlines()]
+    return {(r[0], r[1]): tuple(map(float, r[2:])) for r in rows}
+
+
+def strayed(rows, relative: float = 1e-9) -> list[str]:
+    """Quantities of a measured report that are away from their record by more than ``relative`` of their norm, or that one of both lacks."""
+    want, got = recorded(), {(r["name"], r["quantity"]): (r["n"], r["total"], r["norm"], r["most"]) for r in rows}
+    apart = lambda a, b: a[0] != b[0] or any(abs(x - y) > relative * max(1.0, b[0] ** 0.5 * b[2]) for x, y in zip(a[1:], b[1:]))
+    return sorted(f"{n}\t{q}" for n, q in want.keys() | got.keys() if (n, q) not in want or (n, q) not in got or apart(got[n, q], want[n, q]))
+
+
 def report_text(rows) -> str:
     """One tab-separated line per quantity under the version."""
     return "\n".join([f"numerics\t{NUMERICS_VERSION}"] + [f"{r.name}\t{r.quantity}\t{r.hash}" for r in sorted(rows)])
@@ -108,6 +169,7 @@ def differences(report: str, record: str) -> list[str]:
 
 
 def verify(spark: SparkSession, names: list[str] | None = None) -> list[str]:
-    """Differences between two runs of the self-check, the second with its signals dealt to other partitions; none is a pass."""
+    """What strays from the record, and differences between two runs of which the second deals its signals to other partitions; none is a pass."""
+    wrong = [x for x in strayed(measured_report(spark, names).collect()) if not names or x.split("\t")[0] in names]
     first = report_text(golden_report(spark, names).collect())
-    return differences(first, report_text(golden_report(spark, names, partitions=3).collect()))
+    return wrong + differences(first, report_text(golden_report(spark, names, partitions=3).collect()))

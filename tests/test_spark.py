@@ -214,6 +214,17 @@ def test_features_skip_bad_signals_and_unaveraged_paths(spark):
         Scattering1D(64, 3, Q=1, T=0).features(spark.createDataFrame(rows[:1], "id long, x array<double>"), ["id"]).collect()
 
 
+def test_measures_keep_to_their_record(spark, monkeypatch):
+    small = ["global-2048-J6", "strided-4096-J7", "jtfs-video-900-J7"]
+    rows = [r.asDict() for r in reports.measured_report(spark, small, partitions=2).collect()]
+    kept = {k: v for k, v in reports.recorded().items() if k[0] in small}
+    monkeypatch.setattr(reports, "recorded", lambda: kept)
+    assert len(rows) == 8 and reports.strayed(rows) == []
+    rows[1]["total"] *= 1 + 1e-6
+    assert reports.strayed(rows) == [f"{rows[1]['name']}\t{rows[1]['quantity']}"]
+    assert len(reports.strayed(rows[:-1])) == 2
+
+
 def test_stream_is_batch(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))
