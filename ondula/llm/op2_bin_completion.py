@@ -8,11 +8,12 @@ Branch and bound (``plan``): around the longest piece left, the undominated fill
 room beside it are enumerated, least waste first.  Which sums the lengths can reach is a bit
 set, so a filling of the least waste is found without failing branches; a filling is dominated
 where a length outside it could take the place of some of its pieces.  A filling is repeated
-while its lengths last.  The first descent is the best-fit solution and the incumbent; the
-search then goes back from its last sequences, and drops a branch whose waste, or whose bound
-on the sequences of the rest, cannot beat the incumbent.  It ends at once where the incumbent
-meets the lower bound, which proves it least, and otherwise after ``NODES`` sequences tried;
-then ``plan`` gives the lower bound beside the sequences used, so the gap is known.
+while its lengths last.  The first descent is the best-fit solution and the incumbent.  Where
+it meets the lower bound it is least.  Otherwise the search opens its last ``OPEN`` patterns
+again, goes back from the end, and drops a branch whose waste, or whose bound on the sequences
+of the rest, cannot beat the incumbent, until the bound is met, nothing is left, which proves
+a plan of at most ``OPEN`` patterns least, or ``NODES`` sequences are tried.  ``plan`` gives
+the lower bound beside the sequences, so the gap is known.
 
 Pieces find their places by rank: a task numbers its pieces of each length, sums by task
 and length shift these numbers, and (length, rank) selects the pattern, the sequence and
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from ondula.llm import common, tokens
 
 CAPACITY, END_ID = 4096, 1
-#: Sequences (with their repeats) that the search tries beyond the first solution.
-NODES = 3000
+#: Patterns of the first solution that the search opens again, and sequences (with their repeats) that it tries.
+OPEN, NODES = 48, 3000
 
 
 def cut_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
@@ -164,44 +165,68 @@ def _less(counts: dict[int, int], filling: Filling, times: int) -> dict[int, int
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Filling, int]], int]:
-    """[(a sequence's lengths, number of such sequences)] for all pieces of the histogram, and the lower bound on sequences."""
-    counts = {x: n for x, n in counts.items() if n}
-    total, lower = sum(x * n for x, n in counts.items()), lower_bound(counts, capacity)
-    best: list[tuple[Filling, int]] = []
-    least, tries = sum(counts.values()) + 1, 0
+def _around(longest: int, rest: Filling) -> Filling:
+    return ((longest, 1 + rest[0][1]), *rest[1:]) if rest and rest[0][0] == longest else ((longest, 1), *rest)
+
+
+def descend(counts: dict[int, int], capacity: int) -> list[tuple[Filling, int]]:
+    """The first solution: the best filling around the longest piece, as often as its lengths last, again and again."""
+    left, out = dict(counts), []
+    for longest in sorted(counts, reverse=True):
+        while longest in left:
+            spare = _less(left, ((longest, 1),), 1)
+            f = _around(longest, next(fillings(capacity - longest, spare, capacity))[1])
+            out.append((f, min(left[x] // n for x, n in f)))
+            left = _less(left, *out[-1])
+    return out
+
+
+def search(counts: dict[int, int], capacity: int, best: list[tuple[Filling, int]], lower: int, nodes: int) -> list[tuple[Filling, int]]:
+    """``best`` or a packing of ``counts`` in fewer sequences, by branch and bound. One open generator for each pattern of the path."""
+    total, least, tries = sum(x * n for x, n in counts.items()), sum(times for _, times in best), 0
 
     def children(left: dict[int, int], waste: int) -> Iterator[tuple[dict[int, int], int, Filling, int]]:
         longest = max(left)
         spare = _less(left, ((longest, 1),), 1)
         for more, rest in fillings(capacity - longest, spare, (least - 1) * capacity - total - waste):
-            f = ((longest, 1 + rest[0][1]), *rest[1:]) if rest and rest[0][0] == longest else ((longest, 1), *rest)
+            f = _around(longest, rest)
             for times in range(min(left[x] // n for x, n in f), 0, -1):
                 yield _less(left, f, times), waste + more * times, f, times
 
-    # One open generator for each sequence of the path.
     path: list[tuple[Filling, int]] = []
     stack, used = [children(counts, 0)] if counts else [], 0
-    while stack and least > lower:
+    while stack and least > lower and tries < nodes:
         child = next(stack[-1], None)
         if child is None:
             stack.pop()
             if path:
                 used -= path.pop()[1]
             continue
-        if best and (tries := tries + 1) > nodes:
-            break
+        tries += 1
         left, waste, f, times = child
-        if (best and waste > (least - 1) * capacity - total) or used + times + (lower_bound(left, capacity) if best else 0) >= least:
+        if waste > (least - 1) * capacity - total or used + times + lower_bound(left, capacity) >= least:
             continue
-        path.append((f, times))
-        used += times
         if left:
+            path.append((f, times))
+            used += times
             stack.append(children(left, waste))
         else:
-            best, least = path[:], used
-            used -= path.pop()[1]
-    return best, lower
+            best, least = [*path, (f, times)], used + times
+    return best
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[Filling, int]], int]:
+    """[(a sequence's lengths, number of such sequences)] for all pieces of the histogram, and the lower bound on sequences."""
+    counts = {x: n for x, n in counts.items() if n}
+    lower, first = lower_bound(counts, capacity), descend(counts, capacity)
+    head, tail = first[:-OPEN], first[-OPEN:]
+    if sum(times for _, times in first) > lower:
+        open_: dict[int, int] = {}
+        for f, times in tail:
+            for x, n in f:
+                open_[x] = open_.get(x, 0) + n * times
+        tail = search(open_, capacity, tail, max(lower - sum(times for _, times in head), lower_bound(open_, capacity)), nodes)
+    return head + tail, lower
 
 
 class Places:
