@@ -280,20 +280,22 @@ def check_packing(pieces, expected):
     return len(bins)
 
 
-def test_packing(docs):
+def pieces_by_hand(rows):
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(tokens.default_vocabulary())
-    expected, total = set(), 0
-    for i, t, _ in pairs(docs):
+    model, expected = Tokenizer.from_file(tokens.default_vocabulary()), set()
+    for i, t, _ in rows:
         ids = model.encode(t or "", add_special_tokens=False).ids + [1]
         for k in range(0, len(ids), 4096):
             c = ids[k : k + 4096]
             expected.add((i, k // 4096, k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())))
-    out = o2.pack(common.cut(o2.cut_pieces(clashing(docs)))).collect()
-    rows = [r.asDict() for r in out]
+    return expected
+
+
+def test_packing(docs):
+    rows = [r.asDict() for r in o2.pack(common.cut(o2.cut_pieces(clashing(docs)))).collect()]
     total = sum(r["length"] for r in rows)
-    assert check_packing(rows, expected) <= -(-total // 4096) + 1
+    assert check_packing(rows, pieces_by_hand(pairs(docs))) <= -(-total // 4096) + 1
 
 
 def exact_bins(items, cap):
@@ -831,19 +833,52 @@ def test_query_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
-def test_pipeline(spark):
+def test_pipeline_by_hand(spark):
+    """Each stage on what its predecessor kept, against brute force."""
     import corpus_pipeline as cp
 
     docs = common.read(spark, SF, "documents")
-    names = docs.columns
+    names, before = docs.columns, pairs(docs)
+
+    def fails(t, tight=None):
+        """By the rules, or by half the limit of those that the host's verdict tightens."""
+        w, t = words(t), t or ""
+        limit = lambda share, rule: share * len(w) * (0.5 if tight and tight[rule] else 1)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        times = Counter(windows)
+        repeated = {i + k for i, g in enumerate(windows) if times[g] > 1 for k in range(3)}
+        return len(w) < 50 or len(repeated) > limit(0.5, "repeated") or sum(t.count(c) for c in "#*$%&|<>") > limit(0.1, "symbols") or t.count("!") > limit(0.3, "marks")
+
     for i, (_, stage) in enumerate(cp.STAGES):
         docs = common.cut(stage(spark, docs, SF))
-        if i < 4:
-            assert docs.columns == names
-        if i < 3:
-            assert docs.select("doc_id").distinct().count() == docs.count()
-    packed = docs.collect()
-    assert packed and all(r.offset + r.length <= o2.CAPACITY for r in packed)
+        if i == 4:
+            rows = [r.asDict() | {"id": r.doc_id} for r in docs.collect()]
+            total = sum(r["length"] for r in rows)
+            assert check_packing(rows, pieces_by_hand(before)) <= -(-total // 4096) + 1
+            pieces = Counter((r["id"], r["piece"]) for r in rows)
+            assert all(pieces[d, 0] == n for d, n in Counter(d for d, *_ in before).items())
+            break
+        assert docs.columns == names
+        after = pairs(docs)
+        if i == 0:
+            tight = {r.host: r.tight for r in o3.hosts(o3.features(common.read(spark, SF, "documents"))).collect()}
+            assert sorted(after) == sorted(r for r in before if not fails(r[1], tight["" if r[2] is None else "=" + r[2]]))
+        elif i == 1:
+            gone = brute_runs([(d, t, 0) for d, t, _ in before])
+            left = [(d, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone.get((d, t), ())), s) for d, t, s in before]
+            assert sorted(after) == sorted(r for r in left if words(r[1])) and gone
+        elif i == 2:
+            roots = {c for _, _, c in jaccard_brute(before, 80, 5)}
+            assert sorted(after) == sorted(r for r in before if r[0] in roots) and len(after) < len(before)
+        else:
+            copies, size = Counter(d for d, *_ in after), {d: len(words(t)) for d, t, _ in before}
+            assert max(copies.values()) <= 2 and {r[:2] for r in after} <= {r[:2] for r in before}
+            sources = sorted({s for *_, s in before}, key=lambda s: (s is None, s or ""))
+            totals = [sum(size[d] for d, _, s in before if s == x) for x in sources]
+            for x, target in zip(sources, targets_by_hand(totals)):
+                mine = [d for d, _, s in before if s == x]
+                assert abs(sum(copies[d] * size[d] for d in mine) - target) <= max(size[d] for d in mine)
+        before = after
     assert isinstance(docs.schema["sequence_id"].dataType, T.LongType)
 
 
