@@ -20,7 +20,7 @@ STAGES = [
     ("best-fit packing", op2_bin_completion.stage),
 ]
 
-#: SQL cannot express the packing; tests hold the stages against brute force.
+#: SQL cannot express the packing; tests hold each stage against brute force on what the one before kept.
 ORACLE_SQL = None
 
 
