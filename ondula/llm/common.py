@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 #: The six ASCII white-space characters, and as a regular expression's run.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
-#: Broadcast nothing larger than this many bytes of values; beyond it the callers shuffle.
-BROADCAST_BYTES = 32 << 20
+#: Broadcast nothing larger than this many bytes; beyond it the callers shuffle. Bytes that a row of a hashed relation takes besides its values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,8 +93,8 @@ def _bytes(value: Column, kind: T.DataType) -> Column:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether the values of df, a written table, take at most ``limit`` bytes."""
-    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0)).cast("long")
+    """Whether the rows of df, a written table, take at most ``limit`` bytes when broadcast."""
+    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(ROW_BYTES)).cast("long")
     return (df.agg(F.sum(each)).first()[0] or 0) <= limit
 
 

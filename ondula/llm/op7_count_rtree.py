@@ -10,7 +10,7 @@ for two nodes of the tree at most that of their largest coordinates.
   sets of sizes up to e that reach Jaccard t differ in at most ``r = 2 e (1 - t) / (1 + t)``
   shingles, so of more than r blocks at least one has equal counts in both: a set descends to
   the nodes named by (size class, block, the block's counts at the finest grain), for its own
-  class and the next.  A set that fills more than r blocks shares a filled one with each
+  class and, if a partner can be that large, the next.  A set that fills more than r blocks shares a filled one with each
   partner, so its empty blocks name no node.  For the same reason it may leave every node of
   more than ``HOT`` sets if the filled ones it keeps are still more than r: a common passage
   then gathers nobody but the sets that consist of it.
@@ -52,9 +52,9 @@ PERCENT, WORDS = 90, 3
 #: Coordinates of a node's box; sets of a leaf; children of an inner node, as a power of two; sets from which a node is hot.
 BOX, LEAF, FAN, HOT = 64, 256, 4, 64
 #: Shingles that are verified together.
-MOST = 1 << 18
+MOST = 1 << 17
 #: Bytes of text hashed at once; a byte takes about a hundred while it is.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
@@ -121,9 +121,9 @@ def size_classes(most: int, percent: int) -> np.ndarray:
     """Largest size of each class: sizes of one class, or of two that follow, may link; others can't."""
     ends, e = [], 0
     while e < most:
-        e = max(e + 1, (e + 1) * 100 // percent)
+        e = (e + 1) * 100 // percent * 100 // percent
         ends.append(e)
-    return np.array([*ends, (e + 1) * 100 // percent], np.int64)
+    return np.array([*ends, (e + 1) * 100 // percent * 100 // percent], np.int64)
 
 
 def cells(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,7 +137,10 @@ def cells(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.nda
     for shift in (0, 1):
         tag = own + shift
         differ = 2 * ends[tag] * (100 - percent) // (100 + percent)
-        blocks = np.where((differ > 0) & (sizes > 0), differ + differ // 5 + 1, 0)  # nothing may differ: only identical sets link
+        used = (differ > 0) & (sizes > 0)  # nothing may differ: only identical sets link
+        if shift:
+            used &= sizes * 100 // percent > ends[own]  # no partner is of the next class
+        blocks = np.where(used, differ + differ // 5 + 1, 0)
         first = np.cumsum(blocks) - blocks
         wide = np.repeat(blocks, sizes).astype(np.uint64)
         used = wide > 0

@@ -15,6 +15,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 #: Words held per worker, those that stay when it is full (the first met are the common ones), and the
 #: longest one held; others are encoded again.
@@ -122,10 +123,11 @@ def tokenizer(path: str) -> WordTokenizer:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts) of runs of rows of about ``most`` bytes; a null text is empty."""
-    texts = batch.column(column).cast(pa.binary()).to_pylist()
+    texts = batch.column(column).cast(pa.binary())
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most or i == len(texts) - 1:
-            yield at, [x or b"" for x in texts[at : i + 1]]
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most or i == len(sizes) - 1:
+            yield at, [x or b"" for x in texts.slice(at, i + 1 - at).to_pylist()]
             at, size = i + 1, 0
