@@ -2,7 +2,7 @@
 
 A document is the set of its word shingles, as 64-bit hashes.  Shingles are hashed into
 groups and a set's group counts are its point, at three grains of the same hash: every hash
-a group of its own, about four shingles to a group (64 to 512 groups), and about one (up to
+a group of its own, about one shingle to a group but at most 512 groups, and about one (up to
 32,768).  The overlap of two sets is at most the sum of the smaller of their coordinates, and
 for two nodes of the tree at most that of their largest coordinates.
 
@@ -172,7 +172,7 @@ def point(s: np.ndarray, bits: int) -> np.ndarray:
 def grains(n: int) -> tuple[int, int]:
     """Bits of the middle and the fine grain of a set of n."""
     fine = min(max(int(n - 1).bit_length(), 6), 15)
-    return min(max(fine - 2, 6), 9), fine
+    return min(fine, 9), fine
 
 
 def overlap(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
