@@ -100,34 +100,43 @@ def summarised(paths: list[tuple[int, Array]], p: float, least: float, none: flo
         yield i, np.stack([v.mean(axis=1), sd, np.median(v, axis=1), v.max(axis=1)], axis=1)
 
 
-def scatter_joint(plan: JointPlan, x: Array) -> tuple[Array, Array, dict[int, Array]]:
-    """(order 0, S1, coefficients by branch) of a batch; coefficients are [signal, band row, time]."""
+def scatter_joint(plan: JointPlan, x: Array, branches: set[int] | None = None, zero: bool = True, s1: bool = True) -> tuple[Array | None, Array | None, dict[int, Array]]:
+    """(order 0, S1, coefficients by branch) of a batch; coefficients are [signal, band row, time].
+
+    ``branches``: the places of the wanted ones, all for None.  What only others need is never filtered: read backwards, a
+    branch needs the second-order input under it, an input the first-order bands it covers, and S1 all of them.
+    Order 0 and S1 are None where they are not asked for.
+    """
     op, stride, local = plan.time, plan.time.log2_stride, plan.time.local
+    wanted = [(i, b) for i, b in enumerate(plan.branches) if branches is None or i in branches]
+    along_s1 = any(b.n2 is None for _, b in wanted)
+    bands = range(1, len(op.psi1) + 1) if s1 or along_s1 else sorted({n for _, b in wanted for n in b.bands})
+
     u0 = padded(op, x)
-    spectrum = np.fft.fft(u0, axis=1)
-    if local:
-        zero = _crop(op, filtered(spectrum, op.phi.h, 1 << stride).real, stride)
-    else:
-        zero = u0.sum(axis=1, keepdims=True) if op.average == "global" else _crop(op, u0, 0)
-    k1s = [min(f.j, stride) if local else f.j for f in op.psi1]
-    hats = [np.fft.fft(modulus(filtered(spectrum, f.h, 1 << k)), axis=1) for f, k in zip(op.psi1, k1s)]
-    s1 = np.stack([filtered(h, op.phi.level(k), 1 << (stride - k)).real for h, k in zip(hats, k1s)], axis=1)
+    spectrum = np.fft.fft(u0, axis=1) if bands or zero and local else None
+    order0 = None
+    if zero and local:
+        order0 = _crop(op, filtered(spectrum, op.phi.h, 1 << stride).real, stride)
+    elif zero:
+        order0 = u0.sum(axis=1, keepdims=True) if op.average == "global" else _crop(op, u0, 0)
+    k1 = {n: min(op.psi1[n - 1].j, stride) if local else op.psi1[n - 1].j for n in bands}
+    hats = {n: np.fft.fft(modulus(filtered(spectrum, op.psi1[n - 1].h, 1 << k)), axis=1) for n, k in k1.items()}
+    first = np.stack([filtered(hats[n], op.phi.level(k), 1 << (stride - k)).real for n, k in k1.items()], axis=1) if s1 or along_s1 else None
 
     out: dict[int, Array] = {}
     inputs: dict[int | None, Array] = {}
-    for i, b in enumerate(plan.branches):
+    for i, b in wanted:
         if b.n2 not in inputs:  # branches of one input follow each other; only its spectrum is held
             if b.n2 is None:
-                rows = s1
+                rows = first
             else:
                 g = op.psi2[b.n2 - 1]
-                picked = [(hats[n - 1], k1s[n - 1]) for n in b.bands]
-                rows = np.stack([filtered(h, g.level(k), 1 << (min(g.j - k, stride) if local else g.j - k)) for h, k in picked], axis=1)
+                rows = np.stack([filtered(hats[n], g.level(k1[n]), 1 << (min(g.j - k1[n], stride) if local else g.j - k1[n])) for n in b.bands], axis=1)
             inputs = {b.n2: _along_bands(plan, rows)}
         out[i] = _branch(plan, b, inputs[b.n2])
-    if local:
-        s1 = _crop(op, s1, stride)
-    return zero, s1, out
+    if not s1:
+        return order0, None, out
+    return order0, _crop(op, first, stride) if local else first, out
 
 
 def _along_bands(plan: JointPlan, rows: Array) -> Array:
@@ -158,11 +167,13 @@ def _branch(plan: JointPlan, b: Branch, spectrum: Array) -> Array:
     return _crop(op, c, level)
 
 
-def joint_paths(plan: JointPlan, zero: Array, branches: dict[int, Array]) -> Iterator[tuple[int, Array]]:
-    """(path, [signal, band row, time]) in output order."""
-    yield 0, zero[:, None, :]
+def joint_paths(plan: JointPlan, zero: Array | None, branches: dict[int, Array], wanted: set[int] | None = None) -> Iterator[tuple[int, Array]]:
+    """(path, [signal, band row, time]) in output order; ``wanted``: the paths to give, all for None."""
+    if wanted is None or 0 in wanted:
+        yield 0, zero[:, None, :]
     for i, (k, row) in enumerate(plan.layout, 1):
-        yield i, branches[k] if row is None else branches[k][:, row : row + 1]
+        if wanted is None or i in wanted:
+            yield i, branches[k] if row is None else branches[k][:, row : row + 1]
 
 
 def denominator(plan: JointPlan, b: Branch, s1: Array) -> Array:
@@ -180,7 +191,7 @@ def renormed(plan: JointPlan, s1: Array, branches: dict[int, Array], eps: float)
     """Second-order branches over S1 plus eps. A numerator with a row more than its denominator loses that row."""
     out = dict(branches)
     for i, b in enumerate(plan.branches):
-        if b.n2:
+        if b.n2 and i in branches:
             d = denominator(plan, b, s1)
             rows = min(d.shape[1], branches[i].shape[1])
             out[i] = branches[i][:, :rows] / (d[:, :rows] + eps)

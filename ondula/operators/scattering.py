@@ -17,12 +17,14 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ondula.functions import features
 from ondula.operators import kernels
 from ondula.plans.filters import Filter
 from ondula.plans.joint_plan import JointPlan
 from ondula.plans.time_plan import TimePlan
+from ondula.sources import tables
 
 #: Values of the padded spectra that a matrix of signals may hold, so memory does not depend on Arrow's batch size.
 MOST_VALUES = 1 << 21
@@ -70,6 +72,8 @@ class _Operator:
     plan: TimePlan | JointPlan
     time: TimePlan
     on_error: str
+    #: Paths to give, all for None.
+    wanted: set[int] | None = None
 
     @property
     def paths(self) -> list[dict]:
@@ -86,6 +90,28 @@ class _Operator:
         schema = T.StructType([T.StructField(c, kind(c)) for c in names])
         return spark.createDataFrame([tuple(p[c] for c in names) for p in self.paths], schema)
 
+    def select_paths(self, labels: list[str] | None = None, order: int | None = None, indices: list[int] | None = None):
+        """The same operator for some paths only; filters that none of them needs are not applied."""
+        for i in indices or ():
+            self.path(i)
+        chosen = {p["path_idx"] for p in self.paths if (labels is None or p["label"] in labels) and (order is None or p["order"] == order) and (indices is None or p["path_idx"] in indices)}
+        if labels and (unknown := set(labels) - {p["label"] for p in self.paths}):
+            raise ValueError(f"No such path: {', '.join(sorted(unknown))}.")
+        other = object.__new__(type(self))
+        other.__dict__ = self.__dict__ | {"wanted": chosen if self.wanted is None else chosen & self.wanted}
+        return other
+
+    def path(self, index: int | str) -> dict:
+        """The metadata of a path by its place in the output, or by its label."""
+        if isinstance(index, str):
+            found = [p for p in self.paths if p["label"] == index]
+            if not found:
+                raise KeyError(f"No such path: {index}.")
+            return found[0]
+        if not 0 <= index < len(self.paths):
+            raise IndexError(f"There are {len(self.paths)} paths, from 0; {index} is none of them.")
+        return self.paths[index]
+
     def _banks(self) -> list[tuple[str, list[Filter]]]:
         return [("phi", [self.time.phi]), ("psi1", list(self.time.psi1)), ("psi2", list(self.time.psi2))]
 
@@ -119,29 +145,9 @@ class Scattering1D(_Operator):
 
     def __init__(self, n, J, Q=8, T=None, T_sec=None, max_order=2, stride=None, sr=None, on_error="raise"):
         self.plan = self.time = TimePlan(n, J, Q, T, T_sec, max_order, stride, sr)
-        self.on_error, self.wanted = on_error, None
+        self.on_error = on_error
         self.time.warn()
 
-    def select_paths(self, labels: list[str] | None = None, order: int | None = None) -> Scattering1D:
-        """The same operator for some paths only."""
-        chosen = {p["path_idx"] for p in self.paths if (labels is None or p["label"] in labels) and (order is None or p["order"] == order)}
-        if labels and (unknown := set(labels) - {p["label"] for p in self.paths}):
-            raise ValueError(f"No such path: {', '.join(sorted(unknown))}.")
-        other = object.__new__(Scattering1D)
-        other.__dict__ = self.__dict__ | {"wanted": chosen if self.wanted is None else chosen & self.wanted}
-        return other
-
-    def path(self, index: int | str) -> dict:
-        """The metadata of a path by its place in the output, or by its label."""
-        if isinstance(index, str):
-            found = [p for p in self.paths if p["label"] == index]
-            if not found:
-                raise KeyError(f"No such path: {index}.")
-            return found[0]
-        if not 0 <= index < len(self.paths):
-            raise IndexError(f"There are {len(self.paths)} paths, from 0; {index} is none of them.")
-        return self.paths[index]
-
     def transform(self, df: DataFrame, signal_col: str = "x", renorm_eps: float | None = None) -> DataFrame:
         """Keys, path_idx, coef (array of double), a row per signal and path; with ``renorm_eps`` renormalised in the same stage."""
         plan, wanted = self.plan, self.wanted
@@ -178,6 +184,21 @@ class Scattering1D(_Operator):
         return each.select(*keys, "path_idx", *[F.get("coef", i).alias(k) for i, k in enumerate(("mean", "sd", "median", "max"))])
 
 
+    def feature_arrays(self, df: DataFrame, signal_col: str = "x", name: str = "features", renorm_eps: float = 1e-12, quantile: float = 0.01) -> DataFrame:
+        """The rows with an array of mean, sd, median and max of every path, in path order; no row leaves its task."""
+        features.check_eps(renorm_eps)
+        plan, wanted = self.plan, self.wanted
+
+        def emit(x):
+            held = list(kernels.over_parents(plan, kernels.scatter_time(plan, x, wanted), renorm_eps))
+            summaries = sorted(kernels.summarised(held, quantile, features.LEAST_EPS, features.NO_POSITIVE_EPS), key=lambda p: p[0])
+            yield [], np.concatenate([y for _, y in summaries], axis=1)
+
+        width = 16 * plan.n_padded + sum(plan.n_padded >> (plan.log2_stride if plan.local else max(p["j2"] or p["j1"] or 0, 0)) for p in plan.paths)
+        held = df.drop(name).withColumn("_signal", F.col(f"`{signal_col}`"))
+        return self._map(held, "_signal", emit, [], width).withColumnRenamed("coef", name)
+
+
 class ScatteringJTFS(_Operator):
     """Joint time-frequency scattering. With global or no time average S1 stays padded and untrimmed."""
 
@@ -193,30 +214,57 @@ class ScatteringJTFS(_Operator):
     def _width(self) -> int:
         return 4 * self.time.n_padded * (len(self.time.psi1) + self.plan.n_padded_fr // 4)
 
+    def _needed(self) -> tuple[set[int] | None, bool]:
+        """The branches that the wanted paths lie in, None for all, and whether order 0 is wanted."""
+        if self.wanted is None:
+            return None, True
+        return {self.plan.layout[i - 1][0] for i in self.wanted if i}, 0 in self.wanted
+
     def transform(self, df: DataFrame, signal_col: str = "x", renorm_eps: float | None = None) -> DataFrame:
         """Keys, path_idx, rows, cols, coef (row-major); with ``renorm_eps`` renormalised in the same stage."""
-        plan = self.plan
+        plan, wanted, (branches, zero) = self.plan, self.wanted, self._needed()
         if renorm_eps is not None:
             self._can_renorm(renorm_eps)
 
         def emit(x):
-            zero, s1, branches = kernels.scatter_joint(plan, x)
+            order0, s1, found = kernels.scatter_joint(plan, x, branches, zero, renorm_eps is not None)
             if renorm_eps is not None:
-                branches = kernels.renormed(plan, s1, branches, renorm_eps)
-            for i, y in kernels.joint_paths(plan, zero, branches):
+                found = kernels.renormed(plan, s1, found, renorm_eps)
+            for i, y in kernels.joint_paths(plan, order0, found, wanted):
                 yield [i, y.shape[1], y.shape[2]], y
 
         return self._map(df, signal_col, emit, ["path_idx", "rows", "cols"], self._width())
 
+    def transform_tagged(self, df: DataFrame, signal_col: str = "x", renorm_eps: float | None = None) -> DataFrame:
+        """Keys, part, path_idx, rows, cols, coef from one pass: rows of part 0 are paths, of part 1 bands of S1 (path_idx: the band, from one)."""
+        plan, wanted, (branches, zero) = self.plan, self.wanted, self._needed()
+        if renorm_eps is not None:
+            self._can_renorm(renorm_eps)
+
+        def emit(x):
+            order0, s1, found = kernels.scatter_joint(plan, x, branches, zero)
+            if renorm_eps is not None:
+                found = kernels.renormed(plan, s1, found, renorm_eps)
+            for i, y in kernels.joint_paths(plan, order0, found, wanted):
+                yield [0, i, y.shape[1], y.shape[2]], y
+            for band in range(s1.shape[1]):
+                yield [1, band + 1, 1, s1.shape[2]], s1[:, band]
+
+        return self._map(df, signal_col, emit, ["part", "path_idx", "rows", "cols"], self._width())
+
     def transform_with_s1(self, df: DataFrame, signal_col: str = "x", renorm_eps: float | None = None) -> tuple[DataFrame, DataFrame]:
-        return self.transform(df, signal_col, renorm_eps), self.s1(df, signal_col)
+        """Coefficients and S1: the cascade runs once, into a table in the shared folder of which both are parts."""
+        held = tables.write(self.transform_tagged(df, signal_col, renorm_eps))
+        keys = [c for c in df.columns if c != signal_col]
+        bands_of = held.where("part = 1").select(*keys, F.col("path_idx").alias("band"), "coef")
+        return held.where("part = 0").select(*keys, "path_idx", "rows", "cols", "coef"), bands_of
 
     def s1(self, df: DataFrame, signal_col: str = "x") -> DataFrame:
-        """Keys, band (from one), coef: first-order coefficients, the denominators of renorm."""
+        """Keys, band (from one), coef: first-order coefficients, the denominators of renorm. No joint filter is applied."""
         plan = self.plan
 
         def emit(x):
-            s1 = kernels.scatter_joint(plan, x)[1]
+            s1 = kernels.scatter_joint(plan, x, set(), False)[1]
             for band in range(s1.shape[1]):
                 yield [band + 1], s1[:, band]
 
@@ -228,30 +276,51 @@ class ScatteringJTFS(_Operator):
             raise ValueError("Joint renormalisation needs local time averaging, as its denominators are local; summaries over time can follow it.")
 
     def renorm(self, coefs: DataFrame, s1: DataFrame, keys: list[str], eps: float = 1e-12) -> DataFrame:
-        """Joint coefficients over S1, from tables: S1's bands of a signal meet its paths by a join on the keys."""
+        """Joint coefficients over S1, from tables: both sides of a signal meet in one task, by a cogroup on the keys.
+
+        S1 moves once a signal, and its denominators are made once a branch.  Fails the job where a signal of ``coefs``
+        lacks bands of S1; S1 without coefficients gives nothing.  Keys must name a signal: one copy of each path and band.
+        """
         self._can_renorm(eps)
         plan = self.plan
-        kinds = [coefs.schema[k] for k in keys]
-        bands = s1.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("band", "coef"))), lambda b: b.coef).alias("s1"))
-        joined = coefs.join(bands, keys)
-        held = joined.select(F.struct(*keys).alias("keys"), "path_idx", "rows", "cols", "coef", "s1")
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                out = []
-                for i, rows, cols, coef, s in zip(*(batch.column(c).to_pylist() for c in ("path_idx", "rows", "cols", "coef", "s1"))):
-                    y = np.array(coef).reshape(rows, cols)
-                    branch, row = plan.layout[i - 1] if i else (None, None)
-                    if i and plan.branches[branch].n2:
-                        d = kernels.denominator(plan, plan.branches[branch], np.array(s)[None])[0]
-                        d = d[row : row + 1] if row is not None else d
-                        y = y[: len(d)] / (d[: len(y)] + eps)
-                    out.append((y.shape[0], y.shape[1], y.ravel()))
-                r, c, v = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column("keys"), batch.column("path_idx"), pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(v, pa.list_(pa.float64()))], names=["keys", "path_idx", "rows", "cols", "coef"])
-
-        schema = T.StructType().add("keys", T.StructType(kinds)).add("path_idx", T.IntegerType()).add("rows", T.IntegerType()).add("cols", T.IntegerType()).add("coef", T.ArrayType(T.DoubleType()))
-        return held.mapInArrow(run, schema).select(*[F.col(f"keys.`{k}`") for k in keys], "path_idx", "rows", "cols", "coef")
+        order = ["path_idx", "rows", "cols", "coef"]
+        schema = T.StructType([coefs.schema[k] for k in keys]).add("path_idx", T.IntegerType()).add("rows", T.IntegerType()).add("cols", T.IntegerType()).add("coef", T.ArrayType(T.DoubleType()))
+        arrow = to_arrow_schema(schema)
+
+        def signal(paths: pa.Table, bands: pa.Table) -> pa.Table:
+            if not paths.num_rows:
+                return arrow.empty_table()
+            if sorted(bands.column("_band").to_pylist()) != list(range(1, len(plan.time.psi1) + 1)):
+                raise ValueError("Renormalisation needs each first-order band of a signal once.")
+            first = _matrix(bands.sort_by("_band").column("_s1").combine_chunks())
+            denominators: dict[int, np.ndarray] = {}
+            rows, cols, values = [], [], []
+            coef = paths.column("coef").combine_chunks()
+            flat, at = np.asarray(coef.flatten()), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(coef).to_numpy())])
+            for n, (i, r, c) in enumerate(zip(*(paths.column(k).to_pylist() for k in order[:3]))):
+                y = flat[at[n] : at[n + 1]].reshape(r, c)
+                branch, row = plan.layout[i - 1] if i else (None, None)
+                if i and plan.branches[branch].n2:
+                    if branch not in denominators:
+                        denominators[branch] = kernels.denominator(plan, plan.branches[branch], first[None])[0]
+                    d = denominators[branch]
+                    d = d[row : row + 1] if row is not None else d
+                    y = y[: len(d)] / (d[: len(y)] + eps)
+                rows.append(y.shape[0])
+                cols.append(y.shape[1])
+                values.append(y.ravel())
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(v) for v in values])]), pa.int32())
+            made = [paths.column("path_idx"), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))]
+            return pa.table([*[paths.column(k) for k in keys], *made], schema=arrow)
+
+        # Both may be parts of one table: the right side's columns get names, and so identities, of their own.
+        other = s1.select(*[F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("band").alias("_band"), F.col("coef").alias("_s1"))
+        return coefs.select(*keys, *order).groupBy(*keys).cogroup(other.groupBy(*other.columns[: len(keys)])).applyInArrow(signal, schema)
+
+
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
 
 def bands(coefs: DataFrame, keys: list[str]) -> DataFrame:
