@@ -1,14 +1,25 @@
-"""The engine in SQL: scalar functions, and table functions that transform batches of signals."""
+"""The engine in SQL: scalar functions, and table functions that transform batches of signals.
+
+``scattering`` and ``joint_scattering`` take a table of any columns beside the signal ``x`` and carry them through; their
+schema and their errors are known when the statement is analysed.  ``scatter`` and ``scatter_joint`` work on Arrow
+batches of (id bigint, x), the fastest way in, whose arguments are seen by tasks only.
+"""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import arrow_udtf
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udtf, udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ondula.plans.joint_plan import JointPlan
 from ondula.plans.time_plan import TimePlan
 
+#: Values of the padded spectra that waiting signals may have.
+MOST_VALUES = 1 << 21
 #: Options of the table functions, besides n and J; the joint one has more.
 OPTIONS = ("Q", "T", "T_sec", "max_order", "stride", "sr")
 JOINT_OPTIONS = ("J_fr", "Q_fr", "F", "stride_fr", "format", "out_type", "renorm_eps")
@@ -109,9 +120,111 @@ def _paths(table: pa.RecordBatch, rows, i: int, label: str, fixed: dict[str, int
     return pa.table(cols | {"coef": pa.array(list(flat), pa.list_(pa.float64()))})
 
 
+@dataclass
+class Planned(AnalyzeResult):
+    """What analysis found: the schema, and the arguments that a task builds its plan from."""
+
+    arguments: tuple = field(default=())
+
+
+def _analysed(table: AnalyzeArgument, n: AnalyzeArgument, j: AnalyzeArgument, options: AnalyzeArgument | None, joint: bool) -> Planned:
+    """The schema of a call, its keys carried through. Every error in the arguments is raised here, before there is a job."""
+    if not table.isTable:
+        raise ValueError("The first argument has to be a table: TABLE(SELECT ...).")
+    fields = {f.name: f for f in table.dataType.fields}
+    if "x" not in fields:
+        raise ValueError(f"The table has no column x of signals, but {', '.join(fields)}.")
+    if not isinstance(fields["x"].dataType, T.ArrayType) or not isinstance(fields["x"].dataType.elementType, T.NumericType):
+        raise ValueError(f"Column x has to be an array of numbers, not {fields['x'].dataType.simpleString()}.")
+    if any(a is not None and (not a.isConstantExpression or a.value is None) for a in (n, j, options)):
+        raise ValueError("Length, J and options have to be constants.")
+    given = dict(options.value) if options is not None else {}
+    # Building the plan checks the rest.
+    joint_plan_of(n.value, j.value, given) if joint else plan_of(n.value, j.value, given)
+    made = [("path_idx", T.IntegerType()), ("label", T.StringType())]
+    made += [("rows", T.IntegerType()), ("cols", T.IntegerType())] if joint else []
+    made += [("coef", T.ArrayType(T.DoubleType()))]
+    if clash := {c for c, _ in made} & fields.keys():
+        raise ValueError(f"The result has columns of its own named {', '.join(sorted(clash))}; rename the table's.")
+    keys = [f for name, f in fields.items() if name != "x"]
+    return Planned(schema=T.StructType([*keys, *(T.StructField(*c) for c in made)]), arguments=(n.value, j.value, tuple(sorted(given.items()))))
+
+
+class _Buffered:
+    """Rows wait until they fill a matrix, so a plan works on many signals at once."""
+
+    def __init__(self, planned: Planned):
+        self.n, j, options = planned.arguments
+        self._plan(j, dict(options))
+        self.held, self.most = [], max(1, MOST_VALUES // self.width)
+
+    def eval(self, row, n, j, options=None):
+        self.held.append(row)
+        if len(self.held) >= self.most:
+            yield from self._flush()
+
+    def terminate(self):
+        yield from self._flush()
+
+    def _flush(self):
+        held, self.held = self.held, []
+        if held:
+            from ondula.operators.scattering import checked
+
+            x, _ = checked(self.n, pa.array([r.x for r in held], pa.list_(pa.float64())), "raise")
+            at = [i for i, c in enumerate(held[0].__fields__) if c != "x"]
+            keys = [tuple(r[i] for i in at) for r in held]
+            for i, label, fixed, y in self._paths(x):
+                for key, values in zip(keys, y.reshape(len(keys), -1).tolist()):
+                    yield (*key, i, label, *fixed, values)
+
+
+@udtf(useArrow=True)
+class ScatterTable(_Buffered):
+    """``SELECT * FROM scattering(TABLE(SELECT name, day, x FROM signals), 720, 6, map('Q', '4,1'))``: any columns, x the signal."""
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, n: AnalyzeArgument, j: AnalyzeArgument, options: AnalyzeArgument = None) -> Planned:
+        return _analysed(table, n, j, options, False)
+
+    def _plan(self, j, options):
+        self.plan = plan_of(self.n, j, options)
+        self.width = 16 * self.plan.n_padded
+
+    def _paths(self, x):
+        from ondula.operators import kernels
+
+        for i, y in kernels.scatter_time(self.plan, x):
+            yield i, self.plan.paths[i]["label"], (), y
+
+
+@udtf(useArrow=True)
+class JointTable(_Buffered):
+    """``SELECT * FROM joint_scattering(TABLE(SELECT name, x FROM signals), 900, 7, map('Q', '8,1', 'format', 'joint'))``."""
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, n: AnalyzeArgument, j: AnalyzeArgument, options: AnalyzeArgument = None) -> Planned:
+        return _analysed(table, n, j, options, True)
+
+    def _plan(self, j, options):
+        self.plan, self.eps = joint_plan_of(self.n, j, options)
+        self.width = 4 * self.plan.time.n_padded * (len(self.plan.time.psi1) + self.plan.n_padded_fr // 4)
+
+    def _paths(self, x):
+        from ondula.operators import kernels
+
+        zero, s1, branches = kernels.scatter_joint(self.plan, x, s1=self.eps is not None)
+        if self.eps is not None:
+            branches = kernels.renormed(self.plan, s1, branches, self.eps)
+        for i, y in kernels.joint_paths(self.plan, zero, branches):
+            yield i, self.plan.paths[i]["label"], (y.shape[1], y.shape[2]), y
+
+
 def register(spark: SparkSession) -> None:
     """Temporary functions of this session. Inside lambdas of SQL's transform() use the Column builders instead."""
     for head, (kind, body) in SCALARS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
     spark.udtf.register("scatter", Scatter)
     spark.udtf.register("scatter_joint", ScatterJoint)
+    spark.udtf.register("scattering", ScatterTable)
+    spark.udtf.register("joint_scattering", JointTable)
