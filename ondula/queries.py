@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ondula.functions import arrays, features
+from ondula.functions import arrays, exact, features, ranks, running
+from ondula.functions import sql as functions
 from ondula.operators.scattering import Scattering1D, ScatteringJTFS, bands
 from ondula.plans import filters, oracle
 from ondula.sources import reports, signals
@@ -322,6 +323,130 @@ def joint_s1(spark, sf_dir):
     return s1.select("id", "band", F.posexplode("coef").alias("t", "v")).select("id", "band", "t", rounded("v").alias("value"))
 
 
+def _joint_sql(op: ScatteringJTFS, where: str = "", renorm_eps: float | None = None) -> str:
+    return f"SELECT id, path_idx, band, t, value FROM ({oracle.joint_sql(op.plan, EVENTS, renorm_eps=renorm_eps)}){where}"
+
+
+_FEW = [2, 7, 0, len(_SPUN.paths) - 1]
+
+
+@query("joint_selected", _joint_sql(_SPUN, f" WHERE path_idx IN ({', '.join(map(str, _FEW))})"))
+def joint_selected(spark, sf_dir):
+    """A few joint paths; filters that none of them needs are not applied."""
+    out = bands(_SPUN.select_paths(indices=_FEW).transform(event_signals(spark, sf_dir)), ["id"])
+    return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
+
+
+_S1_OF_EVENTS = f"SELECT id, path_idx AS band, t, value FROM ({oracle.time_sql(_S1.time, EVENTS)}) WHERE path_idx BETWEEN 1 AND {len(_S1.time.psi1)}"
+
+
+@query("joint_with_s1", f"SELECT 0 AS part, id, path_idx, band, t, value FROM ({_joint_sql(_SPUN)}) UNION ALL SELECT 1, id, band, 0, t, value FROM ({_S1_OF_EVENTS})")
+def joint_with_s1(spark, sf_dir):
+    """Joint coefficients and S1 of one pass over the signals."""
+    held = _SPUN.transform_tagged(event_signals(spark, sf_dir))
+    each = held.select("part", "id", "path_idx", "cols", F.posexplode("coef").alias("at", "v"))
+    return each.select("part", "id", "path_idx", F.floor(F.col("at") / F.col("cols")).cast("int").alias("band"), (F.col("at") % F.col("cols")).cast("int").alias("t"), rounded("v").alias("value"))
+
+
+@query("joint_renorm_tables", _joint_sql(_SPUN, renorm_eps=1e-3))
+def joint_renorm_tables(spark, sf_dir):
+    """Renormalisation of stored coefficients and S1, a cogroup of both tables."""
+    coefs, s1 = _SPUN.transform_with_s1(event_signals(spark, sf_dir))
+    out = bands(_SPUN.renorm(coefs, s1, ["id"], 1e-3), ["id"])
+    return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
+
+
+# Sums and ranks that no order or group size changes
+
+
+def _exact_sum(source: str, key: str, value: str) -> str:
+    """Sum in whole units of 2^-80, rounded to 53 bits by whole-number arithmetic, ties to even."""
+    return f"""WITH s AS (SELECT {key} AS id, count({value}) AS n, sum(CAST({value}::DOUBLE * power(2, 80) AS HUGEINT))::HUGEINT AS s FROM {source} GROUP BY 1),
+a AS (SELECT id, n, s, abs(s)::HUGEINT AS a FROM s),
+b AS (SELECT *, (SELECT count(*) FROM generate_series(0, 125) g(k) WHERE (a.a >> k) > 0)::INT AS bits FROM a),
+c AS (SELECT *, greatest(bits - 53, 1) AS d FROM b),
+q AS (SELECT *, a >> d AS q, a - ((a >> d) << d) AS r, 1::HUGEINT << (d - 1) AS half FROM c)
+SELECT id, n, CASE WHEN s < 0 THEN -1 ELSE 1 END * (q + CASE WHEN r > half OR (r = half AND q % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE * power(2.0, d - 80) + 0.0 AS total FROM q"""
+
+
+@query("exact_sums_events", _exact_sum("events", "event_type", "value"))
+def exact_sums_events(spark, sf_dir):
+    """Sums rounded once: not a digit is lost, so the values are compared as they are."""
+    events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "id")
+    n = events.groupBy("id").agg(F.count("value").alias("n")).withColumnRenamed("id", "n_id")
+    out = exact.sums(events, ["id"], ["value"]).join(n, F.col("id").eqNullSafe(F.col("n_id")))
+    return out.select("id", "n", F.col("value").alias("total"))
+
+
+@query("exact_sums_embeddings", _exact_sum("(SELECT label, unnest(embedding) AS v FROM embeddings)", "label", "v"))
+def exact_sums_embeddings(spark, sf_dir):
+    each = table(spark, sf_dir, "embeddings").select(F.col("label").alias("id"), F.explode("embedding").alias("v"))
+    n = each.groupBy("id").agg(F.count("v").alias("n")).withColumnRenamed("id", "n_id")
+    out = exact.sums(each, ["id"], ["v"]).join(n, F.col("id").eqNullSafe(F.col("n_id")))
+    return out.select("id", "n", F.col("v").alias("total"))
+
+
+_SHARES = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+
+
+def _quantile_rows(out: DataFrame, *keys: str) -> DataFrame:
+    return out.select(*keys, "n", F.posexplode("quantiles").alias("i", "v")).select(*keys, "n", "i", rounded("v").alias("value"))
+
+
+@query("rank_quantiles", f"SELECT n, unnest(generate_series(0, {len(_SHARES) - 1}))::INT AS i, round(unnest(q), 6) + 0.0 AS value FROM (SELECT count(l_extendedprice) AS n, quantile_cont(l_extendedprice, {_SHARES}) AS q FROM lineitem)")
+def rank_quantiles(spark, sf_dir):
+    """All rows as one group."""
+    return _quantile_rows(ranks.quantiles(table(spark, sf_dir, "lineitem"), [], "l_extendedprice", _SHARES))
+
+
+@query("rank_quantiles_embeddings", f"SELECT id, n, unnest(generate_series(0, {len(_SHARES) - 1}))::INT AS i, round(unnest(q), 6) + 0.0 AS value FROM (SELECT label AS id, count(v) AS n, quantile_cont(v::DOUBLE, {_SHARES}) AS q FROM (SELECT label, unnest(embedding) AS v FROM embeddings) GROUP BY label)")
+def rank_quantiles_embeddings(spark, sf_dir):
+    """All values of all vectors of a label as one group."""
+    each = table(spark, sf_dir, "embeddings").select(F.col("label").alias("id"), F.explode("embedding").alias("v"))
+    return _quantile_rows(ranks.quantiles(each, ["id"], "v", _SHARES), "id")
+
+
+@query("rank_floors", "SELECT label AS id, round(coalesce(greatest(quantile_cont(v::DOUBLE, 0.1) FILTER (WHERE v > 0), 2.220446049250313e-16), 1e-6), 9) + 0.0 AS eps, round(median(v::DOUBLE), 9) + 0.0 AS median FROM (SELECT label, unnest(embedding) AS v FROM embeddings) GROUP BY label")
+def rank_floors(spark, sf_dir):
+    """Floor and median of groups of any size."""
+    each = table(spark, sf_dir, "embeddings").select(F.col("label").alias("id"), F.explode("embedding").alias("v"))
+    middle = ranks.medians(each, ["id"], "v").withColumnRenamed("id", "m_id")
+    out = ranks.floors(each, ["id"], "v", 0.1).join(middle, F.col("id").eqNullSafe(F.col("m_id")))
+    return out.select("id", rounded("eps", 9).alias("eps"), rounded("median", 9).alias("median"))
+
+
+# Running sums and hashes of signals
+
+_LOSS = 0.1
+
+
+@query("temporal_support", f"""WITH a AS (SELECT id, t, sqrt(power(sum(x[k + 1] * cos(2 * pi() * ((k * t) % 64) / 64)), 2) + power(sum(x[k + 1] * sin(2 * pi() * ((k * t) % 64) / 64)), 2)) AS a FROM ({EMBEDDINGS}), generate_series(0, 63) g(k), generate_series(0, 63) h(t) GROUP BY id, t),
+s AS (SELECT id, t, a / sum(a) OVER (PARTITION BY id) AS a FROM a),
+r AS (SELECT id, t, sum(a) OVER (PARTITION BY id ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS tail FROM s WHERE t < 32)
+SELECT id, round(max(tail), 6) + 0.0 AS mass, (min(t) FILTER (WHERE tail <= {_LOSS}) + 1)::INT AS support FROM r GROUP BY id""")
+def temporal_support(spark, sf_dir):
+    """How far in time a vector reaches that is taken as a filter's response: tail mass by a running sum, and the first place where little is left."""
+    out = running.temporal_support(running.amplitudes(embeddings(spark, sf_dir), ["id"], "x"), ["id"], _LOSS)
+    return out.select("id", rounded("mass").alias("mass"), "support")
+
+
+@query("bit_hashes", f"""WITH b AS (SELECT id, i, CASE WHEN s < 0 THEN s + 18446744073709551616 ELSE s END AS u FROM (SELECT id, unnest(generate_series(1, len(x))) AS i, CAST(CAST(unnest(x) AS BIT) AS BIGINT)::HUGEINT AS s FROM ({EMBEDDINGS}))),
+f AS (SELECT id, list((u >> (8 * k)) & 255 ORDER BY i, k) AS bytes FROM b, generate_series(0, 7) g(k) GROUP BY id)
+SELECT id, lower(printf('%016x', list_reduce(bytes, lambda h, v: (xor(h, v) * {running.FNV_PRIME}) % 18446744073709551616, {running.FNV_BASIS}::HUGEINT)::UBIGINT)) AS hash FROM f""")
+def bit_hashes(spark, sf_dir):
+    return embeddings(spark, sf_dir).select("id", running.bit_hash(F.col("x")).alias("hash"))
+
+
+@query("scattering_function", f"SELECT 'v' || id AS name, (id % 7)::INT AS day, label, t, value FROM ({oracle.time_sql(_PLAN64.time, EMBEDDINGS)}) JOIN (VALUES {oracle._values([(p['path_idx'], repr(p['label'])) for p in _PLAN64.paths])}) l(path_idx, label) USING (path_idx)")
+def scattering_function(spark, sf_dir):
+    """The table function, with keys of any names and types."""
+    functions.register(spark)
+    keys = embeddings(spark, sf_dir).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("name"), (F.col("id") % 7).cast("int").alias("day"), "x")
+    keys.createOrReplaceTempView("ondula_signals")
+    out = spark.sql("SELECT name, day, label, posexplode(coef) AS (t, v) FROM scattering(TABLE(SELECT * FROM ondula_signals), 64, 3, map('Q', '1'))")
+    return out.select("name", "day", "label", "t", rounded("v").alias("value"))
+
+
 # Signals and column features
 
 @query("signals_from_rows", "SELECT l_orderkey AS id, unnest(generate_series(0, len(x) - 1))::INT AS t, unnest(x) AS value FROM (SELECT l_orderkey, list(l_extendedprice ORDER BY l_linenumber, l_extendedprice) AS x FROM lineitem GROUP BY l_orderkey)")
