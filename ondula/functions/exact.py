@@ -1,12 +1,12 @@
 """Exact sums of doubles over rows: the same bits for every order and partitioning.
 
-A double is a whole number of units of 2**-1074.  ``parts`` writes it as at most four whole
-amounts of 20-bit limbs of that number, in column expressions alone: dividing by a power of two,
-the remainder and the floor of doubles are exact.  Amounts of a limb are added as whole numbers,
-before the shuffle and after it, so nothing depends on order; a group has at most 105
-limbs.  Only then is the total rounded, once, to the nearest double (ties to even).
+A double is a whole number of units of 2**-1074.  ``parts`` writes it as four whole amounts, of the
+20-bit limb of that number in which it begins and of the three below, in column expressions alone: scaling by
+a power of two, the remainder by 1 and the floor of doubles are exact.  Amounts are added as whole numbers
+by the limb they begin in, before the shuffle and after it, so nothing depends on order; a group has
+at most 105 limbs.  Only then is the total rounded, once, to the nearest double (ties to even).
 
-Amounts of a task's groups merge by addition, so totals of tables that were accumulated apart
+Amounts of a group merge by addition, so totals of tables that were accumulated apart
 (by day, say) are totals of their union.  A limb of a group holds about 4e12 rows; beyond, the job
 fails rather than wrap.
 
@@ -17,60 +17,58 @@ NaN; an infinity gives itself; a total beyond the doubles gives infinity.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LIMB_BITS, LOWEST, LIMBS = 20, -1074, 105
-#: Limbs that stand for values without parts: their amounts count rows.
+#: Limbs that stand for values without parts; their first amount counts rows.
 NAN, PLUS, MINUS = -1, -2, -3
-PARTS = "array<struct<limb:int,amount:bigint>>"
-
-
-def parts(v: Column) -> Column:
-    """The limbs of a double and their signed amounts; null for null."""
-    size = F.abs(v)
-    top = F.greatest(F.lit(0), F.least(F.lit(LIMBS - 1), F.floor((F.log2(size) - LOWEST) / LIMB_BITS))).cast("int")
-    base = float(1 << LIMB_BITS)
-
-    def part(k: int) -> Column:
-        limb = top - k
-        units = size / F.pow(F.lit(2.0), (limb * LIMB_BITS + LOWEST).cast("double"))
-        # log2 may miss the top limb by one at its edge: the first part is then a bit longer, or none.
-        amount = F.floor(units if k == 0 else units % base)
-        return F.struct(limb.alias("limb"), F.when(limb < 0, 0).otherwise(F.when(v < 0, -amount).otherwise(amount)).cast("bigint").alias("amount"))
-
-    special = lambda limb, amount: F.array(F.struct(F.lit(limb).alias("limb"), F.lit(amount).cast("bigint").alias("amount"))).cast(PARTS)
-    found = F.filter(F.array(*[part(k) for k in range(4)]), lambda p: p.amount != 0).cast(PARTS)
-    return F.when(F.isnan(v), special(NAN, 1)).when(size == float("inf"), F.when(v > 0, special(PLUS, 1)).otherwise(special(MINUS, 1))).when(v == 0, special(0, 0)).when(v.isNotNull(), found)
+AMOUNTS = ("_a0", "_a1", "_a2", "_a3")
+
+
+def parts(df: DataFrame, v: str = "_v") -> DataFrame:
+    """The rows with ``_limb`` and four signed amounts in place of the column of doubles; all null for null."""
+    size, value = F.abs(v), F.col(v)
+    usual = (size > 0) & (size < float("inf"))
+    limb = F.greatest(F.lit(0), F.least(F.lit(LIMBS - 1), F.floor((F.log2(size) - LOWEST) / LIMB_BITS))).cast("int")
+    special = F.when(F.isnan(v), NAN).when(value == float("inf"), PLUS).when(value == float("-inf"), MINUS).when(value == 0, 0)
+    held = df.withColumn("_limb", F.when(usual, limb).otherwise(special))
+    # log2 may miss the limb by one at its edge: the first amount is then a bit longer, or none.
+    held = held.withColumn("_x", F.when(usual, size / F.pow(F.lit(2.0), (F.col("_limb") * LIMB_BITS + LOWEST).cast("double"))))
+    x, amounts = F.col("_x"), []
+    for _ in AMOUNTS:
+        amount = F.floor(x)
+        amounts.append(F.when(usual, F.when(value < 0, -amount).otherwise(amount)))
+        x = x % 1.0 * float(1 << LIMB_BITS)
+    amounts[0] = F.when(usual, amounts[0]).when(F.col("_limb") < 0, 1)
+    return held.withColumns({a: F.when(value.isNotNull(), F.coalesce(c, F.lit(0))).cast("bigint") for a, c in zip(AMOUNTS, amounts)}).drop(v, "_x")
 
 
 def accumulate(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """keys, _which (place in ``values``), _limb, _amount: sums by limb, a table that merges with others by ``union``.
+    """keys, _which (place in ``values``), _limb, four amounts: a table that merges with others by ``union``.
 
     A group without values keeps a row of null limb.
     """
     listed = F.array(*[F.struct(F.lit(i).alias("_which"), F.col(f"`{c}`").cast("double").alias("_v")) for i, c in enumerate(values)])
-    each = df.select(*keys, F.inline(listed))
-    held = each.select(*keys, "_which", F.explode_outer(parts(F.col("_v"))).alias("_p"))
-    return held.groupBy(*keys, "_which", F.col("_p.limb").alias("_limb")).agg(F.sum("_p.amount").alias("_amount"))
-
-
-def rounded(amounts: list[dict]) -> float | None:
-    """The double nearest to the amounts' total."""
-    by_limb: dict[int, int] = {}
-    for a in amounts:
-        if a["limb"] is not None:
-            by_limb[a["limb"]] = by_limb.get(a["limb"], 0) + a["amount"]
-    if not by_limb:
+    each = df.select(*keys, F.inline(listed)) if len(values) > 1 else df.select(*keys, F.lit(0).alias("_which"), F.col(f"`{values[0]}`").cast("double").alias("_v"))
+    return parts(each).groupBy(*keys, "_which", "_limb").agg(*[F.sum(a).alias(a) for a in AMOUNTS])
+
+
+def rounded(sums: list[dict]) -> float | None:
+    """The double nearest to the total of a group's amounts."""
+    sums = [s for s in sums if s["_limb"] is not None]
+    if not sums:
         return None
-    if NAN in by_limb or PLUS in by_limb and MINUS in by_limb:
+    there = {s["_limb"] for s in sums}
+    if NAN in there or {PLUS, MINUS} <= there:
         return float("nan")
-    if PLUS in by_limb or MINUS in by_limb:
-        return float("inf" if PLUS in by_limb else "-inf")
-    total = sum(amount << LIMB_BITS * limb for limb, amount in by_limb.items())
+    if there & {PLUS, MINUS}:
+        return float("inf" if PLUS in there else "-inf")
+    # Limbs below the lowest are empty; three more make every shift a whole one.
+    total = sum(s[a] << LIMB_BITS * (s["_limb"] - k + 3) for s in sums for k, a in enumerate(AMOUNTS))
     try:
-        return total / (1 << -LOWEST)  # a quotient of whole numbers is rounded once
+        return total / (1 << 3 * LIMB_BITS - LOWEST)  # a quotient of whole numbers is rounded once
     except OverflowError:
         return float("inf" if total > 0 else "-inf")
 
@@ -82,8 +80,8 @@ def _rounded(amounts: pa.Array) -> pa.Array:
 
 def total(accumulated: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """keys and the exact sum of each value, from accumulated tables."""
-    limb = F.struct(F.col("_limb").alias("limb"), F.col("_amount").alias("amount"))
-    lists = [F.collect_list(F.when(F.col("_which") == i, limb)).alias(f"_{i}") for i in range(len(values))]
+    sums_of = F.struct("_limb", *AMOUNTS)
+    lists = [F.collect_list(F.when(F.col("_which") == i, sums_of)).alias(f"_{i}") for i in range(len(values))]
     held = accumulated.groupBy(*keys).agg(*lists)
     return held.select(*keys, *[_rounded(f"_{i}").alias(c) for i, c in enumerate(values)])
 
