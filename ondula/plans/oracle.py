@@ -18,11 +18,11 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(text(v) for v in r) + ")" for r in rows)
 
 
-def kernels(name: str, n: int, banks: list[tuple[int, int, float | None, Filter]]) -> str:
-    """CTE ``name``(bank, idx, t, h, re, im): time kernels of length n of filters given by bank, index and centre."""
-    rows = [(b, i, xi, f.sigma, min(periods(f.sigma), 5)) for b, i, xi, f in banks]
+def kernels(name: str, n: int, banks: list[tuple[int, int, float | None, Filter]] | str) -> str:
+    """CTE ``name``(bank, idx, t, h, re, im): time kernels of length n of filters given by bank, index and centre, or by a SELECT of such rows."""
+    rows = banks if isinstance(banks, str) else "VALUES " + _values([(b, i, xi, f.sigma, min(periods(f.sigma), 5)) for b, i, xi, f in banks])
     return f"""
-{name}_f(bank, idx, xi, sigma, p) AS (VALUES {_values(rows)}),
+{name}_f(bank, idx, xi, sigma, p) AS ({rows}),
 {name}_bell AS (SELECT bank, idx, xi, t % {n} AS w, sum(exp(-power(((1 - p) * {n} + t) / {n}::DOUBLE, 2) / (2 * sigma * sigma))) / any_value(2 * p - 1) AS low,
   sum(exp(-power(((1 - p) * {n} + t) / {n}::DOUBLE - coalesce(xi, 0), 2) / (2 * sigma * sigma))) / any_value(2 * p - 1) AS band
   FROM {name}_f, generate_series(0, 9 * {n} - 1) s(t) WHERE t < (2 * p - 1) * {n} GROUP BY bank, idx, xi, t % {n}),
@@ -32,6 +32,39 @@ def kernels(name: str, n: int, banks: list[tuple[int, int, float | None, Filter]
 {name} AS (SELECT g.bank, g.idx, g.t, g.re / l AS re, g.im / l AS im FROM {name}_g g JOIN {name}_l USING (bank, idx))"""
 
 
+def schedule(name: str, j: int, q: int) -> str:
+    """CTE ``name``(idx, xi, sigma, j) of a bank's centres, widths and levels from J and Q alone: by constant ratio down to the least width, then by equal steps."""
+    return f"""
+{name}_0 AS (SELECT 0.1::DOUBLE / power(2, {j}) AS least, power(2, 1.0::DOUBLE / {q}) AS step, greatest(1 / (1 + power(2, 3.0::DOUBLE / {q})), 0.35::DOUBLE) AS xi),
+{name}_1 AS (SELECT 1 AS i, xi, xi * (1 - 1 / step) / (1 + 1 / step) / sqrt(2 * ln(sqrt(2.0::DOUBLE))) AS sigma, step, least FROM {name}_0
+  UNION ALL SELECT i + 1, xi / step, sigma / step, step, least FROM {name}_1 WHERE sigma > least * step),
+{name}_2 AS (SELECT * FROM {name}_1 ORDER BY i DESC LIMIT 1),
+{name}_3 AS (SELECT i, xi, sigma FROM {name}_1 UNION ALL SELECT e.i + m, e.xi - m * e.xi / {q}, e.least FROM {name}_2 e, generate_series(1, {q - 1}) g(m)),
+{name} AS (SELECT i AS idx, xi, sigma, CAST(floor(-log2(least(abs(xi) + 5 * sigma, 0.5::DOUBLE))) - 1 AS INT) AS j FROM {name}_3)"""
+
+
+def derived_time_sql(j: int, q: tuple[int, int], t: float, n: int, padded: tuple[int, int], source: str, digits: int = 6) -> str:
+    """``time_sql`` of a local average and its widest stride from the arguments: filters, levels, pairs and path numbers are made in SQL, none is read off a plan.
+
+    padded: samples after padding, and those before the signal.
+    """
+    length, left = padded
+    stride = int(t).bit_length() - 1
+    folds = "least(ceil(sqrt(-2 * sigma * sigma * ln(1e-7::DOUBLE)) + 1), 5)::INT"
+    banks = f"SELECT 0, 0, NULL::DOUBLE, sigma, {folds} FROM (SELECT 0.1::DOUBLE / {t} AS sigma) UNION ALL SELECT 1, idx, xi, sigma, {folds} FROM f1 UNION ALL SELECT 2, idx, xi, sigma, {folds} FROM f2"
+    start, end = -(-left // 2**stride), -(-(left + n) // 2**stride)
+    return f"""WITH RECURSIVE {schedule('f1', j, q[0])},{schedule('f2', j, q[1])},{kernels('g', length, banks)},
+x AS ({source}),
+u0 AS (SELECT id, unnest(generate_series(0, {length} - 1)) AS s, unnest(list_concat(list_reverse(x[2:{left + 1}]), x, list_reverse(x[{n - (length - n - left)}:{n - 1}]))) AS v FROM x),
+k1 AS (SELECT idx AS n1, least(j, {stride}) AS k FROM f1),
+{_u1(length)},
+pr AS (SELECT (SELECT count(*) FROM f1) + row_number() OVER (ORDER BY a.idx, b.idx) AS path, a.idx AS n1, b.idx AS n2, least(a.j, {stride}) AS k1, greatest(least(b.j, {stride}) - least(a.j, {stride}), 0) AS k2, least(b.j, {stride}) AS s2 FROM f1 a JOIN f2 b ON b.j > a.j),
+{_u2(length)},
+z AS (SELECT id, s AS t, v, 0 AS k FROM u0),
+every AS (SELECT id, 0 AS path, t, v FROM ({_low('z', 'id', length, stride)}) UNION ALL SELECT id, n1, t, v FROM ({_low('u1', 'id, n1', length, stride)}) UNION ALL SELECT id, path, t, v FROM ({_low('u2', 'id, path', length, stride)}))
+SELECT id, path::INT AS path_idx, (t - {start})::INT AS t, round(v, {digits}) + 0.0 AS value FROM every WHERE t >= {start} AND t < {end}"""
+
+
 def _time_banks(plan: TimePlan) -> list[tuple[int, int, float | None, Filter]]:
     return [(0, 0, None, plan.phi), *((1, i, f.xi, f) for i, f in enumerate(plan.psi1, 1)), *((2, i, f.xi, f) for i, f in enumerate(plan.psi2, 1))]
 
@@ -46,13 +79,22 @@ u0 AS (SELECT id, unnest(generate_series(0, {plan.n_padded} - 1)) AS s, unnest(l
 def _first(plan: TimePlan, stride: int) -> str:
     local = plan.local
     k1 = [(i, min(f.j, stride) if local else f.j) for i, f in enumerate(plan.psi1, 1)]
-    n = plan.n_padded
-    return f"""
-k1(n1, k) AS (VALUES {_values(k1)}),
-u1 AS (SELECT id, n1, k, t, sqrt(power(sum(v * re), 2) + power(sum(v * im), 2)) AS v FROM (
+    return f"\nk1(n1, k) AS (VALUES {_values(k1)}),\n{_u1(plan.n_padded)}"
+
+
+def _u1(n: int) -> str:
+    """CTE u1(id, n1, k, t, v): moduli of the padded signals through the first-order filters, at resolution 2^k."""
+    return f"""u1 AS (SELECT id, n1, k, t, sqrt(power(sum(v * re), 2) + power(sum(v * im), 2)) AS v FROM (
   SELECT u.id, k1.n1, k1.k, o.t, u.v, g.re, g.im FROM u0 u, k1, generate_series(0, {n} - 1) o(t) JOIN g ON g.bank = 1 AND g.idx = k1.n1 AND g.t = (((o.t << k1.k) - u.s) % {n} + {n}) % {n} WHERE o.t < ({n} >> k1.k)) GROUP BY id, n1, k, t)"""
 
 
+def _u2(n: int) -> str:
+    """CTE u2(id, path, k, t, v): moduli of u1 through the second-order filters of the pairs in pr."""
+    return f"""u2 AS (SELECT id, path, s2 AS k, t, sqrt(power(sum(v * re), 2) + power(sum(v * im), 2)) * power(2, any_value(k1)) AS v FROM (
+  SELECT u.id, pr.path, pr.s2, pr.k1, o.t, u.v, g.re, g.im FROM u1 u JOIN pr USING (n1), generate_series(0, {n} - 1) o(t)
+  JOIN g ON g.bank = 2 AND g.idx = pr.n2 AND g.t = (((((o.t << pr.k2) - u.t) % ({n} >> pr.k1) + ({n} >> pr.k1)) % ({n} >> pr.k1)) << pr.k1) WHERE o.t < ({n} >> (pr.k1 + pr.k2))) GROUP BY id, path, s2, t)"""
+
+
 def _low(source: str, keys: str, n: int, stride: int, k: str = "k") -> str:
     """Samples (keys, k, t, v) at resolution 2^k through the low-pass to resolution 2^stride."""
     m = f"({n} >> {k})"
@@ -70,12 +112,7 @@ def time_sql(plan: TimePlan, source: str, digits: int = 6) -> str:
             s2 = min(p["j2"], stride) if local else p["j2"]
             pairs.append((p["path_idx"], p["n1"], p["n2"], k1, max(s2 - k1, 0), s2))
     parts = [kernels("g", n, _time_banks(plan)), _padded(plan, source), _first(plan, stride)]
-    second = f"""
-pr(path, n1, n2, k1, k2, s2) AS (VALUES {_values(pairs) if pairs else '(0, 0, 0, 0, 0, 0)'}),
-u2 AS (SELECT id, path, s2 AS k, t, sqrt(power(sum(v * re), 2) + power(sum(v * im), 2)) * power(2, any_value(k1)) AS v FROM (
-  SELECT u.id, pr.path, pr.s2, pr.k1, o.t, u.v, g.re, g.im FROM u1 u JOIN pr USING (n1), generate_series(0, {n} - 1) o(t)
-  JOIN g ON g.bank = 2 AND g.idx = pr.n2 AND g.t = (((((o.t << pr.k2) - u.t) % ({n} >> pr.k1) + ({n} >> pr.k1)) % ({n} >> pr.k1)) << pr.k1) WHERE o.t < ({n} >> pr.k1 + pr.k2)) GROUP BY id, path, s2, t)"""
-    second = second.replace(f"({n} >> pr.k1 + pr.k2)", f"({n} >> (pr.k1 + pr.k2))")
+    second = f"\npr(path, n1, n2, k1, k2, s2) AS (VALUES {_values(pairs) if pairs else '(0, 0, 0, 0, 0, 0)'}),\n{_u2(n)}"
     parts.append(second)
     if local:
         s, e = plan.borders[stride]

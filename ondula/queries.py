@@ -223,6 +223,15 @@ _scatter("scatter_unaveraged", lambda: Scattering1D(64, 3, Q=1, T=0), event_sign
 _scatter("scatter_stride", lambda: Scattering1D(64, 3, Q=1, stride=2), event_signals, EVENTS)
 _scatter("scatter_events", lambda: Scattering1D(64, 3, Q=(4, 1), T=5), event_signals, EVENTS)
 
+_WIDE = quiet(lambda: Scattering1D(64, 3, Q=(4, 2), T=8))
+
+
+@query("scatter_derived", oracle.derived_time_sql(3, (4, 2), 8, 64, (_WIDE.time.n_padded, _WIDE.time.pad[0]), EVENTS))
+def scatter_derived(spark, sf_dir):
+    """The SQL makes centres, widths, levels and pairs of filters from J, Q and T itself."""
+    return coefficients(_WIDE.transform(event_signals(spark, sf_dir)))
+
+
 _COEFS = oracle.time_sql(_PLAN64.time, EMBEDDINGS, digits=14)
 
 
@@ -356,6 +365,60 @@ def joint_renorm_tables(spark, sf_dir):
     return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
 
 
+@query("joint_labelled", f"""SELECT c.id, p.label, p."order", c.band, c.t, c.value FROM ({_joint_sql(_SPUN)}) c JOIN ({oracle.joint_paths_sql(_SPUN.plan)}) p USING (path_idx)""")
+def joint_labelled(spark, sf_dir):
+    """Joint coefficients with the labels of their paths."""
+    out = bands(_SPUN.transform(event_signals(spark, sf_dir)), ["id"])
+    paths = F.broadcast(_SPUN.paths_df(spark).select("path_idx", "label", "order"))  # a row for each path
+    return out.join(paths, "path_idx").select("id", "label", "order", "band", "t", rounded("value").alias("value"))
+
+
+# Reports on tables of coefficients
+
+
+@query("coefficient_report", f"SELECT path_idx, count(*) AS n, round(sum(value), 5) + 0.0 AS total, round(sum(value * value), 3) + 0.0 AS squares, round(max(abs(value)), 6) + 0.0 AS most FROM ({_EVENT_COEFS}) GROUP BY path_idx")
+def coefficient_report(spark, sf_dir):
+    """Number, exact sums and largest size of each path's coefficients."""
+    out = reports.table_report(_PLAN64.transform(event_signals(spark, sf_dir)))
+    return out.select("path_idx", "n", rounded("total", 5).alias("total"), rounded("squares", 3).alias("squares"), rounded("most").alias("most"))
+
+
+_COARSE = "SELECT id, list_transform(x, lambda v: round(v, -2)) AS x FROM (" + EVENTS + ")"
+_APART = 50.0
+
+
+@query("coefficient_differences", f"""WITH a AS MATERIALIZED ({_EVENT_COEFS}), b AS MATERIALIZED ({oracle.time_sql(_PLAN64.time, _COARSE, digits=14)})
+SELECT path_idx, 0 AS only_one, 0 AS lengths, count(*) FILTER (WHERE abs(a.value - b.value) > {_APART}) AS apart, round(max(abs(a.value - b.value)), 5) + 0.0 AS worst FROM a JOIN b USING (id, path_idx, t) GROUP BY path_idx""")
+def coefficient_differences(spark, sf_dir):
+    """What rounding the samples to hundreds does to the coefficients of each path."""
+    plain = event_signals(spark, sf_dir)
+    coarse = plain.withColumn("x", F.transform("x", lambda v: F.round(v, -2)))
+    out = reports.table_differences(_PLAN64.transform(plain), _PLAN64.transform(coarse), ["id"], _APART)
+    return out.select("path_idx", "only_one", "lengths", "apart", rounded("worst", 5).alias("worst"))
+
+
+@query("synthetic_of_keys", """WITH RECURSIVE s AS (SELECT vec_id AS id, 0 AS i, (vec_id::HUGEINT * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 AS s FROM embeddings UNION ALL SELECT id, i + 1, (s * 6364136223846793005 + 1442695040888963407) % 18446744073709551616 FROM s WHERE i < 63)
+SELECT id, i::INT AS t, round((s // 2048)::DOUBLE / 4503599627370496 - 1 + (i % 97 - 48) / 64.0::DOUBLE, 9) + 0.0 AS value FROM s""")
+def synthetic_of_keys(spark, sf_dir):
+    """A reproducible signal for each row of the table, seeded by its key."""
+    seeds = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return signals.synthetic_of(seeds, ["id"], "id", 64).select("id", F.posexplode("x").alias("t", "v")).select("id", "t", rounded("v", 9).alias("value"))
+
+
+_NAMES = [(p["path_idx"], repr(p["label"])) for p in _PLAN64.paths]
+_NAMED = ", ".join(f"('{k}')" for k in KINDS)
+
+
+@query("features_named", _RENORM_EVENTS + _LOGS.replace("SELECT id, path_idx, round(avg(v), 5)", f", fe AS (SELECT id, path_idx, round(avg(v), 5)") + f""")
+SELECT id, kind || ' ' || label AS name, CASE kind WHEN 'mean' THEN mean WHEN 'sd' THEN sd WHEN 'median' THEN median ELSE max END AS value FROM fe JOIN (VALUES {oracle._values(_NAMES)}) l(path_idx, label) USING (path_idx), (VALUES {_NAMED}) n(kind)""")
+def features_named(spark, sf_dir):
+    """A signal's features with their names: summary and path."""
+    names = F.array(*[F.lit(f"{k} {p['label']}") for p in _PLAN64.paths for k in KINDS])
+    held = _PLAN64.feature_arrays(event_signals(spark, sf_dir), "x", "f", 1e-3)
+    each = held.select("id", F.inline(F.arrays_zip(names.alias("name"), F.col("f").alias("v"))))
+    return each.toDF("id", "name", "v").select("id", "name", rounded("v", 5).alias("value"))
+
+
 # Sums and ranks that no order or group size changes
 
 

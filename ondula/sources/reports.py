@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ondula.functions import exact
 from ondula.plans.joint_plan import JointPlan
 from ondula.plans.time_plan import TimePlan
 
@@ -173,3 +176,32 @@ def verify(spark: SparkSession, names: list[str] | None = None) -> list[str]:
     wrong = [x for x in strayed(measured_report(spark, names).collect()) if not names or x.split("\t")[0] in names]
     first = report_text(golden_report(spark, names).collect())
     return wrong + differences(first, report_text(golden_report(spark, names, partitions=3).collect()))
+
+
+def table_report(coefs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, path_idx, n, total, squares, most of a table of coefficients: sums are exact, so the report is the same bits for every partitioning."""
+    keys = [*(keys or []), "path_idx"]
+    each = coefs.select(*keys, F.explode("coef").alias("total")).withColumn("squares", F.col("total") * F.col("total"))
+    most = each.groupBy(*keys).agg(F.count("total").alias("n"), F.max(F.abs("total")).alias("most"))
+    named = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    sums = exact.sums(each, keys, ["total", "squares"]).select(*named, "total", "squares")
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return most.join(sums, reduce(and_, same)).select(*keys, "n", "total", "squares", "most")
+
+
+def table_differences(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """path_idx, only_one, lengths, apart, worst: of two tables of coefficients, by path.
+
+    Rows that one table lacks, rows of another length, values further apart than the tolerance, and the largest distance (of values
+    that both have).  Keys and path name a row of each table; NaN is as far from a number as can be, and near NaN.
+    """
+    named = [*keys, "path_idx"]
+    other = b.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(named)], F.col("coef").alias("_coef"))
+    same = [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(named)]
+    met = a.select(*named, "coef").join(other, reduce(and_, same), "full")
+    path = F.coalesce("path_idx", f"_k{len(keys)}").alias("path_idx")
+    gap = F.zip_with("coef", "_coef", lambda x, y: F.when(F.isnan(x) & F.isnan(y) | (x == y), 0.0).when(F.isnan(x) | F.isnan(y), float("inf")).otherwise(F.abs(x - y)))
+    one, fit = F.col("coef").isNull() | F.col("_coef").isNull(), F.size("coef") == F.size("_coef")
+    gaps = F.when(~one & fit, gap)
+    row = met.select(path, one.cast("long").alias("one"), (~one & ~fit).cast("long").alias("other"), F.coalesce(F.size(F.filter(gaps, lambda g: g > tolerance)), F.lit(0)).alias("far"), F.array_max(gaps).alias("worst"))
+    return row.groupBy("path_idx").agg(F.sum("one").alias("only_one"), F.sum("other").alias("lengths"), F.sum("far").alias("apart"), F.coalesce(F.max("worst"), F.lit(0.0)).alias("worst"))

@@ -70,3 +70,28 @@ def synthetic_signals(spark: SparkSession, n: int, seeds: list[int]) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column("seed"), pa.array([synthetic(n, s) for s in b.column("seed").to_pylist()], pa.list_(pa.float64()))], names=["seed", "x"])
 
     return spark.createDataFrame([(s,) for s in seeds], "seed long").mapInArrow(run, "seed long, x array<double>")
+
+
+def synthetic_of(df: DataFrame, keys: list[str], seed: str, n: int) -> DataFrame:
+    """keys, x: the synthetic signal of each row's seed (whole, taken modulo 2^64; null gives none), made where the row is, a batch of rows at a time."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    saw = (np.arange(n) % 97 - 48) / 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            state = b.column("seed").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            x = np.empty((len(state), n))
+            for i in range(n):
+                state = state * np.uint64(LCG_MUL) + np.uint64(LCG_ADD)  # wraps at 2^64
+                x[:, i] = (state >> np.uint64(11)).astype(np.float64) / 2.0**52 - 1 + saw[i]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * n, pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("keys"), lists], names=["keys", "x"])
+
+    held = df.where(F.col(f"`{seed}`").isNotNull()).select(F.struct(*[F.col(f"`{k}`") for k in keys]).alias("keys"), F.col(f"`{seed}`").cast("long").alias("seed"))
+    schema = T.StructType().add(held.schema["keys"]).add("x", T.ArrayType(T.DoubleType()))
+    return held.mapInArrow(run, schema).select(*[F.col(f"keys.`{k}`") for k in keys], "x")

@@ -309,3 +309,27 @@ def test_plan_of_windows_is_free_of_their_bins(spark):
     assert abs(len(plans[0]) - len(plans[1])) < 50
     row = windowed_signals(events, ["event_type"], "ts", "value", "1 day", 960, 90).first()
     assert len(row.x) == 960
+
+
+def test_reports_of_tables_are_the_same_bits(spark, frame):
+    coefs = Scattering1D(128, 4, Q=2).transform(frame)
+    one, two = ({tuple(r) for r in reports.table_report(coefs.repartition(p), ["day"]).collect()} for p in (1, 9))
+    assert one == two and len(one) == 3 * coefs.select("path_idx").distinct().count()
+    r = next(iter(one))
+    values = [v for c in coefs.where(f"day = {r[0]} AND path_idx = {r[1]}").collect() for v in c.coef]
+    assert r[2:] == (len(values), math.fsum(values), math.fsum(v * v for v in values), max(map(abs, values)))
+
+
+def test_differences_of_tables(spark):
+    a = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [1.0]), (3, 0, [math.nan, 1.0, math.nan]), (4, 1, [5.0]), (None, 1, [math.inf])], "id int, path_idx int, coef array<double>")
+    b = spark.createDataFrame([(1, 0, [1.0, 2.5]), (2, 0, [1.0, 1.0]), (3, 0, [math.nan, math.nan, 1.0]), (5, 2, []), (None, 1, [math.inf])], "id int, path_idx int, coef array<double>")
+    got = {r.path_idx: tuple(r)[1:] for r in reports.table_differences(a, b, ["id"], 0.1).collect()}
+    assert got == {0: (0, 1, 3, math.inf), 1: (1, 0, 0, 0.0), 2: (1, 0, 0, 0.0)}
+    assert reports.table_differences(a, a, ["id"], 0.0).where("only_one + lengths + apart > 0").count() == 0
+    assert reports.table_differences(a.where("false"), a.where("false"), ["id"], 0.0).count() == 0
+
+
+def test_synthetic_signals_of_rows(spark):
+    seeds = spark.createDataFrame([("a", 7), ("b", -3), ("c", None), ("d", 2**63 - 1), ("a", 7)], "x string, s long").repartition(2)
+    got = sorted((r[0], tuple(r[1])) for r in signals.synthetic_of(seeds.withColumnRenamed("x", "key"), ["key"], "s", 120).collect())
+    assert got == sorted((k, tuple(signals.synthetic(120, s))) for k, s in (("a", 7), ("b", -3), ("d", 2**63 - 1), ("a", 7)))
