@@ -131,8 +131,31 @@ every AS (SELECT id, 0 AS path, t, v FROM ({_low('z', 'id', n, stride)}) UNION A
     return f"WITH {','.join(parts)}\nSELECT id, path_idx::INT AS path_idx, t::INT AS t, round(v, {digits}) + 0.0 AS value FROM ({pick}) WHERE path_idx < {most}" + ("" if pairs else " AND path_idx <= " + str(most - 1))
 
 
-def joint_sql(plan: JointPlan, source: str, digits: int = 6, renorm_eps: float | None = None) -> str:
-    """id, path_idx, band, t, value of the joint format with a local time average; of the time format path_idx is the branch, from one."""
+def _joint_tables(plan: JointPlan) -> tuple[str, str, str, str, str, str]:
+    """Of the default averages and strides and the joint format: CTEs of the schedules, then SELECTs of the banks in time, of k1, of the
+    frequential banks, of the members of each second-order input and of the branches, all from J, Q, J_fr, Q_fr and T."""
+    op, stride, f = plan.time, plan.time.log2_stride, plan.J_fr
+    if (plan.format, plan.out_type, plan.average_fr, plan.log2_stride_fr, plan.f) != ("joint", "array", "local", f, float(2**f)) or (op.average, stride) != ("local", op.log2_t):
+        raise ValueError("Derived tables are for the default averages and strides and an array of joint paths.")
+    folds = "least(ceil(sqrt(-2 * sigma * sigma * ln(1e-7::DOUBLE)) + 1), 5)::INT"
+    schedules = f"""{schedule('f1', op.J, op.Q[0])},{schedule('f2', op.J, op.Q[1])},{schedule('f3', plan.J_fr, plan.Q_fr)},
+fr AS (SELECT 1 AS idx, 0.0::DOUBLE AS xi, 0.1::DOUBLE / {2**f} AS sigma, CAST(floor(-log2(least(0.5::DOUBLE / {2**f}, 0.5::DOUBLE))) - 1 AS INT) AS j
+  UNION ALL SELECT 1 + idx, xi, sigma, j FROM f3 UNION ALL SELECT 1 + (SELECT count(*) FROM f3) + idx, -xi, sigma, j FROM f3)"""
+    time = f"SELECT 0, 0, NULL::DOUBLE, sigma, {folds} FROM (SELECT 0.1::DOUBLE / {op.t} AS sigma) UNION ALL SELECT 1, idx, xi, sigma, {folds} FROM f1 UNION ALL SELECT 2, idx, xi, sigma, {folds} FROM f2"
+    k1 = f"SELECT idx, least(j, {stride}) FROM f1"
+    frequency = f"SELECT 3, idx, nullif(xi, 0), sigma, {folds} FROM fr UNION ALL SELECT 4, 0, NULL, sigma, {folds} FROM fr WHERE idx = 1"
+    members = f"SELECT b.idx, row_number() OVER (PARTITION BY b.idx ORDER BY a.idx) - 1, a.idx, least(a.j, {stride}), least(b.j - least(a.j, {stride}), {stride}) FROM f2 b JOIN f1 a ON a.j < b.j"
+    inputs = "SELECT 0 AS n2, NULL::INT AS j UNION ALL SELECT idx, j FROM f2 WHERE EXISTS (SELECT 1 FROM f1 WHERE f1.j < f2.j)"
+    branches = f"""SELECT row_number() OVER (ORDER BY n2 > 0, n2, fr.idx), n2, fr.idx, least(fr.j, {f}), sign(fr.xi)::INT, (fr.xi <> 0)::INT, least(fr.j, {f}),
+  CASE WHEN fr.xi = 0 THEN {plan.n_padded_fr} >> least(fr.j, {f}) ELSE {plan.n_padded_fr} >> {f} END, fr.j, coalesce(i.j, {stride}) FROM ({inputs}) i, fr WHERE n2 > 0 OR fr.xi >= 0"""
+    return schedules, time, k1, frequency, members, branches
+
+
+def joint_sql(plan: JointPlan, source: str, digits: int = 6, renorm_eps: float | None = None, derived: bool = False) -> str:
+    """id, path_idx, band, t, value of the joint format with a local time average; of the time format path_idx is the branch, from one.
+
+    ``derived``: filters, levels, members and branches are made in SQL from the arguments, not read off the plan.
+    """
     op = plan.time
     assert op.local
     n, nf, stride = op.n_padded, plan.n_padded_fr, op.log2_stride
@@ -150,15 +173,19 @@ def joint_sql(plan: JointPlan, source: str, digits: int = 6, renorm_eps: float |
             members += [(b.n2, r, n1, min(op.psi1[n1 - 1].j, stride), min(op.psi2[b.n2 - 1].j - min(op.psi1[n1 - 1].j, stride), stride)) for r, n1 in enumerate(b.bands)] if not any(m[0] == b.n2 for m in members) else []
     banks = [(3, i, None if i == 1 else w.xi, w) for i, w in enumerate(plan.psi_fr, 1)] + [(4, 0, None, plan.phi_fr)]
     zero = f"z AS (SELECT id, s AS t, v, 0 AS k FROM u0)"
+    in_time, first, member_rows, branch_rows, before = _time_banks(op), _first(op, stride), f"VALUES {_values(members)}", f"VALUES {_values(branches)}", []
+    if derived:
+        schedules, in_time, k1, banks, member_rows, branch_rows = _joint_tables(plan)
+        first, before = f"\nk1(n1, k) AS ({k1}),\n{_u1(n)}", [schedules]
     parts = [
-        kernels("g", n, _time_banks(op)), kernels("f", nf, banks), _padded(op, source), _first(op, stride), f"\n{zero}",
+        *before, kernels("g", n, in_time), kernels("f", nf, banks), _padded(op, source), first, f"\n{zero}",
         f"\ns1 AS ({_low('u1', 'id, n1', n, stride)})",
-        f"\nm(n2, r, n1, k1, k2) AS (VALUES {_values(members)})",
+        f"\nm(n2, r, n1, k1, k2) AS ({member_rows})",
         f"""
-y AS (SELECT id, 0 AS n2, n1 - 1 AS r, t, v AS re, 0.0 AS im FROM s1 UNION ALL
+y AS (SELECT id, 0 AS n2, n1 - 1 AS r, t, v AS re, {'0.0::DOUBLE' if derived else '0.0'} AS im FROM s1 UNION ALL
   SELECT u.id, m.n2, m.r, o.t, sum(u.v * power(2, m.k1) * g.re), sum(u.v * power(2, m.k1) * g.im) FROM u1 u JOIN m USING (n1), generate_series(0, {n} - 1) o(t)
   JOIN g ON g.bank = 2 AND g.idx = m.n2 AND g.t = (((((o.t << m.k2) - u.t) % ({n} >> m.k1) + ({n} >> m.k1)) % ({n} >> m.k1)) << m.k1) WHERE o.t < ({n} >> (m.k1 + m.k2)) GROUP BY u.id, m.n2, m.r, o.t)""",
-        f"\nb(path, n2, n_fr, kfr, spin, avg, kin, keep, jfr, j2) AS (VALUES {_values(branches)})",
+        f"\nb(path, n2, n_fr, kfr, spin, avg, kin, keep, jfr, j2) AS ({branch_rows})",
         f"""
 c AS (SELECT id, path, n2, avg, kin, j2 AS k, q, t, sqrt(power(sum(re * fr - im * fi), 2) + power(sum(re * fi + im * fr), 2)) AS v FROM (
   SELECT y.id, b.path, b.n2, b.avg, b.kin, b.j2, o.q, y.t, y.re, y.im, f.re AS fr, f.im AS fi FROM y JOIN b USING (n2), generate_series(0, {nf} - 1) o(q)
@@ -182,7 +209,7 @@ d AS (SELECT sb.id, b.path, 0 AS q, sb.t, sum(sb.v) AS v FROM sb JOIN b USING (n
   WHERE (b.avg = 1 OR b.spin = 0) AND o.q < ({nf} >> CASE WHEN b.spin = 0 THEN b.kfr ELSE {step} END) GROUP BY sb.id, b.path, o.q, sb.t)""")
         value = f"cf.v / (coalesce(d.v, 1.0 - {renorm_eps!r}) + {renorm_eps!r})"
     join = " LEFT JOIN d ON d.id = cf.id AND d.path = cf.path AND d.q = cf.q AND d.t = cf.t" if renorm_eps is not None else ""
-    return f"""WITH {','.join(parts)},
+    return f"""WITH{' RECURSIVE' * derived} {','.join(parts)},
 every AS (SELECT id, 0 AS path, 0 AS q, t, v FROM ({_low('z', 'id', n, stride)}) UNION ALL SELECT cf.id, cf.path, cf.q, cf.t, {value} FROM cf JOIN b USING (path){join} WHERE cf.q < b.keep)
 SELECT id, path::INT AS path_idx, q::INT AS band, (t - {start})::INT AS t, round(v, {digits}) + 0.0 AS value FROM every WHERE t >= {start} AND t < {end}"""
 

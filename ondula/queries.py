@@ -336,6 +336,16 @@ def _joint_sql(op: ScatteringJTFS, where: str = "", renorm_eps: float | None = N
     return f"SELECT id, path_idx, band, t, value FROM ({oracle.joint_sql(op.plan, EVENTS, renorm_eps=renorm_eps)}){where}"
 
 
+_FINE = quiet(lambda: ScatteringJTFS(64, 3, J_fr=2, Q=(4, 2), Q_fr=2, format="joint"))
+
+
+@query("joint_derived", oracle.joint_sql(_FINE.plan, EVENTS, derived=True))
+def joint_derived(spark, sf_dir):
+    """The SQL makes filters, branches and their order from J, Q, J_fr and Q_fr itself."""
+    out = bands(_FINE.transform(event_signals(spark, sf_dir)), ["id"])
+    return out.select("id", "path_idx", "band", "t", rounded("value").alias("value"))
+
+
 _FEW = [2, 7, 0, len(_SPUN.paths) - 1]
 
 
