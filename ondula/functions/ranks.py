@@ -3,8 +3,8 @@
 A quantile of type 7 lies between two order statistics.  Each wanted rank of a group holds
 an interval of values that contains it.  A pass counts the group's values inside the interval by
 bucket, in one aggregation that combines before the shuffle, and keeps the bucket that holds
-the rank, with the least and greatest value met in it as the new interval.  The first pass
-takes sign and binary exponent as the bucket, the next ones equal parts of the interval, so
+the rank, with the least and greatest value met in it as the new interval.  The first pass, which all ranks
+share, takes sign and binary exponent as the bucket, the next ones equal parts of the interval, so
 the interval shrinks by 4096 at least while it has several values: at most six passes, whatever the values.  An
 interval ends when its values are equal, or when the values inside are few (1024), which are then sorted.
 
@@ -24,8 +24,8 @@ from ondula.functions import features
 from ondula.sources import tables
 
 BUCKETS, FEW = 4096, 1024
-#: Above the number of every binary exponent of a double.
-BEYOND = 3000
+#: Buckets above those of every finite double, of infinity and of NaN.
+BEYOND, NOT_A_NUMBER = 3000, 9999
 
 
 def magnitude(v: Column) -> Column:
@@ -34,40 +34,44 @@ def magnitude(v: Column) -> Column:
     return F.when(v == 0, 0).when(v > 0, level).otherwise(-level).cast("int")
 
 
-def _meet(values: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
-    """Each value with the open intervals of its group that contain it."""
-    s = tables.few(states).withColumnsRenamed({k: f"s_{k}" for k in keys})
+def _meet(values: DataFrame, states: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Each value with the intervals of its group that contain it."""
+    s = states.withColumnsRenamed({k: f"s_{k}" for k in keys})
     on = (F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"s_{k}"))
-    return values.join(s, on).drop(*[f"s_{k}" for k in keys])
+    return values.join(F.broadcast(s) if small else s, on).drop(*[f"s_{k}" for k in keys])
 
 
-def order_statistics(values: DataFrame, keys: list[str], ranks: DataFrame, steps: tables.Folder, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+def _numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """Counted buckets with ``upto``: the values of their group (and rank) in them and in those before."""
+    return rows.withColumn("upto", F.sum("c").over(W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def order_statistics(values: DataFrame, states: DataFrame, keys: list[str], steps: tables.Folder, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
     """keys, k, value: the values of rank k (from 0) of each group.
 
-    values: keys (of other names than the columns here) and v, without nulls and NaN.  ranks: keys, k, and of the group n, low
-    (least value), high (greatest).
+    values: keys (of other names than the columns here) and v, without nulls and NaN.  states: keys, k, and an interval low..high of
+    a group's values that holds rank k, as rank r (from 0) of the ``inside`` values in it.
     """
-    states = ranks.select(*keys, "k", F.col("k").alias("r"), "low", "high", F.col("n").alias("inside"))
-    done, passes = [], 0
+    open_, rest = f"low < high AND inside > {few}", f"low < high AND inside <= {few}"
+    texts = [k for k in keys if states.schema[k].dataType.typeName() in ("string", "binary")]
+    size = sum((F.octet_length(k) for k in texts), F.lit(tables.ROW_BYTES + 8 * (len(keys) + 5)))
+    done = []
     while True:
         states = steps.write(states)
+        n_open, n_rest, taken = states.agg(F.count_if(F.expr(open_)), F.count_if(F.expr(rest)), F.sum(F.coalesce(size, F.lit(tables.ROW_BYTES)))).first()
+        small = (taken or 0) <= tables.BROADCAST_BYTES
         done.append(states.where("low = high").select(*keys, "k", F.col("low").alias("value")))
-        open_ = states.where(f"low < high AND inside > {few}")
-        rest = states.where(f"low < high AND inside <= {few}")
-        if not rest.isEmpty():
-            gathered = _meet(values, steps.write(rest), keys).groupBy(*keys, "k", "r").agg(F.sort_array(F.collect_list("v")).alias("all"))
+        if n_rest:
+            gathered = _meet(values, states.where(rest), keys, small).groupBy(*keys, "k", "r").agg(F.sort_array(F.collect_list("v")).alias("all"))
             done.append(gathered.select(*keys, "k", F.get("all", F.col("r").cast("int")).alias("value")))
-        if open_.isEmpty():
+        if not n_open:
             break
-        v, low, high = F.col("v"), F.col("low"), F.col("high")
-        bucket = magnitude(v) if passes == 0 else F.floor((v - low) / (high - low) * buckets)
-        counted = _meet(values, steps.write(open_), keys).groupBy(*keys, "k", "r", bucket.alias("bucket")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
-        upto = F.sum("c").over(W.partitionBy(*keys, "k").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
-        found = counted.withColumn("upto", upto).where("upto > r AND upto - c <= r")
+        bucket = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * buckets).alias("bucket")
+        counted = _meet(values, states.where(open_), keys, small).groupBy(*keys, "k", "r", bucket).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        found = _numbered(counted, *keys, "k").where("upto > r AND upto - c <= r")
         states = found.select(*keys, "k", (F.col("r") - F.col("upto") + F.col("c")).alias("r"), "low", "high", F.col("c").alias("inside"))
-        passes += 1
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -80,8 +84,6 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], b
         raise ValueError("Quantiles need shares from 0 to 1.")
     names, keys = keys, [f"key_{i}" for i in range(len(keys))]  # the keys' own names may be those of columns below
     held = df.select(*[F.col(f"`{a}`").alias(b) for a, b in zip(names, keys)], F.col(f"`{value}`").cast("double").alias("v"))
-    v = F.when(~F.isnan("v"), F.col("v"))
-    groups = held.groupBy(*keys).agg(F.count("v").alias("n"), F.count(v).alias("plain"), F.min(v).alias("low"), F.max(v).alias("high"))
     n = F.col("n")
     at = lambda p: F.floor((n - 1) * F.lit(float(p)))
     next_ = lambda p: F.least(at(p) + 1, n - 1)
@@ -92,13 +94,19 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], b
         return F.when(~F.col("sound"), F.lit(float("nan"))).when(n > 0, inside)
 
     with tables.Folder(df.sparkSession) as steps:
-        groups = steps.write(groups)
+        bucket = F.when(F.isnan("v"), NOT_A_NUMBER).otherwise(magnitude(F.col("v"))).alias("bucket")
+        first = steps.write(held.groupBy(*keys, bucket).agg(F.count("v").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")))
+        groups = first.groupBy(*keys).agg(F.sum("c").alias("n"), (F.coalesce(F.max("bucket"), F.lit(0)) < NOT_A_NUMBER).alias("sound"))
+        whole = W.partitionBy(*keys)
+        sizes = first.where("bucket IS NOT NULL").withColumns({"n": F.sum("c").over(whole), "last": F.max("bucket").over(whole)})
+        levels = _numbered(sizes.where(F.col("last") < NOT_A_NUMBER), *keys)
         both = F.array_distinct(F.array(*[x for p in shares for x in (at(p), next_(p))]))
-        ranks = groups.where("n > 0 AND n = plain").select(*keys, "n", "low", "high", F.explode(both).alias("k"))
-        found = order_statistics(held.where("v IS NOT NULL AND NOT isnan(v)"), keys, ranks, steps, buckets, few)
+        here = F.explode(F.filter(both, lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("c")))).alias("k")
+        states = levels.select(*keys, here, "upto", "c", "low", "high").select(*keys, "k", (F.col("k") - F.col("upto") + F.col("c")).alias("r"), "low", "high", F.col("c").alias("inside"))
+        found = order_statistics(held.where("v IS NOT NULL AND NOT isnan(v)"), states, keys, steps, buckets, few)
         rows = found.select(*keys, F.struct("k", "value").alias("s"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("boolean").alias("sound"))
-        rows = rows.unionByName(groups.select(*keys, F.lit(None).cast(rows.schema["s"].dataType).alias("s"), "n", (n == F.col("plain")).alias("sound")))
-        met = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.bool_and("sound").alias("sound"), F.map_from_entries(F.collect_list("s")).alias("m"))
+        rows = rows.unionByName(groups.select(*keys, F.lit(None).cast(rows.schema["s"].dataType).alias("s"), "n", "sound"))
+        met = rows.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.bool_and("sound").alias("sound"), F.map_from_entries(F.collect_list("s")).alias("m"))
         return tables.write(met.select(*[F.col(b).alias(a) for a, b in zip(names, keys)], "n", F.array(*[between(p) for p in shares]).alias("quantiles")))
 
 

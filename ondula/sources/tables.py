@@ -6,10 +6,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A side is broadcast up to so many bytes; bytes that a row takes besides its values, and of a text where its length is unknown.
-BROADCAST_BYTES, ROW_BYTES, TEXT_BYTES = 64 << 20, 64, 64
+#: A side is broadcast up to so many bytes, counting those that a row takes besides its values.
+BROADCAST_BYTES, ROW_BYTES = 64 << 20, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,11 +44,3 @@ class Folder:
     def __exit__(self, *_: object) -> None:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def few(df: DataFrame) -> DataFrame:
-    """A written table, with a broadcast hint where its rows by their types stay below the bound."""
-    each = ROW_BYTES + sum(TEXT_BYTES if f.dataType.typeName() in ("string", "binary") else 8 for f in df.schema.fields)
-    texts = [F.sum(F.octet_length(f.name)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
-    n, *more = df.agg(F.count("*"), *texts).first()
-    return F.broadcast(df) if n * each + sum(x or 0 for x in more) <= BROADCAST_BYTES else df
