@@ -398,7 +398,7 @@ _APART = 50.0
 
 
 @query("coefficient_differences", f"""WITH a AS MATERIALIZED ({_EVENT_COEFS}), b AS MATERIALIZED ({oracle.time_sql(_PLAN64.time, _COARSE, digits=14)})
-SELECT path_idx, 0 AS only_one, 0 AS lengths, count(*) FILTER (WHERE abs(a.value - b.value) > {_APART}) AS apart, round(max(abs(a.value - b.value)), 5) + 0.0 AS worst FROM a JOIN b USING (id, path_idx, t) GROUP BY path_idx""")
+SELECT path_idx, 0::BIGINT AS only_one, 0::BIGINT AS lengths, count(*) FILTER (WHERE abs(a.value - b.value) > {_APART}) AS apart, round(max(abs(a.value - b.value)), 5) + 0.0 AS worst FROM a JOIN b USING (id, path_idx, t) GROUP BY path_idx""")
 def coefficient_differences(spark, sf_dir):
     """What rounding the samples to hundreds does to the coefficients of each path."""
     plain = event_signals(spark, sf_dir)
