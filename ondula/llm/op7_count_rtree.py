@@ -2,7 +2,7 @@
 
 A document is the set of its word shingles, as 64-bit hashes.  Shingles are hashed into
 groups and a set's group counts are its point, at three grains of the same hash: every hash
-a group of its own, about one shingle to a group but at most 512 groups, and about one (up to
+a group of its own, at most 512 groups (for boxes), and about one shingle to a group (up to
 32,768).  The overlap of two sets is at most the sum of the smaller of their coordinates, and
 for two nodes of the tree at most that of their largest coordinates.
 
@@ -18,15 +18,18 @@ for two nodes of the tree at most that of their largest coordinates.
 * In the nodes that still hold several components, sets lie in leaves of about ``LEAF`` in
   tree order (component, size), with size range and largest coordinates (``descend``).  Pairs
   of nodes go down from the root, 16 children to a node; a pair of one component, or whose
-  sizes or summed minima are too small, is dropped with all below it.  Then pairs of points
-  are bounded at the middle grain (``near_points``), and the pairs that are left at the
-  grain of one shingle a group (``bounded``).
+  sizes or summed minima are too small, is dropped with all below it.
+* Sets that share one node often share hundreds.  Each row of a node carries the ``SKETCH``
+  first open nodes of its set, the most frequented first, and a pair that has a common one before
+  the node at hand leaves it to that one (``own_pairs``): near copies just under the threshold are met once, not in
+  each node.  Only sets with a pair of their own in a node travel there with a point, which is
+  bounded at about one shingle a group, whatever the set's size (``near_points``).
 * Surviving pairs are verified on the whole sets, read again from the texts (``verify``).
   Names, points and pairs are all that is written or shuffled before.
 
 No pair of copies is ever listed: identical sets are one point, and a group of near copies
 is one component after the first join.  Hot nodes are split in leaves, and hot stars by the
-shingles of their partners, so no task holds more than a few hundred points, or
+shingles of their partners, so no task holds more than two leaves of points, or
 ``MOST`` shingles and two texts.
 
 Defined results: a null or blank text has no shingles and is alone; fewer words than a
@@ -51,6 +54,8 @@ from ondula.llm import common, graph, tokens
 PERCENT, WORDS = 90, 3
 #: Coordinates of a node's box; sets of a leaf; children of an inner node, as a power of two; sets from which a node is hot.
 BOX, LEAF, FAN, HOT = 64, 256, 4, 64
+#: First open nodes of a set that go with it.
+SKETCH = 32
 #: Shingles that are verified together.
 MOST = 1 << 17
 #: Bytes of text hashed at once; a byte takes about a hundred while it is.
@@ -183,7 +188,7 @@ def overlap(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> n
 
 def coarser(p: np.ndarray, size: int) -> np.ndarray:
     """The point in fewer groups, each the sum of neighbours."""
-    return p.reshape(size, -1).sum(axis=1, dtype=np.int64)
+    return p if len(p) == size else p.reshape(size, -1).sum(axis=1, dtype=np.uint32)
 
 
 def enough(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -361,48 +366,83 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def near_points(units: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs of different components in a unit (unit, side, name, comp, n, mid) whose points allow a link.
+def own_pairs(t: pa.Table, percent: int) -> np.ndarray:
+    """Which pairs (row i, column j < i) of a unit's rows are to be bounded in it.
 
-    Sides 0 and 1 are two leaves, which meet each other; side -1 is one leaf, whose sets meet among themselves.
+    They are of different components and sides, of sizes that may link, and have no common node
+    before this one among their first: they would meet there.  A unit's sides 0 and 1 are two
+    leaves, which meet each other; side -1 is one leaf, whose sets meet among themselves.
     """
+    comp, n, side = (t[c].to_numpy() for c in ("comp", "n", "side"))
+    first, order = t["first"].combine_chunks(), t["orders"].combine_chunks().flatten().to_numpy()
+    value, of = first.flatten().to_numpy(), np.repeat(np.arange(len(n)), first.value_lengths().to_numpy())
+    here = t["order"][0].as_py()
+    before = (order < here) | ((order == here) & (value < t["cell"][0].as_py()))
+    nodes_, column = np.unique(value[before], return_inverse=True)
+    has = np.zeros((len(n), len(nodes_)), np.float32)
+    has[of[before], column] = 1
+    met = has @ has.T > 0
+    sized = np.minimum.outer(n, n) * 100 >= np.maximum.outer(n, n) * percent
+    sides = (side < 0)[:, None] | (side[:, None] != side)
+    return np.tril((comp[:, None] != comp) & sides & sized & ~met, -1)
+
+
+#: order: of the node, less what it holds; first, orders: the first nodes of the set and theirs.
+UNIT = "unit long, cell long, order long, side int, name long, comp long, n long, first array<long>, orders array<long>"
+
+
+def met_here(units: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``units`` (of ``UNIT``) that have a pair of their own there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, "unit"):
+            pairs = own_pairs(t, percent)
+            yield from t.filter(pa.array(pairs.any(axis=0) | pairs.any(axis=1))).to_batches()
+
+    return units.repartition(F.col("unit")).sortWithinPartitions("unit").mapInArrow(run, UNIT)
+
+
+def near_points(units: DataFrame, percent: int) -> DataFrame:
+    """u, v: pairs of ``units`` (of ``UNIT``, and fine) whose points allow a link; mostly once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "unit"):
-            name, comp, n, side = (t[c].to_numpy() for c in ("name", "comp", "n", "side"))
-            raw = [np.frombuffer(p, np.uint8) for p in t["mid"].to_pylist()]
+            name, n, pairs = t["name"].to_numpy(), t["n"].to_numpy(), own_pairs(t, percent)
+            raw = [np.frombuffer(p, np.uint8) for p in t["fine"].to_pylist()]
             size = min(map(len, raw))
-            points = np.stack([coarser(p, size) for p in raw])
+            grains_ = [np.stack([coarser(p, g) for p in raw]) for g in sorted({min(size, 1 << 9), size})]
             out = []
-            for i in range(1, len(n)):
-                js = np.flatnonzero((comp[:i] != comp[i]) & ((side[:i] < 0) | (side[:i] != side[i])) & (np.minimum(n[:i], n[i]) * 100 >= np.maximum(n[:i], n[i]) * percent))
-                if len(js):
+            for i in np.flatnonzero(pairs.any(axis=1)):
+                js = np.flatnonzero(pairs[i])
+                for points in grains_:
                     js = js[overlap(points[js], points[i], n[js], n[i]) >= enough(n[js], n[i], percent)]
-                    out.append(np.stack([np.minimum(name[js], name[i]), np.maximum(name[js], name[i])]))
+                out.append(np.stack([np.minimum(name[js], name[i]), np.maximum(name[js], name[i])]))
             if out:
                 u, v = np.concatenate(out, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    dealt = units.select("unit", "side", "name", "comp", "n", "mid").repartition(F.col("unit")).sortWithinPartitions("unit")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return units.repartition(F.col("unit")).sortWithinPartitions("unit").mapInArrow(run, "u long, v long")
 
 
 def tree_join(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int, s: common.Scratch) -> DataFrame:
-    """u, v: pairs of different components that share an upper node and that leaves and points allow. held: members; roots: node, root."""
+    """u, v: pairs of different components that share an upper node and that leaves and points allow, each once. held: members; roots: node, root."""
     comp = F.coalesce("root", "name").alias("comp")
     parts = s.cut(held.join(common.maybe_broadcast(roots.withColumnRenamed("node", "name")), "name", "left").select("cell", "name", comp))
     open_ = parts.groupBy("cell").agg(F.count("*").alias("c"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("c > 2 AND least <> most")
     open_ = s.cut(open_.select("cell", "c"))  # of two sets, the first join has seen the pair
-    rows = parts.join(common.maybe_broadcast(open_), "cell").join(sets.select("name", "n", "mid"), "name")
-    units = rows.where(F.col("c") <= LEAF).select(F.col("cell").alias("unit"), F.lit(-1).alias("side"), "name", "comp", "n", "mid")
+    open_rows = parts.join(common.maybe_broadcast(open_), "cell")
+    first = open_rows.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("order"), "cell"))), 1, SKETCH).alias("f"))
+    sketched = s.cut(first.join(sets.select("name", "n"), "name").select("name", "n", F.col("f.cell").alias("first"), F.col("f.order").alias("orders")))
+    rows = open_rows.withColumn("order", -F.col("c")).join(sketched, "name")
+    units = rows.where(F.col("c") <= LEAF).select(F.col("cell").alias("unit"), "cell", "order", F.lit(-1).alias("side"), "name", "comp", "n", "first", "orders")
     if not open_.where(F.col("c") > LEAF).isEmpty():
-        large = s.cut(leafed(rows.where(F.col("c") > LEAF).drop("c")))
+        large = s.cut(leafed(rows.where(F.col("c") > LEAF).drop("c").join(sets.select("name", "mid"), "name")))
         pairs = descend(s.cut(boxes(large)), percent, s)
         same = F.col("a") == F.col("b")
         for leaf, side, met in (("a", F.when(same, -1).otherwise(0), pairs), ("b", F.lit(1), pairs.where(~same))):
             unit = F.xxhash64("cell", "a", "b").alias("unit")
-            units = units.unionByName(large.join(common.maybe_broadcast(met.withColumn("leaf", F.col(leaf))), ["cell", "leaf"]).select(unit, side.alias("side"), "name", "comp", "n", "mid"))
-    return near_points(units, percent)
+            units = units.unionByName(large.join(common.maybe_broadcast(met.withColumn("leaf", F.col(leaf))), ["cell", "leaf"]).select(unit, "cell", "order", side.alias("side"), "name", "comp", "n", "first", "orders"))
+    return near_points(met_here(units, percent).join(sets.select("name", "fine"), "name"), percent).distinct()
 
 
 def links(found: DataFrame, docs: DataFrame, percent: int, k: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -416,7 +456,7 @@ def links(found: DataFrame, docs: DataFrame, percent: int, k: int, cut: Callable
         sets = s.cut(drawn.groupBy("name").agg(F.min_by(F.struct("k1", "k2", "n", "mid", "fine"), F.struct("k1", "k2")).alias("r")).select("name", "r.*"))
         near = s.cut(verify(docs, sets, s.cut(bounded(stars, sets, percent)), percent, k, s))
         roots = graph.components(near, s.cut)
-        far = s.cut(bounded(s.cut(tree_join(held, roots, sets, percent, s)), sets, percent))
+        far = s.cut(tree_join(held, roots, sets, percent, s))
         return graph.components(near.unionByName(verify(docs, sets, far, percent, k, s)), cut)
 
 
@@ -448,14 +488,14 @@ def op7_count_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that of the smallest id, with the columns of ``docs``. Shingles of five words, Jaccard 0.8."""
     found = jaccard_components(docs, percent=80, k=5)
-    wordless = F.col("n") == 0
+    filled = found.where("n > 0")
     # Of several rows with the component's id (repeated ids), the one of the smallest hashes.
-    mine = found.where(~wordless & F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    stays = common.cut(mine.select("k.k1", "k.k2").unionByName(found.where(wordless).select("k1", "k2")).distinct())
+    stays = filled.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("component").agg(F.min(F.struct("k1", "k2")).alias("k"))
+    goes = common.cut(filled.select("k1", "k2").distinct().join(stays.select("k.k1", "k.k2"), ["k1", "k2"], "left_anti"))
     twice = common.cut(found.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text, id_ = F.col("text"), F.col("doc_id")
-    held = docs.select(row, F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), text, id_).alias("k2")).join(common.maybe_broadcast(stays), ["k1", "k2"], "left_semi")
+    held = docs.select(row, F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), text, id_).alias("k2")).join(common.maybe_broadcast(goes), ["k1", "k2"], "left_anti")
     return common.once(held, ["k1", "k2"], twice).select("row.*")
 
 

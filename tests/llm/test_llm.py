@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -561,6 +562,57 @@ def test_pairs_of_leaves_grow_less_than_quadratically(spark):
     assert counts[1] < 8 * counts[0]  # the square would be 16 times
 
 
+def test_long_near_copies_under_the_threshold_meet_once(spark, monkeypatch):
+    """Families of long texts of Jaccard about 0.6 share hundreds of nodes: a pair is bounded about once, at the grain of its size."""
+    seen = {}
+
+    def counted(name):
+        plain = getattr(o7, name)
+
+        def run(units, percent):
+            out = common.cut(plain(units, percent))
+            seen[name] = out.count()
+            return out
+
+        monkeypatch.setattr(o7, name, run)
+
+    counted("met_here"), counted("near_points")
+    met = []
+    for size in (100, 400):
+        draw = random.Random(size)
+        base = [draw.choice(VOCAB) + str(draw.randrange(900)) for _ in range(1500)]
+        rows = []
+        for i in range(size):
+            w = base[:]
+            for j in draw.sample(range(len(w)), 82):
+                w[j] = f"n{draw.randrange(10**6)}"
+            rows.append((i, " ".join(w), "en", "a", 0))
+        found = o7.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(8), percent=80, k=5).collect()
+        assert len(found) == size and all(r.component == r.id for r in found)
+        assert seen["near_points"] == 0  # the middle grain of 512 groups let most pairs pass
+        met.append(seen["met_here"] / size)
+    assert max(met) < 60  # rows that travel with a point, of some 400 nodes a set
+    assert met[1] < 2.5 * met[0]
+
+
+def test_a_pair_is_left_to_its_first_common_node():
+    rng = np.random.default_rng(5)
+    nodes = {i: sorted(rng.choice(2000, 400, replace=False).tolist()) for i in range(40)}
+    members = {}
+    for i, cells in nodes.items():
+        for c in cells:
+            members.setdefault(c, []).append(i)
+    first = {i: sorted(cells, key=lambda c: (-len(members[c]), c))[: o7.SKETCH] for i, cells in nodes.items()}
+    times = Counter()
+    for c, names in members.items():
+        t = pa.table({"unit": [c] * len(names), "cell": [c] * len(names), "order": [-len(names)] * len(names), "side": [-1] * len(names), "name": names, "comp": names, "n": [100] * len(names), "first": [first[i] for i in names], "orders": [[-len(members[x]) for x in first[i]] for i in names]})
+        times.update((names[j], names[i]) for i, j in zip(*np.nonzero(o7.own_pairs(t, 80))))
+    common_nodes = {(i, j): len(set(nodes[i]) & set(nodes[j])) for i in range(40) for j in range(i + 1, 40)}
+    assert set(times) == {p for p, c in common_nodes.items() if c}
+    assert sum(times.values()) < sum(common_nodes.values()) / 10
+    assert all(c == 1 for (i, j), c in times.items() if set(first[i]) & set(first[j]))
+
+
 def test_scratch_tables_go(spark, docs):
     import os
 
