@@ -18,7 +18,8 @@ hosts: they are numbered and get their targets in tables; only totals reach the
 Defined results: a null or blank text has size 0 and takes 0.  A null source is a source
 of its own, ordered last; sources order by code point.  A null weight, or one that isn't
 positive, counts as 1.  Ties of rank order by id, then by a hash of the text.  Repeated rows
-are separate documents of the same rank and are taken together.  A very long text is one
+(equal id, source and text) are separate documents: they are numbered (``apart``), each number
+has its own u, and ``stage`` returns as many rows as they take, all of one of them.  A very long text is one
 document: the sum may miss the target by half of the one at the edge.  An empty table gives
 an empty result; other columns are ignored, whatever their names, and carried by ``stage``.
 """
@@ -74,6 +75,31 @@ def uniform(seed: int, *columns: Column) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+#: What repeated rows have in common.
+SAME = ["source", "first", "tie"]
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """``rows`` (written) with ``first``, the hashed u, ``repeated``, and a u of its own for each of repeated rows.
+
+    Rows are numbered within a value and a task, and the tasks of a value are summed, so that a value with a third
+    of all rows is in no one task.  Repeated rows are alike: whichever gets a number, the result is the same.
+    """
+    rows = rows.withColumn("first", F.col("u")).withColumn("repeated", F.lit(False))
+    repeated = common.cut(rows.groupBy(*SAME).agg(F.count("*").alias("c")).where("c > 1").select(*SAME))
+    if repeated.isEmpty():
+        return rows
+    twice = common.maybe_broadcast(repeated)
+    with common.Scratch(rows.sparkSession) as s:
+        held = s.cut(rows.withColumn("part", F.spark_partition_id()).join(twice, SAME, "left_semi"))
+        counts = held.groupBy(*SAME, "part").agg(F.count("*").alias("c"))
+        before = counts.select(*SAME, "part", (F.sum("c").over(Window.partitionBy(*SAME).orderBy("part")) - F.col("c")).alias("before"))
+        within = F.row_number().over(Window.partitionBy(*SAME, "part").orderBy("id")) - 1
+        placed = held.withColumn("within", within).join(before, [*SAME, "part"]).withColumn("place", F.col("within") + F.col("before"))
+        own = placed.withColumn("repeated", F.lit(True)).withColumn("u", F.when(F.col("place") > 0, uniform(3, F.col("u"), F.col("tie"), F.col("place"))).otherwise(F.col("u")))
+        return common.cut(rows.join(twice, SAME, "left_anti").unionByName(own.select(*rows.columns)))
+
+
 def rates(rows: DataFrame, goals: DataFrame, most: float = MOST) -> DataFrame:
     """``goals`` with price: expected copies for a unit of weight, such that copies of at most ``most`` reach the target."""
     each = rows.where("size > 0").groupBy("source", "weight").agg(F.sum("size").alias("n"))
@@ -136,25 +162,34 @@ def weighed(size: Column, weight: Column | None = None) -> Column:
 
 
 def sized(docs: DataFrame, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None) -> DataFrame:
-    """``keys``, size in words and weight of each document."""
+    """``keys``, size in words and weight of each document, repeated ones told ``apart``; written."""
     size = F.size(common.words(F.col(text_col))).cast("long")
     held = docs.select(*keys(seed, id_col, text_col, source_col), size.alias("size"), (F.lit(1.0) if weight is None else weight).alias("given"))
-    return held.select("id", "source", "u", "tie", "size", weighed(F.col("size"), None if weight is None else F.col("given")).alias("weight"))
+    return apart(common.cut(held.select("id", "source", "u", "tie", "size", weighed(F.col("size"), None if weight is None else F.col("given")).alias("weight"))))
 
 
 def op1_pareto_mix(spark, sf_dir: str) -> DataFrame:
-    rows = common.cut(sized(common.read(spark, sf_dir, "documents")))
+    rows = sized(common.read(spark, sf_dir, "documents"))
     priced = rates(rows, goals(rows))
     found = mix(rows, priced, edges(rows, priced))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"), F.col("expected"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` mixed to the targets: a row for each time the mix takes it. Texts are read twice and never shuffled."""
-    rows = common.cut(sized(docs))
+    """``docs`` mixed to the targets: a row for each time the mix takes it. Texts are read twice; those of repeated rows are shuffled."""
+    rows = sized(docs)
+    repeated = common.cut(rows.where("repeated").select(*SAME).distinct())
     priced = rates(rows, goals(rows))
     ends = edges(rows, priced)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     size = F.size(common.words(F.col("text"))).cast("long")
     again = docs.select(row, *keys(1, "doc_id", "text", "source"), size.alias("size")).withColumn("weight", weighed(F.col("size")))
-    return mix(again, priced, ends).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
+    if repeated.isEmpty():
+        taken = mix(again, priced, ends).select("row", "copies")
+    else:
+        twice, again = common.maybe_broadcast(repeated), again.withColumn("first", F.col("u"))
+        single = mix(again.join(twice, SAME, "left_anti"), priced, ends).select("row", "copies")
+        sums = common.cut(mix(rows.join(twice, SAME, "left_semi"), priced, ends).groupBy(*SAME).agg(F.sum("copies").alias("copies")))
+        one = again.join(twice, SAME, "left_semi").groupBy(*SAME).agg(F.first("row").alias("row"))
+        taken = single.unionByName(one.join(sums, SAME).select("row", "copies"))
+    return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

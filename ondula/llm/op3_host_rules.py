@@ -11,8 +11,8 @@ the host's verdict is joined back to its documents:
   documents that pass.
 
 So a clean document survives on any host, and only documents near a limit that their host
-often exceeds are lost to its verdict.  ``SQL`` still halves every limit on strict hosts and
-shuts blocked ones: it agrees where all hosts are open, as in the test tables.
+often exceeds are lost to its verdict.  ``SQL`` states the same rule; a test holds it against
+the query on a table with open, strict and blocked hosts.
 
 Defined results: a null or blank text has no words, fails ``few_words`` and is not kept.
 A null host is a host of its own.  Repeated rows each count and each return.  An empty
@@ -154,14 +154,15 @@ rep AS (SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, g) AS c
 cov AS (SELECT rn, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) GROUP BY rn),
 c AS (SELECT d.rn, doc_id, host, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
   length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM d LEFT JOIN cov USING (rn)),
-f AS (SELECT *, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed, n_symbols > 0.1 * n_words OR n_marks > 0.3 * n_words AS more_failed,
-  n_words < 100 OR n_repeat_words > 0.25 * n_words OR n_symbols > 0.05 * n_words OR n_marks > 0.15 * n_words AS strict_failed FROM c),
-h AS (SELECT host, count(*)::DOUBLE AS docs, sum((base_failed OR more_failed)::INT)::DOUBLE AS failed FROM f GROUP BY host),
+f AS (SELECT *, n_words < 50 OR n_repeat_words > 0.5 * n_words AS base_failed, n_repeat_words > 0.5 * n_words AS f_repeated, n_symbols > 0.1 * n_words AS f_symbols, n_marks > 0.3 * n_words AS f_marks,
+  n_repeat_words > 0.25 * n_words AS near_repeated, n_symbols > 0.05 * n_words AS near_symbols, n_marks > 0.15 * n_words AS near_marks FROM c),
+h AS (SELECT host, count(*)::DOUBLE AS docs, sum((base_failed OR f_symbols OR f_marks)::INT)::DOUBLE AS failed,
+  sum(f_repeated::INT)::DOUBLE AS s_repeated, sum(f_symbols::INT)::DOUBLE AS s_symbols, sum(f_marks::INT)::DOUBLE AS s_marks FROM f GROUP BY host),
 m AS (SELECT least(greatest(sum(failed) / sum(docs), 1e-6), 1 - 1e-6) AS p, sum(failed * failed / docs) / sum(docs) AS q, count(*) / sum(docs) AS k FROM h),
 s AS (SELECT p, q - p * p - p * (1 - p) * k AS spread FROM m),
 k AS (SELECT p, CASE WHEN spread > p * (1 - p) / 1e6 THEN least(greatest(p * (1 - p) / spread - 1, 1), 1e6) ELSE 1e6 END AS weight FROM s),
-v AS (SELECT host, (failed + p * weight) / (docs + weight) AS rate FROM h, k),
-j AS (SELECT f.*, CASE WHEN rate >= 0.9 THEN 'blocked' WHEN rate >= 0.3 THEN 'strict' ELSE 'open' END AS verdict FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host),
-judged AS (SELECT *, NOT base_failed AND NOT more_failed AND verdict <> 'blocked' AND (verdict = 'open' OR NOT strict_failed) AS kept FROM j)
+v AS (SELECT host, (failed + p * weight) / (docs + weight) AS rate, s_repeated >= 0.3 * docs AS t_repeated, s_symbols >= 0.3 * docs AS t_symbols, s_marks >= 0.3 * docs AS t_marks FROM h, k),
+j AS (SELECT f.*, t_repeated AND near_repeated OR t_symbols AND near_symbols OR t_marks AND near_marks AS near, CASE WHEN rate >= 0.9 THEN 'blocked' WHEN rate >= 0.3 THEN 'strict' ELSE 'open' END AS verdict FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host),
+judged AS (SELECT *, NOT base_failed AND NOT f_symbols AND NOT f_marks AND (verdict = 'open' OR NOT near) AS kept FROM j)
 """
 SQL = "WITH " + _COUNTS.replace("{docs}", "documents") + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, verdict FROM judged"

@@ -171,6 +171,31 @@ def test_short_clean_documents_survive_bad_and_pooled_hosts(spark, bad):
     assert kept == {1: 3 * good, 3: 2}  # near documents go only where their host fails that rule
 
 
+def test_sql_of_host_rules_on_open_strict_and_blocked_hosts(spark, tmp_path):
+    import duckdb
+
+    draw, rows = random.Random(8), []
+    plain = lambda n: [draw.choice(VOCAB) + str(draw.randrange(10**5)) for _ in range(n)]
+    for host, bad, good in (("open", 5, 200), ("symbols", 60, 60), ("marks", 400, 12), ("repeats", 50, 60), ("short", 60, 40), (None, 3, 40)):
+        for i in range(bad):
+            junk = {"symbols": plain(60) + ["$$$"] * 9, "marks": plain(55) + ["!!"] * 30, "repeats": plain(12) * 9, "short": plain(20)}
+            rows.append((" ".join(junk.get(host, plain(10))), host))
+        for i in range(good):
+            near = [plain(60 + i), plain(60) + ["$"] * (i % 7), plain(60) + ["wow!!!"] * (i % 6), (w := plain(70)) + w[: 3 * (i % 8)]]
+            rows.append((" ".join(near[i % 4]), host))
+    frame = spark.createDataFrame([(i, t, "en", h, 0) for i, (t, h) in enumerate(rows)] + [(len(rows), None, "en", "open", 0)], DOCS)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    got = o3.op3_host_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute("SELECT " + ", ".join(got.columns) + f" FROM ({o3.SQL})").fetchall()
+    rows_ = [tuple(r) for r in got.collect()]
+    assert Counter(rows_) == Counter(want)
+    verdict, kept = got.columns.index("verdict"), got.columns.index("kept")
+    found = Counter((r[verdict], r[kept]) for r in rows_)
+    assert all(found[v, k] for v in ("open", "strict", "blocked") for k in (True, False))
+
+
 # Mixing
 
 
@@ -221,6 +246,35 @@ def test_mix(spark, docs):
     assert o1.stage(spark, docs, SF).count() == sum(r.copies for r in out)
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_repeated_rows_keep_to_the_target(spark, tmp_path, monkeypatch, limit):
+    """One row a thousand times, beside others, in several files: words within half a document of the target, and reruns agree."""
+    monkeypatch.setattr(common.maybe_broadcast, "__defaults__", (limit,))
+    rows = [(700, "w " * 100, "en", "a", 0)] * 1000 + [(i, "v " * (10 + i), "en", "b", 0) for i in range(90)] + [(None, None, None, None, None)] * 5
+    frame = spark.createDataFrame(rows, DOCS).repartition(5)
+    held = o1.sized(frame)
+    assert held.count() == len(rows) and held.where("repeated").count() == 1005
+    assert held.where("source = '=a'").select("u").distinct().count() == 1000
+    sizes = {"=a": 100_000, "=b": sum(10 + i for i in range(90))}
+    for share in (0.3, 0.9, 1.5):
+        goals = spark.createDataFrame([(k, n, share * n) for k, n in sizes.items()] + [("", 0, 0.0)], "source string, source_size long, target double")
+        out = mixed(held, goals).collect()
+        for k, most in (("=a", 100), ("=b", 100)):
+            assert abs(sum(r.copies * r.size for r in out if r.source == k) - share * sizes[k]) <= most / 2
+        again = mixed(o1.sized(frame.repartition(3)), goals).collect()
+        fields = ("id", "source", "size", "u", "copies")
+        assert Counter(tuple(r[f] for f in fields) for r in out) == Counter(tuple(r[f] for f in fields) for r in again)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    query = o1.op1_pareto_mix(spark, str(tmp_path)).collect()
+    assert len(query) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in query)
+    for size in {r.source_size for r in query}:
+        mine = [r for r in query if r.source_size == size]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 50
+    staged = Counter((r.doc_id, r.text) for r in o1.stage(spark, frame, SF).collect())
+    texts = {i: t for i, t, *_ in rows}
+    assert staged == Counter((r.doc_id, texts[r.doc_id]) for r in query for _ in range(r.copies))
+
+
 def test_expected_copies_are_in_proportion_to_weight(spark):
     """The full are those whose share would be above the bound; the rest share in proportion to weight, against bisection."""
     draw = random.Random(4)
