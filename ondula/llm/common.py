@@ -102,6 +102,50 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+#: Slots of the bitmap of ``marks``, and those of one of its rows, as powers of two: 32 MB in 65,536 rows at most.
+SLOT_BITS, CHUNK_BITS = 28, 12
+
+
+def _slot(keys: list[str]) -> tuple[Column, Column, Column]:
+    """Row, word and bit of a key's slot in the bitmap."""
+    slot = F.shiftrightunsigned(F.xxhash64(*keys), 64 - SLOT_BITS)
+    return F.shiftright(slot, CHUNK_BITS), F.shiftright(slot, 6).bitwiseAND(F.lit((1 << CHUNK_BITS - 6) - 1)).cast("int"), slot.bitwiseAND(F.lit(63)).cast("int")
+
+
+def marks(right: DataFrame, keys: list[str]) -> DataFrame:
+    """_chunk, _bits (words of 64 slots): the slots of right's keys, written. Its size has a bound, however many keys there are."""
+    chunk, word, bit = _slot(keys)
+    words = right.select(chunk.alias("_chunk"), word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    words = words.groupBy("_chunk", "w").agg(F.bit_or("b").alias("b"))
+    held = words.groupBy("_chunk").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    each = F.sequence(F.lit(0), F.lit((1 << CHUNK_BITS - 6) - 1))
+    return cut(held.select("_chunk", F.transform(each, lambda w: F.coalesce(F.try_element_at("m", w), F.lit(0).cast("long"))).alias("_bits")))
+
+
+def tag(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left with _marked: whether a key of right has the row's slot. Nothing is shuffled."""
+    chunk, word, bit = _slot(keys)
+    held = left.withColumn("_chunk", chunk).join(F.broadcast(marks(right, keys)), "_chunk", "left")
+    marked = F.coalesce(F.bit_get(F.get("_bits", word), bit) == 1, F.lit(False))
+    return held.withColumn("_marked", marked).drop("_chunk", "_bits")
+
+
+def join_few(left: DataFrame, right: DataFrame, keys: list[str], how: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``left.join(right, keys, how)`` for rows of left that carry texts. right: a written table; how: inner, left, left_semi or left_anti.
+
+    A right of at most ``limit`` bytes is broadcast.  Beyond it the bitmap of its keys is, and only rows of left whose slot is
+    marked are shuffled: those that meet right, and of the others a share of at most right's keys in ``2^SLOT_BITS``.  The
+    rest stay where they are read.
+    """
+    if small(right, limit):
+        return left.join(F.broadcast(right), keys, how)
+    tagged = tag(left, right, keys)
+    some = tagged.where("_marked").drop("_marked").join(right, keys, how)
+    if how in ("inner", "left_semi"):
+        return some
+    return some.unionByName(tagged.where("NOT _marked").drop("_marked"), allowMissingColumns=True)
+
+
 def once(docs: DataFrame, keys: list[str], repeated: DataFrame | None = None) -> DataFrame:
     """``docs`` with one of the rows of each value of the keys. repeated: the values with several rows, a written table if known.
 
@@ -111,5 +155,5 @@ def once(docs: DataFrame, keys: list[str], repeated: DataFrame | None = None) ->
         repeated = cut(docs.groupBy(*keys).agg(F.count("*").alias("c")).where("c > 1").select(*keys))
     if repeated.isEmpty():
         return docs
-    twice = maybe_broadcast(repeated.select(*keys))
-    return docs.join(twice, keys, "left_anti").unionByName(docs.join(twice, keys, "left_semi").dropDuplicates(keys))
+    twice = repeated.select(*keys)
+    return join_few(docs, twice, keys, "left_anti").unionByName(join_few(docs, twice, keys, "left_semi").dropDuplicates(keys))

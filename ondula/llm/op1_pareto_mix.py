@@ -187,9 +187,9 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         taken = mix(again, priced, ends).select("row", "copies")
     else:
-        twice, again = common.maybe_broadcast(repeated), again.withColumn("first", F.col("u"))
-        single = mix(again.join(twice, SAME, "left_anti"), priced, ends).select("row", "copies")
-        sums = common.cut(mix(rows.join(twice, SAME, "left_semi"), priced, ends).groupBy(*SAME).agg(F.sum("copies").alias("copies")))
-        one = again.join(twice, SAME, "left_semi").groupBy(*SAME).agg(F.first("row").alias("row"))
+        again = again.withColumn("first", F.col("u"))
+        single = mix(common.join_few(again, repeated, SAME, "left_anti"), priced, ends).select("row", "copies")
+        sums = common.cut(mix(common.join_few(rows, repeated, SAME, "left_semi"), priced, ends).groupBy(*SAME).agg(F.sum("copies").alias("copies")))
+        one = common.join_few(again, repeated, SAME, "left_semi").groupBy(*SAME).agg(F.first("row").alias("row"))
         taken = single.unionByName(one.join(sums, SAME).select("row", "copies"))
     return taken.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

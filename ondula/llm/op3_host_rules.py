@@ -123,9 +123,9 @@ def beta_prior(failed: int, docs: int, hosts: int, squares: float) -> tuple[floa
 
 
 def judge(counted: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``counted`` with rate, verdict, base_failed and kept."""
+    """``counted`` with rate, verdict, base_failed and kept. A host that isn't among the verdicts, a written table, tightens nothing."""
     fails, strict = _fails(), _fails(0.5)
-    joined = counted.join(common.maybe_broadcast(verdicts.select("host", "rate", "verdict", "tight")), "host", "left")
+    joined = common.join_few(counted, verdicts.select("host", "rate", "verdict", "tight"), ["host"], "left")
     near = _any({k: F.coalesce(F.col(f"tight.{k}"), F.lit(False)) & strict[k] for k in SHARES})
     kept = ~_any(fails) & ~near
     return joined.withColumn("base_failed", fails["few_words"] | fails["repeated"]).withColumn("kept", kept & (F.col("place") >= 0)).drop("tight")
@@ -140,9 +140,9 @@ def op3_host_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The kept documents, with the columns of ``docs``; texts are read twice rather than written."""
-    verdicts = hosts(features(docs))
-    return judge(features(docs), verdicts).where("kept").select("row.*")
+    """The kept documents, with the columns of ``docs``; texts are read twice rather than written, and join the hosts that aren't open only."""
+    strict = common.cut(hosts(features(docs)).where("verdict <> 'open'"))
+    return judge(features(docs), strict).where("kept").select("row.*")
 
 
 _COUNTS = r"""

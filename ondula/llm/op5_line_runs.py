@@ -160,12 +160,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``row`` (the input's columns), ``text`` without the deleted lines, ``n_lines`` and ``deleted`` (line numbers)."""
     edits = later_runs(docs, id_col, text_col, min_words)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    held = docs.select(row, F.col(text_col).alias("text"), *keys(id_col, text_col)).join(common.maybe_broadcast(edits), DOC, "left").drop(*DOC)
+    held = common.join_few(docs.select(row, *keys(id_col, text_col)), edits, DOC, "left").drop(*DOC)
+    place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, counts, gone = [], [], []
-            for text, deleted in zip(b.column("text").to_pylist(), b.column("deleted").to_pylist()):
+            for text, deleted in zip(b.column("row").field(place).to_pylist(), b.column("deleted").to_pylist()):
                 parts = text.split("\n") if text else []
                 counts.append(len(parts))
                 gone.append(sorted(deleted or []))

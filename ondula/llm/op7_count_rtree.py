@@ -289,7 +289,7 @@ def verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame, percent: int, k:
     dealt = s.cut(pairs.join(parts, "u").select("u", "v", F.xxhash64("u", F.pmod(F.xxhash64("v"), F.col("parts"))).alias("unit")))
     named = dealt.select("unit", F.col("v").alias("name"), F.lit(False).alias("centre")).unionByName(dealt.select("unit", F.col("u").alias("name"), F.lit(True).alias("centre")).distinct())
     wanted = s.cut(named.join(sets.select("name", "k1", "k2"), "name"))
-    met = docs.join(common.maybe_broadcast(wanted), ["k1", "k2"])
+    met = common.join_few(docs, wanted, ["k1", "k2"], "inner")
     return met.select("unit", "name", "centre", "text").groupBy("unit").applyInArrow(run, "u long, v long")
 
 
@@ -495,7 +495,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     twice = common.cut(found.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").select("k1", "k2"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text, id_ = F.col("text"), F.col("doc_id")
-    held = docs.select(row, F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), text, id_).alias("k2")).join(common.maybe_broadcast(goes), ["k1", "k2"], "left_anti")
+    held = common.join_few(docs.select(row, F.xxhash64(id_, text).alias("k1"), F.xxhash64(F.lit(7), text, id_).alias("k2")), goes, ["k1", "k2"], "left_anti")
     return common.once(held, ["k1", "k2"], twice).select("row.*")
 
 

@@ -136,7 +136,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         bits = min(max(rows.bit_length() + SPARE_BITS, owner_bits + 1), 62)
         short = lambda h: F.shiftrightunsigned(h, 64 - bits)
         twice = suspects(printed.select(short(F.col("hash")).alias("fp")), bits, owner_bits, s)
-        met = plain.withColumn("fp", short(hashed)).join(common.maybe_broadcast(twice), "fp", "left_semi")
+        met = common.join_few(plain.withColumn("fp", short(hashed)), twice, ["fp"], "left_semi")
         # Grouping by the text itself is the byte comparison; copies within a partition merge before the shuffle.
         same = met.groupBy("norm", "chars").agg(F.count("*").alias("n"), F.min("id").alias("least"))
         order = F.struct((-F.col("chars")).alias("c"), F.col("least").isNull().alias("no"), F.col("least"))
