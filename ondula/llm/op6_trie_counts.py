@@ -11,15 +11,18 @@ Costs are whole numbers, so sharing changes no result: a piece of rank r costs
 splits of equal cost the fewest pieces win.  A character without a piece falls back to
 one token per UTF-8 byte.  A pre-token is a word with the word mark before it.
 
-Nothing is shuffled; a worker holds the trie of one slice and a bounded store of counts.
-Defined results: null and blank texts count 0 words and 0 tokens; repeated rows each
-return; an empty table gives an empty result; other columns are ignored.
+Nothing is shuffled; a worker holds the trie of one slice and a store of counts that is
+bounded in words and in the bytes of each.  Defined results: null and blank texts count 0
+words and 0 tokens; repeated rows each return; an empty table gives an empty result; other
+columns are ignored, whatever their names.  A very long text is a slice of its own and
+counted whole, a very long word too, at 16 bytes a character while it is.
 """
 
 from __future__ import annotations
 
 import math
 import os
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from ondula.llm import common, tokens
 
 MARK = "▁"
-#: Counts stored per worker.
-MOST_WORDS = 600_000
+#: Counts stored per worker, and bytes of the longest word that is stored: some 150 MB at most. Longer words are counted anew in each slice.
+MOST_WORDS, LONGEST = 600_000, 64
 
 
 def default_vocabulary() -> str:
@@ -63,7 +66,8 @@ class TrieCounter:
         """Pieces of each of the distinct words, which are walked in trie order."""
         order = sorted(range(len(words)), key=words.__getitem__)
         out = [0] * len(words)
-        cost, n, last = [0], [0], ""
+        # Eight bytes a character each, so that a word may be as long as a text.
+        cost, n, last = array("q", [0]), array("q", [0]), ""
         get, ends, byte_cost = self.costs.get, self.ends, self.byte_cost
         for i in order:
             word = MARK + words[i].decode("utf-8", "replace")
@@ -97,7 +101,11 @@ class TrieCounter:
             self.known.clear()
             fresh = list(set().union(*split))
         self.known.update(zip(fresh, self.count(fresh)))
-        return [len(w) for w in split], [sum(map(self.known.__getitem__, w)) for w in split]
+        found = [len(w) for w in split], [sum(map(self.known.__getitem__, w)) for w in split]
+        for word in fresh:
+            if len(word) > LONGEST:
+                del self.known[word]
+        return found
 
 
 _LOADED: dict[str, TrieCounter] = {}
