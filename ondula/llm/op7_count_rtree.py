@@ -54,6 +54,8 @@ from ondula.llm import common, graph, tokens
 PERCENT, WORDS = 90, 3
 #: Coordinates of a node's box; sets of a leaf; children of an inner node, as a power of two; sets from which a node is hot.
 BOX, LEAF, FAN, HOT = 64, 256, 4, 64
+#: Blocks of the fine nodes of sets that lie in hot ones, times the shingles that may differ.
+FINE = 4
 #: First open nodes of a set that go with it.
 SKETCH = 32
 #: Shingles that are verified together.
@@ -131,8 +133,11 @@ def size_classes(most: int, percent: int) -> np.ndarray:
     return np.array([*ends, (e + 1) * 100 // percent * 100 // percent], np.int64)
 
 
-def cells(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each set: names of its upper nodes, whether of the next size class, and how many filled blocks of that class it may do without."""
+def cells(sets: list[np.ndarray], percent: int, scale: int = 1) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each set: names of its upper nodes, whether of the next size class, and how many filled blocks of that class it may do without.
+
+    scale: times the shingles that may differ there are so many blocks, and a fifth more.
+    """
     sizes = np.array([len(s) for s in sets], np.int64)
     ends = size_classes(int(sizes.max(initial=1)), percent)
     own = np.searchsorted(ends, sizes)
@@ -145,7 +150,7 @@ def cells(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.nda
         used = (differ > 0) & (sizes > 0)  # nothing may differ: only identical sets link
         if shift:
             used &= sizes * 100 // percent > ends[own]  # no partner is of the next class
-        blocks = np.where(used, differ + differ // 5 + 1, 0)
+        blocks = np.where(used, scale * differ + differ // 5 + 1, 0)
         first = np.cumsum(blocks) - blocks
         wide = np.repeat(blocks, sizes).astype(np.uint64)
         used = wide > 0
@@ -153,7 +158,7 @@ def cells(sets: list[np.ndarray], percent: int) -> list[tuple[np.ndarray, np.nda
         sums = np.zeros(int(blocks.sum()), np.uint64)
         np.add.at(sums, index, value[used])
         place = np.arange(len(sums)) - np.repeat(first, blocks)
-        names = mix(mix(sums + np.repeat(tag, blocks).astype(np.uint64) * _MIX1) + place.astype(np.uint64) * _MIX2)
+        names = mix(mix(sums + np.repeat(tag, blocks).astype(np.uint64) * _MIX1) + (place * scale + scale - 1).astype(np.uint64) * _MIX2)
         # Empty blocks say nothing: they count only for a set that fills no more blocks than may differ.
         of = np.repeat(np.arange(len(sets)), blocks)
         filled = np.zeros(len(sums), bool)
@@ -220,7 +225,7 @@ def describe(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("id", "k1", "k2", "text").mapInArrow(run, f"id {kind}, k1 long, k2 long, name long, n long, mid binary, fine binary")
 
 
-def nodes(docs: DataFrame, percent: int, k: int) -> DataFrame:
+def nodes(docs: DataFrame, percent: int, k: int, scale: int = 1) -> DataFrame:
     """cell, name, shift, spare: the upper nodes of each set, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +234,7 @@ def nodes(docs: DataFrame, percent: int, k: int) -> DataFrame:
             for _, texts in tokens.slices(batch, "text", SLICE):
                 fresh = {n: s for s in shingle_sets(texts, k) if len(s) and (n := set_name(s)) not in seen}
                 seen.update(fresh)
-                found = cells(list(fresh.values()), percent)
+                found = cells(list(fresh.values()), percent, scale)
                 if found:
                     names = np.repeat(np.fromiter(fresh, np.int64, len(fresh)), [len(f[0]) for f in found])
                     cell, shift, spare = (np.concatenate(x) for x in zip(*found))
@@ -238,23 +243,33 @@ def nodes(docs: DataFrame, percent: int, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cell long, name long, shift int, spare long")
 
 
-def members(docs: DataFrame, percent: int, k: int, s: common.Scratch, hot: int = HOT) -> DataFrame:
-    """cell, name, written: the upper nodes with two different sets.
+def rarest(held: DataFrame, s: common.Scratch) -> DataFrame:
+    """cell, name, c (sets of the node): ``held`` (written, of ``nodes``) without the ``spare`` most frequented nodes of each set.
+
+    One order of all nodes serves all sets; those of a single set, held or not, come first in it.
+    """
+    counts = common.maybe_broadcast(s.cut(held.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1")))
+    place = F.row_number().over(Window.partitionBy("name", "shift").orderBy(F.desc("c"), "cell"))
+    return held.join(counts, "cell").withColumn("place", place).where("place > spare").select("cell", "name", "c")
+
+
+def members(docs: DataFrame, found: DataFrame, percent: int, k: int, s: common.Scratch, hot: int = HOT) -> DataFrame:
+    """cell, name, c, written: the nodes with two different sets, of each set the least frequented it needs.
 
     The nodes of all sets are told twice rather than written: first to find those with two
     sets, which tasks add up before the shuffle, then to keep their members.
     """
     every = nodes(docs, percent, k)
     shared = every.groupBy("cell").agg(F.min("name").alias("low"), F.max("name").alias("high")).where("low <> high").select("cell")
-    held = s.cut(every.join(common.maybe_broadcast(s.cut(shared)), "cell", "left_semi").distinct())
+    held = s.cut(rarest(s.cut(every.join(common.maybe_broadcast(s.cut(shared)), "cell", "left_semi").distinct()), s))
     large = s.cut(held.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("cell"))
     if large.isEmpty():
         return held
     large = common.maybe_broadcast(large)
-    leaves = held.join(large, "cell", "left_semi").groupBy("name", "shift").agg(F.count("*").alias("c"), F.min("spare").alias("spare")).where("c <= spare")
-    leaves = common.maybe_broadcast(s.cut(leaves.select("name", "shift", F.lit(True).alias("leaves"))))
-    marked = held.join(large.withColumn("hot", F.lit(True)), "cell", "left").join(leaves, ["name", "shift"], "left")
-    return s.cut(marked.where("hot IS NULL OR leaves IS NULL").select("cell", "name"))
+    crowd = common.maybe_broadcast(s.cut(held.join(large, "cell", "left_semi").select("name").distinct()))
+    keys = found.where("fine IS NOT NULL").join(crowd, "name", "left_semi").groupBy("name").agg(F.min(F.struct("k1", "k2")).alias("r")).select("r.*")
+    fine = nodes(common.join_few(docs, s.cut(keys), ["k1", "k2"], "inner"), percent, k, FINE).distinct()
+    return s.cut(held.join(large, "cell", "left_anti").unionByName(rarest(s.cut(fine), s)))
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -433,11 +448,13 @@ def tree_join(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
     open_rows = parts.join(common.maybe_broadcast(open_), "cell")
     first = open_rows.groupBy("name").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("order"), "cell"))), 1, SKETCH).alias("f"))
     sketched = s.cut(first.join(sets.select("name", "n"), "name").select("name", "n", F.col("f.cell").alias("first"), F.col("f.order").alias("orders")))
-    rows = open_rows.withColumn("order", -F.col("c")).join(sketched, "name")
-    units = rows.where(F.col("c") <= LEAF).select(F.col("cell").alias("unit"), "cell", "order", F.lit(-1).alias("side"), "name", "comp", "n", "first", "orders")
+    sketches = common.maybe_broadcast(sketched)
+    units = open_rows.where(F.col("c") <= LEAF).withColumn("order", -F.col("c")).join(sketches, "name").select(F.col("cell").alias("unit"), "cell", "order", F.lit(-1).alias("side"), "name", "comp", "n", "first", "orders")
     if not open_.where(F.col("c") > LEAF).isEmpty():
-        large = s.cut(leafed(rows.where(F.col("c") > LEAF).drop("c").join(sets.select("name", "mid"), "name")))
-        pairs = descend(s.cut(boxes(large)), percent, s)
+        # Leaves are numbered on short rows: their plan reads them several times.
+        short = s.cut(open_rows.where(F.col("c") > LEAF).select("cell", "name", "comp", (-F.col("c")).alias("order")).join(sketches, "name").drop("first", "orders"))
+        large = s.cut(leafed(short).join(sketches.select("name", "first", "orders"), "name"))
+        pairs = descend(s.cut(boxes(large.join(sets.select("name", "mid"), "name"))), percent, s)
         same = F.col("a") == F.col("b")
         for leaf, side, met in (("a", F.when(same, -1).otherwise(0), pairs), ("b", F.lit(1), pairs.where(~same))):
             unit = F.xxhash64("cell", "a", "b").alias("unit")
@@ -448,8 +465,10 @@ def tree_join(held: DataFrame, roots: DataFrame, sets: DataFrame, percent: int,
 def links(found: DataFrame, docs: DataFrame, percent: int, k: int, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node, root of the components of linked sets, by ``cut``. found: a written table of describe(); docs: k1, k2, text."""
     with common.Scratch(docs.sparkSession) as s:
-        held = members(docs, percent, k, s)
-        first = s.cut(held.groupBy("cell").agg(F.count("*").alias("c"), F.min("name").alias("u")).where("c > 1").select("cell", "u"))
+        held = members(docs, found, percent, k, s)
+        weights = common.maybe_broadcast(s.cut(held.groupBy("name").agg(F.sum("c").alias("w"))))
+        centre = F.min_by("name", F.struct(-F.col("w"), "name")).alias("u")
+        first = s.cut(held.join(weights, "name").groupBy("cell").agg(F.count("*").alias("n"), centre).where("n > 1").select("cell", "u"))
         stars = s.cut(held.join(common.maybe_broadcast(first), "cell").where("name <> u").select("u", F.col("name").alias("v")).distinct())
         involved = s.cut(stars.select(F.explode(F.array("u", "v")).alias("name")).distinct())
         drawn = found.where("fine IS NOT NULL").join(common.maybe_broadcast(involved), "name", "left_semi")
