@@ -11,10 +11,12 @@ for two nodes of the tree at most that of their largest coordinates.
   shingles, so of more than r blocks at least one has equal counts in both: a set descends to
   the nodes named by (size class, block, the block's counts at the finest grain), for its own
   class and, if a partner can be that large, the next.  A set that fills more than r blocks shares a filled one with each
-  partner, so its empty blocks name no node.  For the same reason it may leave every node of
-  more than ``HOT`` sets if the filled ones it keeps are still more than r: a common passage
-  then gathers nobody but the sets that consist of it.
-* The first join pairs the sets of a node with its least one, and what links is one component.
+  partner, so its empty blocks name no node.  For the same reason r + 1 filled ones are enough, and each set keeps its
+  least frequented (``rarest``): in one order of all nodes, two sets that share one still do.
+* Sets that meet in a node of more than ``HOT`` leave it for nodes of ``FINE`` times as many blocks, told from their texts
+  again: a set that differs from a family's core in more than r blocks then leaves all that the family has in common.
+* The first join pairs the sets of a node with the one that lies in the most frequented nodes, the nearest to the core of
+  its family, and what links is one component.
 * In the nodes that still hold several components, sets lie in leaves of about ``LEAF`` in
   tree order (component, size), with size range and largest coordinates (``descend``).  Pairs
   of nodes go down from the root, 16 children to a node; a pair of one component, or whose

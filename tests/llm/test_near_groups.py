@@ -62,9 +62,9 @@ def test_a_group_of_near_copies_grows_less_than_quadratically(spark, monkeypatch
         rows = family(size)
         found = o7.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(8)).collect()
         assert Counter((r.id, r.n, r.component) for r in found) == components(rows)
-        assert seen["near_points"][1] <= size  # pairs to be verified after the first join
+        assert seen["near_points"][1] <= size // 20  # pairs to be verified after the first join
         moved.append((seen["met_here"][0] + seen["near_points"][0]) / size)
-    assert moved[1] < 2.5 * moved[0]  # rows a set: the square would be four times
+    assert moved[1] < 1.9 * moved[0]  # rows a set: the square would be four times
 
 
 @pytest.mark.parametrize("scale", [1, 4])
